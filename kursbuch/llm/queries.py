@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, ngram_join, token_count, url_filter
+from . import bitslice_topk, bpe, exact_dedup, mixing, ngram_join, quality, secrets, token_count, url_filter, warc
 from .common import load
 
 #: Fixed by contract: what the url rules say of a host and path.
@@ -18,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(load(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -27,6 +32,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest_groups(load(spark, sf_dir, "documents"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return bitslice_topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -36,9 +46,103 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"), rules)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_classes(load(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_byte_bpe, op4_exact_dedup, op6_token_counts, op7_url_filter, op10_ngram_join)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_secret_scan,
+        op3_byte_bpe,
+        op4_exact_dedup,
+        op5_topk_search,
+        op6_token_counts,
+        op7_url_filter,
+        op8_quality_classifier,
+        op9_warc,
+        op10_ngram_join,
+    )
+}
+_SPACE = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]+"
+_RULES = ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)
+
+#: For DuckDB. Secret spans beyond the rules, tokenizers, the classifier and the links of the
+#: n-gram join are not SQL; tests hold these queries against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size, length(text) AS chars
+  FROM documents),
+k AS (
+  SELECT doc_id, source, size,
+    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':7'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+    / (CASE WHEN size > 0 THEN 1.0::DOUBLE / (1.0::DOUBLE + abs(chars::DOUBLE / size - 6.0::DOUBLE) / 6.0::DOUBLE) ELSE 1.0::DOUBLE END) AS key
+  FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1] AS ratio, source_size * 2.0::DOUBLE AS cap FROM s),
+l AS (
+  SELECT *,
+    (sum(source_size) OVER () * 1.5::DOUBLE
+     - (sum(cap) OVER (ORDER BY cap / ratio, source NULLS LAST ROWS UNBOUNDED PRECEDING) - cap))
+    / sum(ratio) OVER (ORDER BY cap / ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM r),
+f AS (SELECT level FROM l WHERE cap / ratio > level ORDER BY cap / ratio, level LIMIT 1),
+t AS (
+  SELECT source, source_size, coalesce(least(cap, (SELECT level FROM f) * ratio), cap)::DOUBLE AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+o AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id NULLS FIRST, k.size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+  (size * (epochs + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM o""",
+    "op4_exact_dedup": rf"""
+WITH n AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)""",
+    "op5_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_url_filter": f"""
+WITH rules(rule, verdict) AS (VALUES {_RULES}),
+u AS (
+  SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+h AS (
+  SELECT page_id, path, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
+j AS (
+  SELECT h.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC NULLS LAST) AS nth
+  FROM h LEFT JOIN rules r
+    ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+    AND starts_with(path, substr(rule, strpos(rule, '/'))))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j WHERE nth = 1""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS largest FROM p),
+b AS (SELECT *, list_transform(range(0, 8), lambda g: ('0x' || substr(hex, g * 5 + 1, 5))::INT) AS v FROM g)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM b""",
+}
