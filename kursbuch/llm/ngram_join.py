@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import WORD, attach, stage, text_or_empty
+from .common import attach, stage, text_or_empty
 
-_words = re.compile(WORD).findall
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 #: Ratio of the largest to the smallest size of a band; bands overlap so that any two sets
 #: that can be similar have one in common.
 BAND = 1.6
 #: Elements that a signature should rest on, on average, for the smallest sets of a band.
-ELEMENTS = 3.5
+ELEMENTS = 2.0
+#: Parts beyond those that the differences can spoil, as a share of these: some may be left out
+#: for being thin, and of the others similar sets have so many more than one in common.
+SPARE, EXTRA = 0.25, 0.1
 #: Words whose hashes a worker keeps.
 MEMO = 300_000
 
@@ -39,8 +39,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 40:
             if len(self) >= MEMO:
                 self.clear()
@@ -51,18 +51,30 @@ class _WordHash(dict):
 _hash = _WordHash()
 
 
-def shingles(text: str, n: int) -> np.ndarray:
-    """The distinct n-word shingles as sorted 64-bit hashes; with fewer words, the whole
-    sequence is one; without words there are none."""
-    words = _words(text.lower() if text.isascii() else text.translate(_LOWER))
-    if not words:
-        return np.empty(0, _U)
-    h = np.fromiter(map(_hash.__getitem__, words), _U, len(words))
-    k = min(n, len(words))
-    out = np.full(len(words) - k + 1, _U(k), _U)
-    for i in range(k):
-        out = mix64(out * _U(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
+    """Of each text, its distinct n-word shingles as sorted 64-bit hashes; with fewer words, the
+    whole sequence is one; without words there are none.
+
+    Bytes split at the ASCII white space, and only A to Z change case."""
+    split = [t.encode("utf-8", "replace").lower().split() for t in texts]
+    ends = np.cumsum([len(w) for w in split], dtype=np.int64)
+    h = np.fromiter(map(_hash.__getitem__, chain.from_iterable(split)), _U, int(ends[-1]) if len(ends) else 0)
+    out = np.full(len(h), n, _U)
+    for i in range(min(n, len(h))):
+        out[: len(h) - i] = mix64(out[: len(h) - i] * _U(0x9E3779B97F4A7C15) + h[i:])
+    sets, begin = [], 0
+    for words, end in zip(split, ends.tolist(), strict=True):
+        if len(words) >= n:
+            sets.append(np.unique(out[begin : end - n + 1]))
+        elif words:
+            x = np.full(1, len(words), _U)
+            for i in range(begin, end):
+                x = mix64(x * _U(0x9E3779B97F4A7C15) + h[i])
+            sets.append(x)
+        else:
+            sets.append(np.empty(0, _U))
+        begin = end
+    return sets
 
 
 @dataclass(frozen=True)
@@ -71,8 +83,9 @@ class Scheme:
 
     The domain is cut into n1 parts and each of them into n2; the signatures of a set are its
     projections on every choice of n2 - k2 cells of a part. By the pigeonhole principle at
-    least ``spare + 1`` parts hold at most k2 of the differences, and each of these has a
-    choice of cells without any.
+    least ``spare + extra + 1`` parts hold at most k2 of the differences, and each of these has a
+    choice of cells without any. A set may leave out ``spare`` parts, so similar sets have
+    ``extra + 1`` signatures in common at least.
     """
 
     band: int
@@ -83,20 +96,21 @@ class Scheme:
     n2: int
     k2: int
     spare: int
+    extra: int
 
 
-def _choose(size: float, k: int) -> tuple[int, int, int, int]:
-    """n1, n2, k2, spare: the fewest signatures among choices whose projections rest on enough elements."""
+def _choose(size: float, k: int) -> tuple[int, int, int, int, int]:
+    """n1, n2, k2, spare, extra: the fewest signatures among choices whose projections rest on enough elements."""
     best = None
     for k2, n2 in ((0, 1), (1, 2), (1, 3), (2, 4), (2, 5), (3, 6)):
         need = k // (k2 + 1) + 1
-        spare = need // 8 + 1
-        n1 = need + spare
+        spare, extra = int(need * SPARE), int(need * EXTRA)
+        n1 = need + spare + extra
         subsets = math.comb(n2, k2)
         elements = size * (n2 - k2) / (n1 * n2)
         cost = (elements < ELEMENTS, -elements if elements < ELEMENTS else n1 * subsets)
         if best is None or cost < best[0]:
-            best = (cost, (n1, n2, k2, spare))
+            best = (cost, (n1, n2, k2, spare, extra))
     return best[1]
 
 
@@ -110,8 +124,7 @@ def _schemes(num: int, den: int, upto: int) -> list[Scheme]:
         high = max(low, int(low * ratio))
         # Two sets of a and b elements are similar iff they differ in at most (1-g)(a+b)/(1+g).
         k = (den - num) * 2 * high // (den + num)
-        n1, n2, k2, spare = _choose(low, k)
-        out.append(Scheme(band, low, high, k, n1, n2, k2, spare))
+        out.append(Scheme(band, low, high, k, *_choose(low, k)))
         if high >= upto:
             return out
         # The next band begins low enough to hold every set that is similar to one beyond this.
@@ -123,12 +136,19 @@ def schemes_of(size: int, num: int, den: int) -> list[Scheme]:
     return [s for s in _schemes(num, den, upto) if s.low <= size <= s.high]
 
 
+def quota(size: int, num: int, den: int) -> int:
+    """Signatures that a set of this size shares, at least, with any set that is similar to it."""
+    return 1 + min(s.extra for s in schemes_of(size, num, den))
+
+
 def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of the set), for all sets together.
 
-    Projections of fewer than two elements say little and are shared by many sets. A set with
-    such projections in at most ``spare`` parts leaves them out: of its parts that agree with
-    any similar set, at least one is not among them. A set with more of them gives them all.
+    Projections of few elements say little and are shared by many sets. A set leaves out its
+    thinnest parts, as many as ``spare`` allows: those with fewer elements (in their thinnest
+    choice) than the (spare + 1)-th thinnest. Nothing is lost by that: of two similar sets,
+    spare + extra + 1 parts or more agree, and have the same size in both; whichever of the sets drops
+    the larger sizes drops at most spare of them.
     """
     groups: dict[Scheme, list[int]] = {}
     for i, s in enumerate(sets):
@@ -149,18 +169,19 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
         count = np.bincount(at, minlength=cells).reshape(len(members), c.n1, c.n2)
         sums = sums.reshape(len(members), c.n1, c.n2)
         choices = list(combinations(range(c.n2), c.n2 - c.k2))
-        weak = np.zeros((len(members), c.n1, len(choices)), bool)
-        value = np.empty(weak.shape, _U)
+        shape = (len(members), c.n1, len(choices))
+        value, held = np.empty(shape, _U), np.empty(shape, np.int64)
         parts = np.arange(c.n1, dtype=_U)
         for j, choice in enumerate(choices):
-            total = sums[:, :, choice].sum(2, dtype=_U)
-            n = count[:, :, choice].sum(2)
-            weak[:, :, j] = n < 2
+            held[:, :, j] = count[:, :, choice].sum(2)
             salt = mix64(parts * _U(len(choices)) + _U(j) + _U((c.band + 1) << 40))
-            value[:, :, j] = mix64(total ^ salt) + n.astype(_U)
-        drop = weak & (weak.any(2).sum(1) <= c.spare)[:, None, None]
-        row = np.broadcast_to(np.arange(len(members))[:, None, None], weak.shape)[~drop]
-        sig.append(value[~drop])
+            value[:, :, j] = mix64(sums[:, :, choice].sum(2, dtype=_U) ^ salt) + held[:, :, j].astype(_U)
+        # The parts with the emptiest projections go: all below the size that the (spare + 1)-th has.
+        thin = held.min(2)
+        least = np.partition(thin, c.spare, axis=1)[:, c.spare]
+        keep = np.broadcast_to((thin >= least[:, None])[:, :, None], shape)
+        row = np.broadcast_to(np.arange(len(members))[:, None, None], shape)[keep]
+        sig.append(value[keep])
         of.append(np.asarray(members)[row])
     if not sig:
         return np.empty(0, _U), np.empty(0, np.int64)
@@ -180,9 +201,16 @@ def _batches(column, chars: int = 1 << 21):
         yield held
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """A 64-bit identity of the set; never that of another size."""
-    return int(mix64(np.array([mix64(s).sum(dtype=_U) ^ mix64(np.array([len(s)], _U))[0]], _U)).view(np.int64)[0])
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit identity of each set; 0 for sets without elements."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros(len(sets), _U)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        flat = mix64(np.concatenate([sets[i] for i in some]))
+        sums = np.add.reduceat(flat, np.cumsum(sizes[some]) - sizes[some], dtype=_U)
+        out[some] = mix64(sums ^ mix64(sizes[some].astype(_U))) | _U(1)
+    return out.view(np.int64)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -205,12 +233,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _run_members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(sig: pa.Array, *rest) -> pa.RecordBatch:
+    *numbers, own = rest
+    columns = [sig, *(pa.array(x.astype(np.int64)) for x in numbers), pa.array(np.full(len(sig), own))]
+    return pa.RecordBatch.from_arrays(columns, ["sig", "node", "size", "lead", "lead_size", "own"])
+
+
+def _run_members(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by signature and node, those whose signature has several nodes, each with
-    the first node of its run. Only the run's beginning is carried from batch to batch."""
+    the first node of its run. Only the run's beginning is carried from batch to batch.
+
+    Rows of negative size are no signatures but say what a document's set is; they go through,
+    with the set's quota as lead_size."""
     sig0, lead0, size0, last0, seen0 = None, 0, 0, 0, 0
     for batch in batches:
         sig, node, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "node", "size"))
+        own = size < 0
+        if own.any():
+            n = -1 - size[own].astype(np.int64)
+            quotas = {x: quota(x, num, den) if x else 0 for x in set(n.tolist())}
+            yield _rows(batch.column("sig").filter(pa.array(own)), node[own], n, np.zeros_like(n), np.fromiter(map(quotas.get, n.tolist()), np.int64, len(n)), True)
+            sig, node, size = sig[~own].astype(np.int64), node[~own], size[~own]
         if not len(sig):
             continue
         again = np.append(sig0 is not None and sig[0] == sig0 and node[0] == last0, (sig[1:] == sig[:-1]) & (node[1:] == node[:-1]))
@@ -225,16 +268,8 @@ def _run_members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead_size = np.where(carried, size0, size[first]).astype(np.int32)
         place = np.where(carried, index + seen0, index - first)
         second, member = place == 1, place >= 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([sig[second], sig[member]])),
-                pa.array(np.concatenate([lead[second], node[member]])),
-                pa.array(np.concatenate([lead_size[second], size[member]])),
-                pa.array(np.concatenate([lead[second], lead[member]])),
-                pa.array(np.concatenate([lead_size[second], lead_size[member]])),
-            ],
-            ["sig", "node", "size", "lead", "lead_size"],
-        )
+        both = lambda first, then: np.concatenate([first[second], then[member]])
+        yield _rows(pa.array(both(sig, sig)), both(lead, node), both(lead_size, size), both(lead, lead), both(lead_size, lead_size), False)
         sig0, lead0, size0, last0, seen0 = sig[-1], lead[-1], lead_size[-1], node[-1], place[-1] + 1
 
 
@@ -244,39 +279,28 @@ class _Join:
     def __init__(self, n: int, num: int, den: int):
         self.n, self.num, self.den = n, num, den
 
-    def identify(self, rows: DataFrame) -> DataFrame:
-        """id, n_shingles, node: the identity of each document's set; null without words or id."""
-        n = self.n
-
-        def run(batches):
-            for batch in batches:
-                size, node = [], []
-                for texts in _batches(batch.column("text")):
-                    for t in texts:
-                        s = shingles(t, n)
-                        size.append(len(s))
-                        node.append(fingerprint(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64())], ["id", "n_shingles", "node"])
-
-        out = rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_shingles long, node long")
-        return out.withColumn("node", F.when(F.col("id").isNotNull(), F.col("node")))
-
-    def runs(self, rows: DataFrame) -> DataFrame:
-        """sig, node, size, lead, lead_size: the signatures that several nodes share."""
+    def signed(self, rows: DataFrame) -> DataFrame:
+        """sig, node, size, lead, lead_size, own: for each document a row (own) with its id, set and
+        number of shingles, and the signatures that several sets share. Texts are read once."""
         n, num, den = self.n, self.num, self.den
 
         def sign(batches):
             for batch in batches:
+                ids, at = batch.column("id"), 0
                 for texts in _batches(batch.column("text")):
-                    sets = [shingles(t, n) for t in texts]
-                    ids = np.array([fingerprint(s) if len(s) else 0 for s in sets], np.int64)
+                    here = ids.slice(at, len(texts))
+                    at += len(texts)
+                    sets = shingle_sets(texts, n)
+                    nodes = np.where(here.is_valid().to_numpy(zero_copy_only=False), fingerprints(sets), 0)
                     sizes = np.array([len(s) for s in sets], np.int32)
-                    sig, of = signatures(sets, num, den)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[of]), pa.array(sizes[of])], ["sig", "node", "size"])
+                    sig, of = signatures([s if x else s[:0] for s, x in zip(sets, nodes, strict=True)], num, den)
+                    names = ["sig", "node", "size"]
+                    yield pa.RecordBatch.from_arrays([here, pa.array(nodes), pa.array(-1 - sizes)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(nodes[of]), pa.array(sizes[of])], names)
 
-        signed = rows.filter("id is not null").mapInArrow(sign, "sig long, node long, size int")
-        by_sig = signed.repartition("sig").sortWithinPartitions("sig", "node")
-        return by_sig.mapInArrow(_run_members, "sig long, node long, size int, lead long, lead_size int")
+        by_sig = rows.mapInArrow(sign, "sig long, node long, size int").repartition("sig").sortWithinPartitions("sig", "node")
+        schema = "sig long, node long, size long, lead long, lead_size long, own boolean"
+        return by_sig.mapInArrow(lambda batches: _run_members(batches, num, den), schema)
 
     def sets(self, rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
         """node, shingles: the whole sets of the wanted nodes, each from one of its documents."""
@@ -284,17 +308,14 @@ class _Join:
 
         def run(batches):
             for batch in batches:
-                want = batch.column("node").to_pylist()
-                at = 0
+                want, at = batch.column("node").to_numpy(zero_copy_only=False), 0
                 for texts in _batches(batch.column("text")):
-                    kept, found = [], []
-                    for t in texts:
-                        s = shingles(t, n)
-                        if len(s) and fingerprint(s) == want[at]:  # an id may stand for several texts
-                            kept.append(want[at])
-                            found.append(s.view(np.int64))
-                        at += 1
-                    yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+                    sets = shingle_sets(texts, n)
+                    # An id may stand for several texts: only that of the node is wanted.
+                    kept = np.flatnonzero(fingerprints(sets) == want[at : at + len(texts)])
+                    found = [sets[i].view(np.int64) for i in kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(want[at + kept]), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+                    at += len(texts)
 
         chosen = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
         texts = rows.join(chosen, "id").select("node", "text")
@@ -327,21 +348,32 @@ def similar_classes(
     null text) link with nothing and are their own component; rows with a null id too, and
     theirs is null. Rows that repeat an id are rows of their own with one id.
 
-    1. Documents with the same set are one node (set_id); copies cost nothing from here on.
-    2. Every node's PartEnum signatures are sorted by signature. In each run of equal ones the
-       nodes are paired with the first; each node keeps the smallest such partner, and that
-       pair is verified on the whole sets. These links give first labels.
+    Ids are integers.
+
+    1. Documents with the same set are one node (set_id). Every node's PartEnum signatures are
+       sorted by signature; copies fall together there. Nodes that share fewer signatures
+       than their quota have no partner and leave.
+    2. In each run of equal signatures the nodes are paired with the first; each node keeps the
+       smallest such partner, and that pair is verified on the whole sets. These links give
+       first labels.
     3. Runs whose nodes have different labels are left. After a few more rounds with other
-       partners, their pairs across labels, all of them, are verified. Then every pair with a common
+       partners, their pairs across labels, all that reach the quota, are verified. Then every pair with a common
        signature is either verified or within one component, so the components are those
        of all links.
     """
     spark = docs.sparkSession
     ship(spark)
     join = _Join(n, num, den)
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    nodes = stage(join.identify(rows), "nodes")
-    runs = stage(join.runs(rows), "runs")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    signed = stage(join.signed(rows), "signed")
+    nodes = signed.filter("own").select(F.col("sig").alias("id"), F.when(F.col("node") != 0, F.col("node")).alias("node"), F.col("size").alias("n_shingles"), F.col("lead_size").alias("quota"))
+    # A set that is similar to another is in as many runs as its quota says, or more.
+    quotas = nodes.filter("node is not null").groupBy("node").agg(F.min("quota").alias("quota"))
+    shared = signed.filter("not own")
+    active = shared.groupBy("node").agg(F.count("*").alias("n")).join(quotas, "node").filter("n >= quota").select("node", "quota")
+    runs = shared.select("sig", "node", "size").join(active, "node")
+    lead = runs.groupBy("sig").agg(F.min(F.struct(F.col("node").alias("lead"), F.col("size").alias("lead_size"))).alias("l"), F.count("*").alias("n"))
+    runs = stage(runs.join(lead.filter("n > 1").select("sig", "l.*"), "sig"), "runs")
     sets = stage(join.sets(rows, nodes, runs.select("node").distinct()), "sets")
 
     pairs = runs.filter((F.col("node") != F.col("lead")) & join.possible(F.col("size"), F.col("lead_size")))
@@ -349,13 +381,13 @@ def similar_classes(
     links = stage(join.verify(pairs, sets), "links")
     labels = components(links)
 
-    members = runs.select("sig", "node", "size")
+    members = runs.select("sig", "node", "size", "quota")
     for step in range(ROUNDS + 1):
         named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         counts = named.groupBy("sig", "label").agg(F.count("*").alias("n"))
         mixed = counts.groupBy("sig").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
         mixed = mixed.filter("labels > 1").select("sig", F.col("top.label").alias("most"))
-        members = stage(named.join(mixed, "sig").select("sig", "node", "size", "label", "most"), "mixed")
+        members = stage(named.join(mixed, "sig").select("sig", "node", "size", "quota", "label", "most"), "mixed")
         if not members.limit(1).count():
             break
         b = [F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label")]
@@ -369,13 +401,15 @@ def similar_classes(
             # Whoever is not of a run's largest label meets all others of it that have another.
             few = members.filter("label != most")
             once = (F.col("b_label") == F.col("most")) | (F.col("node") < F.col("b"))
-            pairs = few.join(members.select("sig", *b), "sig").filter(differ & once)
-            pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+            pairs = few.join(members.select("sig", *b, F.col("quota").alias("b_quota")), "sig").filter(differ & once)
+            pairs = pairs.groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+            pairs = pairs.agg(F.count("*").alias("n"), F.min(F.least("quota", "b_quota")).alias("least"))
+            pairs = pairs.filter("n >= least").select("a", "b")
         more = stage(join.verify(pairs, sets), "links")
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
-        members = members.select("sig", "node", "size")
+        members = members.select("sig", "node", "size", "quota")
 
     # The smallest id of each component. Copies were joined at their node first.
     least = nodes.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
