@@ -99,7 +99,7 @@ def parse_time(text: Column) -> Column:
 
 def days_mask(text: Column) -> Column:
     """Mon,Thu or Daily to the mask; empty to 0; an unknown word to null."""
-    words = F.transform(F.split(text, ","), F.trim)
+    words = F.transform(F.split(text, ","), lambda w: F.trim(w))
     values = F.create_map(*[x for i, n in enumerate(WEEKDAYS) for x in (F.lit(n), F.lit(1 << i))])
     bits = F.transform(words, lambda w: values[w])
     total = F.aggregate(bits, F.lit(0), lambda a, b: a.bitwiseOR(b))
