@@ -399,6 +399,11 @@ SELECT key, any_value(value) AS value, count(*) AS claims FROM c GROUP BY key HA
     ),
     "saves_last_writer_wins": _alone(_SAVES, 'SELECT "user", key, "at", deleted, data FROM w'),
     "saves_prune": _alone(_SAVES, f'SELECT "user", key, "at", deleted, data FROM w WHERE NOT deleted OR (SELECT max("at") FROM sv) - "at" < {10 * 24 * 3600 * 1000}'),
+    "stations_in_boxes": _sql(
+        """SELECT station, CASE
+  WHEN lat >= 12 AND lat < 18 AND lon >= 76 AND lon < 82 AND NOT (lat >= 13 AND lat < 15 AND lon >= 77 AND lon < 79) THEN 'hole'
+  WHEN lat >= 25 AND lat < 37 AND lon >= 70 AND lon < 82 THEN 'north' WHEN lat >= 8 AND lat < 17 AND lon >= 74 AND lon < 83 THEN 'south' END AS in_state FROM s""",
+    ),
     "sitemap_urls": _sql(
         """f AS (SELECT trip, place AS a, min(seq) AS s1, arg_min(dep, seq) AS dep FROM hp WHERE dep IS NOT NULL GROUP BY trip, place),
 r AS (

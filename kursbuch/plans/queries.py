@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import climate, geo
 from ..functions import text as tx
-from ..operators import graph, lines, ranking, reach, resolve, saves, spatial
+from ..operators import graph, lines, plan, ranking, reach, repair, resolve, saves, spatial
 from ..sources.driver_tables import Network
 
 #: Week minute of the questions that ask from now on: Thursday 14:05.
@@ -265,6 +265,29 @@ def rides_on_date(n: Network) -> DataFrame:
     return rides.orderBy("arrive", "dur", "trip").limit(6)
 
 
+@query
+def plan_trip(n: Network) -> DataFrame:
+    """Hub, second place for two nights, third place and home again, from a Friday on."""
+    third = n._nth_place(2)
+    legs = plan.plan_trip(n.placed, n.trips, n.trains_at, [(n.hub, 0), (n.second, 2), (third, 0), (n.hub, 0)], start_day=4)
+    return n.spark.createDataFrame(legs, "leg int, a int, b int, ready long, depart long, arrive long, trips array<long>, km long")
+
+
+@query
+def retimed_halts(n: Network) -> DataFrame:
+    """Halts whose times are taken as estimates where the station's number ends on 3, and made too quick."""
+    rough = n.halts.withColumn("estimated", (F.col("station") % 10 == 3) & F.col("arr").isNotNull() & F.col("dep").isNotNull())
+    rough = rough.withColumn("km", F.when(F.col("estimated"), F.col("km") + F.col("seq") * 400).otherwise(F.col("km")))
+    return repair.retime(rough)
+
+
+@query
+def stations_in_boxes(n: Network) -> DataFrame:
+    box = lambda y, x, d: [[(x, y), (x + d, y), (x + d, y + d), (x, y + d)]]
+    states = {"north": box(25.0, 70.0, 12.0), "south": box(8.0, 74.0, 9.0), "hole": [*box(12.0, 76.0, 6.0), *box(13.0, 77.0, 2.0)]}
+    return repair.state_of(n.stations, states).select("station", "in_state")
+
+
 @query
 def records_longest(n: Network) -> DataFrame:
     return lines.records(n.halts).orderBy(F.col("km").desc(), "trip").limit(1)
