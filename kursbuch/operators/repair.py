@@ -1,4 +1,4 @@
-"""Kernels that carry state along a trip, and geometry that needs loops."""
+"""Re-timing along a trip, and geometry that needs loops."""
 
 from __future__ import annotations
 
@@ -6,64 +6,49 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
 
-def retime_run(arr: list[float], dep: list[float], km: list[float], estimated: list[bool]) -> tuple[list[float], list[float]]:
-    """Times of estimated halts between printed ones, by distance, where the present ones cannot be.
-
-    A run is done anew only if some stretch in it of more than 3 km takes no time, or is faster than
-    110 km/h and than one and a half times the run's own speed. Every halt keeps a minute's
-    stop if the run has two minutes for each; no time goes back or past the run's end."""
-    arr, dep = list(arr), list(dep)
-    at = 0
-    while at < len(arr):
-        if not estimated[at]:
-            at += 1
-            continue
-        begin = at
-        while at < len(arr) and estimated[at]:
-            at += 1
-        a, b = begin - 1, at
-        if a < 0 or b >= len(arr):
-            continue
-        t0, t1, k0, k1, n = dep[a], arr[b], km[a], km[b], b - a - 1
-        if t0 is None or t1 is None or t1 <= t0:
-            continue
-        most = max(110.0, 1.5 * (k1 - k0) / ((t1 - t0) / 60))
-
-        def quick(i: int, most: float = most) -> bool:
-            way = km[i + 1] - km[i]
-            minutes = (arr[i + 1] - dep[i]) if arr[i + 1] is not None and dep[i] is not None else 0
-            return way > 3 and (minutes <= 0 or way / (minutes / 60) > most)
-
-        if not any(quick(i) for i in range(a, b)):
-            continue
-        dwell = 1 if t1 - t0 >= 2 * n + 1 else 0
-        moving, last = t1 - t0 - n * dwell, t0
-        for i in range(n):
-            k = km[a + 1 + i]
-            share = (k - k0) / (k1 - k0) if k1 > k0 and k0 <= k <= k1 else (i + 1) / (n + 1)
-            t = max(last + dwell, t0 + round(share * moving) + i * dwell)
-            arr[a + 1 + i] = t = min(t, t1 - (n - i) * dwell - dwell)
-            dep[a + 1 + i] = last = t + dwell
-    return arr, dep
-
-
 def retime(halts: DataFrame) -> DataFrame:
-    """halts (trip, seq, arr, dep, km, estimated) with new times by retime_run; a trip is one group."""
-    ship(halts.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        plain = lambda c: [None if pd.isna(x) else int(x) for x in pdf[c]]
-        arr, dep = retime_run(plain("arr"), plain("dep"), pdf["km"].astype(float).tolist(), pdf["estimated"].tolist())
-        return pdf[["trip", "seq"]].assign(arr=pd.array(arr, "Int64"), dep=pd.array(dep, "Int64"))
-
-    return halts.select("trip", "seq", "arr", "dep", "km", "estimated").groupBy("trip").applyInPandas(run, "trip long, seq long, arr long, dep long")
+    """trip, seq, arr, dep of halts (trip, seq, arr, dep, km, estimated): times of estimated halts between
+    printed ones, by distance, where the present ones cannot be.
+
+    A run of estimated halts is done anew if some stretch of it of more than 3 km takes no time, or
+    is faster than 110 km/h and than one and a half times the run's own speed. Every halt stops
+    for a minute if the run has two minutes for each. A halt's time is its share of the moving
+    time, but not before the one ahead of it has left, which over the run is a running maximum,
+    and not so late that those behind it find no room. Windows by trip, no loop."""
+    trip = Window.partitionBy("trip").orderBy("seq")
+    printed = ~F.col("estimated")
+    seen = trip.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = trip.rowsBetween(1, Window.unboundedFollowing)
+    rows = halts.select("trip", "seq", "arr", "dep", "km", "estimated").withColumn("run", F.sum(printed.cast("int")).over(seen))
+    rows = rows.withColumn("a", F.last(F.when(printed, F.struct("dep", "km")), True).over(seen))
+    rows = rows.withColumn("b", F.first(F.when(printed, F.struct("arr", "km")), True).over(ahead))
+    whole = Window.partitionBy("trip", "run")
+    within = whole.orderBy("seq")
+    span = F.col("b.arr") - F.col("a.dep")
+    way, took = F.lead("km").over(trip) - F.col("km"), F.coalesce(F.lead("arr").over(trip) - F.col("dep"), F.lit(0))
+    fast = F.greatest(F.lit(110.0), 1.5 * (F.col("b.km") - F.col("a.km")) / (span / 60))
+    rows = rows.withColumn("quick", (way > 3) & F.when(took <= 0, True).otherwise(way / (took / 60) > fast))
+    rows = rows.withColumn("redo", (F.max(F.when(F.col("quick"), 1).otherwise(0)).over(whole) == 1) & (span > 0))
+    rows = rows.withColumn("n", F.sum(F.col("estimated").cast("int")).over(whole)).withColumn("i", F.row_number().over(within) - 2)
+    rows = rows.withColumn("stop", F.when(span >= 2 * F.col("n") + 1, 1).otherwise(0))
+    fits = (F.col("b.km") > F.col("a.km")) & F.col("km").between(F.col("a.km"), F.col("b.km"))
+    share = F.when(fits, (F.col("km") - F.col("a.km")) / (F.col("b.km") - F.col("a.km"))).otherwise((F.col("i") + 1) / (F.col("n") + 1))
+    own = F.col("a.dep") + F.bround(share * (span - F.col("n") * F.col("stop"))) + F.col("i") * F.col("stop")
+    step = 2 * F.col("stop") * F.col("i")
+    rows = rows.withColumn("lead", F.when(F.col("estimated"), own - step))
+    pushed = step + F.greatest(F.col("a.dep") + F.col("stop"), F.max("lead").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    latest = F.col("b.arr") - (F.col("n") - F.col("i") + 1) * F.col("stop")
+    change = F.col("estimated") & F.coalesce(F.col("redo"), F.lit(False))
+    rows = rows.withColumn("new", F.least(pushed, latest).cast("long"))
+    return rows.select(
+        "trip", "seq", F.when(change, F.col("new")).otherwise(F.col("arr")).alias("arr"), F.when(change, F.col("new") + F.col("stop")).otherwise(F.col("dep")).alias("dep")
+    )
 
 
 def inside(x: np.ndarray, y: np.ndarray, rings: Sequence[Sequence[tuple[float, float]]]) -> np.ndarray:

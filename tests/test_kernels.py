@@ -5,22 +5,32 @@ import numpy as np
 from kursbuch.operators import plan, repair
 
 
-def test_retiming_by_distance():
-    arr, dep = [None, 1, 2, 100], [0, 1, 2, None]
-    a, d = repair.retime_run(arr, dep, [0.0, 50.0, 100.0, 150.0], [False, True, True, False])
-    assert a == [None, 33, 66, 100] and d == [0, 34, 67, None]
-    assert repair.retime_run([None, 50, 100], [0, 51, None], [0.0, 50.0, 100.0], [False, True, False]) == ([None, 50, 100], [0, 51, None])
-    assert repair.retime_run([None, 5], [0, 6], [0.0, 90.0], [False, True])[0] == [None, 5]
+def retimed(spark, trips):
+    rows = [(t, i, a, d, k, e) for t, halts in enumerate(trips) for i, (a, d, k, e) in enumerate(halts)]
+    df = spark.createDataFrame(rows, "trip long, seq long, arr long, dep long, km double, estimated boolean")
+    out = {}
+    for r in repair.retime(df).orderBy("trip", "seq").collect():
+        out.setdefault(r["trip"], []).append((r["arr"], r["dep"]))
+    return [out[t] for t in range(len(trips))]
 
 
-def test_times_never_go_back():
+def test_retiming_by_distance(spark):
+    quick = [(None, 0, 0.0, False), (1, 1, 50.0, True), (2, 2, 100.0, True), (100, None, 150.0, False)]
+    fine = [(None, 0, 0.0, False), (50, 51, 50.0, True), (100, None, 100.0, False)]
+    open_end = [(None, 0, 0.0, False), (5, 6, 90.0, True)]
+    got = retimed(spark, [quick, fine, open_end])
+    assert got == [[(None, 0), (33, 34), (66, 67), (100, None)], [(None, 0), (50, 51), (100, None)], [(None, 0), (5, 6)]]
+
+
+def test_times_never_go_back(spark):
     rng = np.random.default_rng(0)
-    for _ in range(200):
+    trips = []
+    for _ in range(60):
         n = int(rng.integers(1, 6))
-        end = int(rng.integers(1, 40))
-        km = [0.0, *sorted(rng.uniform(0, 300, n).tolist()), 300.0]
-        a, d = repair.retime_run([None, *[0] * n, end], [0, *[0] * n, None], km, [False, *[True] * n, False])
-        times = [x for pair in zip(a, d, strict=True) for x in pair if x is not None]
+        km = sorted(rng.uniform(0, 300, n).tolist())
+        trips.append([(None, 0, 0.0, False), *[(0, 0, k, True) for k in km], (int(rng.integers(n, 60)), None, 300.0, False)])
+    for halts in retimed(spark, trips):
+        times = [x for pair in halts for x in pair if x is not None]
         assert times == sorted(times)
 
 
