@@ -9,6 +9,7 @@ from functools import lru_cache
 from itertools import chain, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -324,6 +325,27 @@ class _Join:
     def possible(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
+    def blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links across labels within the clusters that hot runs make.
+
+        A cluster is what shared hot runs connect. Its nodes outside of its largest label meet all
+        of its nodes, in blocks: a task gets two blocks of whole sets, however large the cluster."""
+        num, den = self.num, self.den
+        first = members.groupBy("sig").agg(F.min("node").alias("b"))
+        edges = members.join(first, "sig").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
+        cluster = components(edges).withColumnRenamed("label", "cluster")
+        nodes = members.select("node", "label").distinct().join(cluster, "node")
+        counts = nodes.groupBy("cluster", "label").agg(F.count("*").alias("k"))
+        most = counts.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"))
+        most = most.select("cluster", F.col("top.label").alias("most"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+        nodes = stage(nodes.join(most, "cluster").join(sets, "node").withColumn("place", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "clusters")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        few = nodes.filter("label <> most").select("cluster", F.col("place").alias("i"), every.alias("j"), "node", "label", "shingles")
+        many = nodes.select("cluster", every.alias("i"), F.col("place").alias("j"), "node", "label", "shingles")
+        key = ["cluster", "i", "j"]
+        met = few.groupBy(*key).cogroup(many.groupBy(*key))
+        return met.applyInPandas(lambda x, y: _link_blocks(x, y, num, den), "a long, b long")
+
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Of pairs a, b those that link, by their whole sets."""
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -333,6 +355,44 @@ class _Join:
         return met.filter(F.col("both") * self.den >= F.col("all") * self.num).select("a", "b")
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of runs with several labels, with their label, the run's most frequent one and its size."""
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = named.groupBy("sig", "label").agg(F.count("*").alias("k"))
+    mixed = counts.groupBy("sig").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"), F.sum("k").alias("n"))
+    mixed = mixed.filter("labels > 1").select("sig", F.col("top.label").alias("most"), "n")
+    return named.join(mixed, "sig")
+
+
+def _link_blocks(few: pd.DataFrame, many: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Links between two blocks of sets with different labels: for each of the few, one with each label."""
+    out: list[tuple[int, int]] = []
+    if len(few) and len(many):
+        x, y = [np.asarray(v, np.int64) for v in few["shingles"]], [np.asarray(v, np.int64) for v in many["shingles"]]
+        common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+        both = np.zeros((len(x), len(y)), np.float32)
+        for i in range(0, len(common), 4096):  # exact: counts are far below 2^24
+            part = common[i : i + 4096]
+            m = [np.zeros((len(side), len(part)), np.float32) for side in (x, y)]
+            for side, rows in zip((x, y), m, strict=True):
+                for k, v in enumerate(side):
+                    at = np.minimum(np.searchsorted(part, v), len(part) - 1)
+                    rows[k, at[part[at] == v]] = 1
+            both += m[0] @ m[1].T
+        sizes = np.add.outer([len(v) for v in x], [len(v) for v in y])
+        labels = many["label"].to_numpy()
+        hit = (both * den >= (sizes - both) * num) & (few["label"].to_numpy()[:, None] != labels[None, :])
+        for i in np.flatnonzero(hit.any(1)):
+            at = np.flatnonzero(hit[i])
+            _, first = np.unique(labels[at], return_index=True)
+            out += [(int(few["node"].iloc[i]), int(many["node"].iloc[j])) for j in at[first]]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+#: Runs with more members are compared in blocks of their sets, not pair by pair.
+HOT_RUN = 48
+#: Sets of a block.
+BLOCK = 400
 #: Rounds in which each node left in a mixed run is verified against one partner, before all
 #: pairs across labels are.
 ROUNDS = 2
@@ -353,13 +413,13 @@ def similar_classes(
     1. Documents with the same set are one node (set_id). Every node's PartEnum signatures are
        sorted by signature; copies fall together there. Nodes that share fewer signatures
        than their quota have no partner and leave.
-    2. In each run of equal signatures the nodes are paired with the first; each node keeps the
-       smallest such partner, and that pair is verified on the whole sets. These links give
-       first labels.
+    2. In each run of equal signatures the nodes are paired with the one that is in the most and
+       largest runs; each node keeps its heaviest such partner, and that pair is verified on the whole
+       sets. These links give first labels.
     3. Runs whose nodes have different labels are left. After a few more rounds with other
-       partners, their pairs across labels, all that reach the quota, are verified. Then every pair with a common
-       signature is either verified or within one component, so the components are those
-       of all links.
+       partners, their pairs across labels, all that reach the quota, are verified; those of hot
+       runs in blocks of sets. Then every pair that can link is either verified or within
+       one component, so the components are those of all links.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -372,44 +432,49 @@ def similar_classes(
     shared = signed.filter("not own")
     active = shared.groupBy("node").agg(F.count("*").alias("n")).join(quotas, "node").filter("n >= quota").select("node", "quota")
     runs = shared.select("sig", "node", "size").join(active, "node")
-    lead = runs.groupBy("sig").agg(F.min(F.struct(F.col("node").alias("lead"), F.col("size").alias("lead_size"))).alias("l"), F.count("*").alias("n"))
-    runs = stage(runs.join(lead.filter("n > 1").select("sig", "l.*"), "sig"), "runs")
+    several = runs.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
+    runs = stage(runs.join(several, "sig"), "runs")
+    # Who is in many and large runs is the likeliest to link with the others there.
+    weights = runs.groupBy("node").agg(F.sum("n").alias("weight"))
+    runs = stage(runs.join(weights, "node"), "weighed")
     sets = stage(join.sets(rows, nodes, runs.select("node").distinct()), "sets")
 
-    pairs = runs.filter((F.col("node") != F.col("lead")) & join.possible(F.col("size"), F.col("lead_size")))
-    pairs = pairs.groupBy(F.col("node").alias("a")).agg(F.min("lead").alias("b"))
+    other = [F.col("node").alias("b"), F.col("size").alias("b_size")]
+    lead = runs.groupBy("sig").agg(F.max(F.struct("weight", *other)).alias("lead")).select("sig", F.col("lead.weight").alias("b_weight"), "lead.b", "lead.b_size")
+    pairs = runs.join(lead, "sig").filter((F.col("node") != F.col("b")) & join.possible(F.col("size"), F.col("b_size")))
+    pairs = pairs.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("b_weight", "b")).alias("lead")).select("a", F.col("lead.b").alias("b"))
     links = stage(join.verify(pairs, sets), "links")
     labels = components(links)
 
-    members = runs.select("sig", "node", "size", "quota")
+    columns = ["sig", "node", "size", "quota", "weight"]
+    members = runs.select(*columns)
     for step in range(ROUNDS + 1):
-        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        counts = named.groupBy("sig", "label").agg(F.count("*").alias("n"))
-        mixed = counts.groupBy("sig").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
-        mixed = mixed.filter("labels > 1").select("sig", F.col("top.label").alias("most"))
-        members = stage(named.join(mixed, "sig").select("sig", "node", "size", "quota", "label", "most"), "mixed")
+        members = stage(_mixed(members, labels), "mixed")
         if not members.limit(1).count():
             break
-        b = [F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label")]
+        b = [*other, F.col("label").alias("b_label")]
         differ = (F.col("label") != F.col("b_label")) & join.possible(F.col("size"), F.col("b_size"))
         if step < ROUNDS:
-            draw = F.xxhash64("node", F.lit(step))
-            lead = members.groupBy("sig").agg(F.min(F.struct(draw.alias("draw"), *b)).alias("lead")).select("sig", "lead.*")
+            # Another partner, drawn with heavy nodes ahead.
+            draw = F.log((F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 30)) + 1) / float(1 << 30)) / (F.col("weight") * F.col("weight"))
+            lead = members.groupBy("sig").agg(F.max(F.struct(draw.alias("draw"), *b)).alias("lead")).select("sig", "lead.*")
             pairs = members.join(lead, "sig").filter(differ).groupBy(F.col("node").alias("a"))
-            pairs = pairs.agg(F.min(F.struct("draw", "b")).alias("lead")).select("a", F.col("lead.b").alias("b"))
+            pairs = pairs.agg(F.max(F.struct("draw", "b")).alias("lead")).select("a", F.col("lead.b").alias("b"))
+            more = stage(join.verify(pairs, sets), "links")
         else:
             # Whoever is not of a run's largest label meets all others of it that have another.
-            few = members.filter("label != most")
+            small = members.filter(F.col("n") <= HOT_RUN)
+            few = small.filter("label != most")
             once = (F.col("b_label") == F.col("most")) | (F.col("node") < F.col("b"))
-            pairs = few.join(members.select("sig", *b, F.col("quota").alias("b_quota")), "sig").filter(differ & once)
+            pairs = few.join(small.select("sig", *b, F.col("quota").alias("b_quota")), "sig").filter(differ & once)
             pairs = pairs.groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
             pairs = pairs.agg(F.count("*").alias("n"), F.min(F.least("quota", "b_quota")).alias("least"))
             pairs = pairs.filter("n >= least").select("a", "b")
-        more = stage(join.verify(pairs, sets), "links")
+            more = stage(join.verify(pairs, sets).union(join.blocks(members.filter(F.col("n") > HOT_RUN), sets)), "links")
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
-        members = members.select("sig", "node", "size", "quota")
+        members = members.select(*columns)
 
     # The smallest id of each component. Copies were joined at their node first.
     least = nodes.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
