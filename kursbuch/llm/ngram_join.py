@@ -331,10 +331,12 @@ class _Join:
         A cluster is what shared hot runs connect. Its nodes outside of its largest label meet all
         of its nodes, in blocks: a task gets two blocks of whole sets, however large the cluster."""
         num, den = self.num, self.den
-        first = members.groupBy("sig").agg(F.min("node").alias("b"))
-        edges = members.join(first, "sig").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
-        cluster = components(edges).withColumnRenamed("label", "cluster")
-        nodes = members.select("node", "label").distinct().join(cluster, "node")
+        # Nodes of one label are in one cluster anyway, so labels are connected, not nodes.
+        seen = members.select("sig", "label").distinct()
+        first = seen.groupBy("sig").agg(F.min("label").alias("b"))
+        edges = seen.join(first, "sig").select(F.col("label").alias("a"), "b").filter("a <> b").distinct()
+        cluster = components(edges).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+        nodes = members.select("node", "label").distinct().join(cluster, "label")
         counts = nodes.groupBy("cluster", "label").agg(F.count("*").alias("k"))
         most = counts.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"))
         most = most.select("cluster", F.col("top.label").alias("most"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
