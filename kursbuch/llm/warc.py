@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import attach, new_folder, stage, text_or_empty
+from .common import attach, new_folder, shuffle_partitions, stage, text_or_empty
 
 #: Index lines of a compressed block.
 BLOCK_LINES = 256
@@ -232,7 +232,8 @@ def read_archive(spark: SparkSession, folder: str, directory: DataFrame, with_pa
         files.close()
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
-    dealt = directory.repartition(F.col("file"), F.col("offset"))
+    # A given number: the directory is small, and by its bytes a few tasks would read everything.
+    dealt = directory.repartition(shuffle_partitions(spark), F.col("file"), F.col("offset"))
     return dealt.mapInArrow(read, schema)
 
 
