@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +13,8 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import stage
 
-#: Components whose absolute value reaches this take no part: sums could pass 64 bits.
-LARGEST = float(1 << 20)
+#: Scaled components from this size on are wide: they do not enter the index, whose sums are of 64 bits.
+WIDE = float(1 << 22)
 #: Rows of a block of the index. Queries of a block, and what a block has where they are few.
 ROWS, QUERY_ROWS, FEW_QUERIES = 32_768, 4096, 64
 #: Slices of the quantised attributes that are added up; the rest is resolved on whole values.
@@ -19,8 +22,8 @@ SLICES = 7
 
 
 def usable(vector: Column) -> Column:
-    """Neither null nor with a null, non-finite or too large component."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < LARGEST))
+    """Neither null nor with a null or non-finite component."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return F.coalesce(vector.isNotNull() & fine, F.lit(False))
 
 
@@ -121,24 +124,85 @@ class BitSlicedIndex:
         return rows, exact
 
 
-def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    found: list[tuple[int, int, int]] = []
+def whole(x: float, scale: float) -> int:
+    """floor(scale * x), also where the product is no finite double."""
+    y = x * scale
+    return math.floor(y) if math.isfinite(y) else math.floor(Fraction(x) * Fraction(scale))
+
+
+def key_of(score: int) -> bytes:
+    """Bytes in the order of scores where these do not fit 64 bits; one value for all that do."""
+    if -(1 << 63) <= score < 1 << 63:
+        return b"\x80"
+    size = (abs(score).bit_length() + 7) // 8
+    digits = size.to_bytes(2, "big") + abs(score).to_bytes(size, "big")
+    return b"\xff" + digits if score > 0 else b"\x00" + bytes(255 - c for c in digits)
+
+
+class WholeNumbers:
+    """Vectors of Python ints. Doubles with a bound of their error say which rows can be among
+    the best; these are scored exactly."""
+
+    def __init__(self, values: list[list[int]]):
+        self.values = values
+        self.floats = self._floats(values)
+
+    @staticmethod
+    def _floats(values: list[list[int]]) -> np.ndarray | None:
+        """Divided by a power of two so that none is above 1; None if doubles do not hold them."""
+        bits = max((abs(x).bit_length() for v in values for x in v), default=0)
+        return np.ldexp(np.array(values, np.float64), -bits) if bits <= 1000 else None
+
+    def top(self, weights: list[int], k: int, skip: np.ndarray) -> list[tuple[int, int]]:
+        """(row, score) of the rows, without ``skip``, that can be among the k best."""
+        rows = np.flatnonzero(~skip)
+        w = self._floats([weights])
+        if self.floats is not None and w is not None and len(rows) > k:
+            about = self.floats[rows] @ w[0]
+            # the last term stands for what is lost where products are too small for a double
+            off = (np.abs(self.floats[rows]) @ np.abs(w[0])) * ((len(weights) + 4) * 2.0**-51) + len(weights) * 2.0**-1000
+            rows = rows[about + off >= np.partition(about - off, len(rows) - k)[len(rows) - k]]
+        return [(int(r), sum(a * b for a, b in zip(self.values[r], weights, strict=True))) for r in rows]
+
+
+def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int, scale: float) -> pd.DataFrame:
+    found: list[tuple[int, int, int | None, bytes]] = []
     if len(rows) and len(queries):
         rows = rows.sort_values("vec_id", kind="stable")
+        wide = rows["w"].notna().to_numpy()
         ids = rows["vec_id"].to_numpy(np.int64)
-        values = np.stack([np.asarray(v, np.int64) for v in rows["v"]])
-        index = BitSlicedIndex(values)
-        for q, v in zip(queries["vec_id"], queries["v"], strict=True):
-            mask = None
-            lo, hi = np.searchsorted(ids, q), np.searchsorted(ids, q, "right")
-            if hi > lo:
-                own = np.ones(len(index.valid) * 64, np.uint8)
-                own[lo:hi] = 0
-                mask = np.packbits(own, bitorder="little").view(np.uint64)
-            at, score = index.top(np.asarray(v, np.int64), k, mask)
-            best = np.lexsort((ids[at], -score))[:k]
-            found += [(int(q), int(ids[at[i]]), int(score[i])) for i in best]
-    return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+        near, far = ids[~wide], ids[wide]
+        # narrow queries meet narrow rows in the index; every other pair is scored on whole numbers
+        index = BitSlicedIndex(np.stack([np.asarray(v, np.int64) for v in rows["v"][~wide]])) if len(near) else None
+        ints = lambda v, w: [int(x) for x in v] if w is None else [whole(float(x), scale) for x in w]
+        far_rows = WholeNumbers([ints(None, w) for w in rows["w"][wide]])
+        all_rows = None
+        for q, v, w in zip(queries["vec_id"], queries["v"], queries["w"], strict=True):
+            hits: list[tuple[int, int]] = []
+            if w is not None:
+                if all_rows is None:
+                    all_rows = WholeNumbers([ints(a, b) for a, b in zip(rows["v"], rows["w"], strict=True)])
+                hits = [(int(ids[r]), s) for r, s in all_rows.top(ints(v, w), k, ids == q)]
+            else:
+                if index is not None:
+                    mask = None
+                    lo, hi = np.searchsorted(near, q), np.searchsorted(near, q, "right")
+                    if hi > lo:
+                        own = np.ones(len(index.valid) * 64, np.uint8)
+                        own[lo:hi] = 0
+                        mask = np.packbits(own, bitorder="little").view(np.uint64)
+                    at, score = index.top(np.asarray(v, np.int64), k, mask)
+                    best = np.lexsort((near[at], -score))[:k]
+                    hits = [(int(near[at[i]]), int(score[i])) for i in best]
+                if len(far):
+                    hits += [(int(far[r]), s) for r, s in far_rows.top(ints(v, w), k, far == q)]
+            for i, s in sorted(hits, key=lambda h: (-h[1], h[0]))[:k]:
+                size = key_of(s)
+                found.append((int(q), i, s if size == b"\x80" else None, size))
+    # column by column: a frame of rows would make doubles of scores beside a null
+    columns = list(zip(*found, strict=True)) or [()] * 4
+    types = {"query_id": "int64", "vec_id": "int64", "score": "Int64", "size": "object"}
+    return pd.DataFrame({c: pd.array(list(x), dtype=t) if t == "Int64" else pd.Series(list(x), dtype=t) for (c, t), x in zip(types.items(), columns, strict=True)})
 
 
 def top_k(
@@ -146,8 +210,9 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query.
 
-    Components become floor(scale * x). Vectors that are null, hold a null, a non-finite
-    component or one of 2^20 or more in size, or have no id, take no part. Ties go to the smaller
+    Components become floor(scale * x). Vectors that are null, hold a null or a non-finite
+    component, or have no id, take no part. Large components are multiplied and ranked as whole
+    numbers of any size; a score that does not fit 64 bits is given as null at its right rank. Ties go to the smaller
     id. A row is no candidate of a query with its own id; rows that repeat an id are
     candidates of others each by itself, repeated queries count once. Vectors of different
     lengths have no product and do not meet.
@@ -162,8 +227,14 @@ def top_k(
     def ints(df: DataFrame) -> DataFrame:
         v = F.col(vector_col)
         value = F.transform(v, lambda x: F.floor(x.cast("double") * float(scale)).cast("int"))
+        wide = F.exists(v, lambda x: F.abs(x.cast("double") * float(scale)) >= WIDE)
         df = df.filter(usable(v) & F.col(id_col).isNotNull())
-        return df.select(F.col(id_col).cast("long").alias("vec_id"), value.alias("v")).withColumn("dims", F.size("v"))
+        return df.select(
+            F.col(id_col).cast("long").alias("vec_id"),
+            F.when(~wide, value).alias("v"),
+            F.when(wide, v.cast("array<double>")).alias("w"),
+            F.size(v).alias("dims"),
+        )
 
     rows, asked = stage(ints(vectors), "vectors"), stage(ints(queries).dropDuplicates(["vec_id"]), "queries")
     row_blocks = max(1, -(-rows.count() // ROWS))
@@ -175,7 +246,7 @@ def top_k(
     right = asked.withColumn("qb", place(query_blocks)).withColumn("rb", every(row_blocks))
     key = ["rb", "qb", "dims"]
     part = left.groupBy(*key).cogroup(right.groupBy(*key))
-    best = part.applyInPandas(lambda a, b: _search(a, b, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    best = part.applyInPandas(lambda a, b: _search(a, b, k, float(scale)), "query_id long, vec_id long, score long, size binary")
+    order = Window.partitionBy("query_id").orderBy(F.col("size").desc(), F.col("score").desc(), F.col("vec_id"))
     ranked = best.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

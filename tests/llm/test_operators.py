@@ -1,10 +1,12 @@
 """Each operator against brute force, with the awkward cases of the shared corpus."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -212,6 +214,23 @@ def test_top_k(spark):
     assert bitslice_topk.top_k(two, two.filter("vec_id = 0")).count() == 2
 
 
+def test_top_k_of_large_components(spark):
+    """Nothing finite is left out, and scores are exact at any size."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120)]
+    rows += [(150 + i, (rng.normal(size=6) * 2.0**e).tolist()) for i, e in enumerate((13, 19, 20, 22, 27, 40, 300, 1015))]
+    rows += [(200, [2.0**20] + [0.0] * 5), (201, [1.7e308] * 6), (202, [-1.7e308] * 6), (203, [2.0**20, 1.0] + [0.0] * 4), (204, [5e-324] * 6)]
+    rows += [(210, None), (211, [None] * 6), (212, [float("nan")] * 6), (213, [float("inf")] + [0.0] * 5), (214, [float("-inf")] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in bitslice_topk.top_k(df, df, k=7).collect())
+    good = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, w in good:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, v in good if i != q)[:7]
+        want += [(q, n + 1, i, -x if -(2**63) <= -x < 2**63 else None) for n, (x, i) in enumerate(best)]
+    assert got == sorted(want, key=lambda r: r[:2])
+
+
 @pytest.mark.parametrize("slices", [1, 3, 7, 12])
 def test_bit_slices_any_quantisation(slices):
     rng = np.random.default_rng(slices)
