@@ -125,6 +125,24 @@ def test_scan_finds_what_the_rules_miss(spark, corpus, no_docs):
     assert secrets.scan(no_docs).count() == 0
 
 
+def test_every_run_is_a_candidate(spark):
+    """From 12 characters on, with and without digits, and wherever it stands in a long text."""
+    from .conftest import make_docs
+
+    rnd = random.Random(6)
+    key = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    text = 'pwd: "Xk29fjQ81mZp" abcdefghijk token=abcdefghijklmnop ---------------- 123456789012'
+    assert [c[2] for c in secrets.candidates(text, secrets.base_spans(text))] == ["Xk29fjQ81mZp", "-" * 16, "123456789012"]
+    labelled = [(i, f'secret = "{key(12, mixed)}"', "s1") for i in range(300)]
+    words = [(1000 + i, " ".join([key(rnd.randint(12, 18), "aeioulnrst") for _ in range(20)] + [f"report-2024-{rnd.randint(100000, 999999)}"]), "s1") for i in range(60)]
+    loose = [(2000 + i, f'pwd: "{key(12, mixed)}"', "s2") for i in range(40)]
+    bare = [(3000 + i, f'pwd: "{key(12, mixed[:52])}"', "s2") for i in range(40)]
+    got = {r["doc_id"]: r["n_learnt"] for r in secrets.scan(make_docs(spark, labelled + words + loose + bare)).collect()}
+    assert sum(got[r[0]] for r in loose) >= 20 and sum(got[r[0]] for r in bare) >= 1
+    assert sum(got[r[0]] for r in words) <= 60 * 21 // 50
+
+
 # 3 byte-level BPE
 @pytest.fixture(scope="module")
 def byte_bpe():
