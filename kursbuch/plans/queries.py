@@ -217,6 +217,16 @@ def idw_surface(n: Network) -> DataFrame:
     return spatial.surface(grid, samples).select("cell", F.round("value", 6).alias("value"))
 
 
+@query
+def idw_surface_whole(n: Network) -> DataFrame:
+    """All stations on the lattice of 125 x 138, distances in cells; ``idw_surface`` and its SQL take
+    40 stations and 20 x 20. The map's conic projection is replaced by equal steps of degrees."""
+    across, down = 29 / 125, 29 / 138
+    grid = n.spark.range(125 * 138).select(F.col("id").alias("cell"), F.floor(F.col("id") / 125).alias("g_lat"), (F.col("id") % 125).alias("g_lon"))
+    samples = n.stations.select(((F.col("lat") - 8) / down).alias("lat"), ((F.col("lon") - 68) / across).alias("lon"), (F.col("station") % 45).cast("double").alias("v"))
+    return spatial.surface(grid, samples).select("cell", F.round("value", 6).alias("value"))
+
+
 def _centres(n: Network) -> DataFrame:
     first = Window.partitionBy("place").orderBy("station")
     return n.stations.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("place", "lat", "lon")

@@ -162,3 +162,16 @@ def test_diverse_choice(spark):
     rows = [(1, 100, 0.0, 20.0, 75.0, 20, 20), (1, 101, 0.1, 20.01, 75.0, 25, 25), (1, 102, 9.0, 20.5, 75.0, 60, 60), (1, 103, 9.0, 22.0, 75.0, 500, 500)]
     df = spark.createDataFrame(rows, "point long, station long, km double, s_lat double, s_lon double, minutes long, score long")
     assert [(r["rank"], r["station"]) for r in spatial.diverse(df).orderBy("rank").collect()] == [(1, 100), (2, 102)]
+
+
+def test_surface_of_all_samples(spark):
+    """Samples in several partitions, and the query on every station and cell."""
+    samples = [(float(i % 11), float(i % 7), float(i % 45)) for i in range(150)]
+    df = spark.createDataFrame(samples, "lat double, lon double, v double").repartition(3)
+    grid = spark.range(12).selectExpr("id as cell", "id div 4 as g_lat", "id % 4 as g_lon")
+    got = {r["cell"]: r["value"] for r in spatial.surface(grid, df).collect()}
+    for c in range(12):
+        w = [1 / ((c // 4 - a) ** 2 + (c % 4 - o) ** 2 + 1) ** 2 for a, o, _ in samples]
+        assert got[c] == pytest.approx(sum(x * s[2] for x, s in zip(w, samples, strict=True)) / sum(w))
+    assert spatial.surface(grid, df.limit(0)).count() == 0
+    assert "CartesianProduct" not in (plan := spatial.surface(grid, df)._jdf.queryExecution().toString()) and "NestedLoop" not in plan
