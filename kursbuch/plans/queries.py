@@ -204,6 +204,12 @@ def nearest_station(n: Network) -> DataFrame:
     return spatial.nearest(_points(n), n.stations, 350.0).select("point", "station", F.round("km", 6).alias("km"))
 
 
+@query
+def nearest_station_any(n: Network) -> DataFrame:
+    """At any distance; ``nearest_station`` and its SQL end at 350 km."""
+    return spatial.nearest_any(_points(n), n.stations).select("point", "station", F.round("km", 6).alias("km"))
+
+
 @query
 def range_join_grid(n: Network) -> DataFrame:
     found = geo.near(_points(n), n.stations, 25.0, ["point"], ["station"])
@@ -248,9 +254,15 @@ def nearest_stations_scored(n: Network) -> DataFrame:
     return spatial.scored(_points(n), _served(n), 120.0).select("point", "station", "minutes", "score")
 
 
+@query
+def nearest_stations_scored_whole(n: Network) -> DataFrame:
+    """Within the reference's 350 km; ``nearest_stations_scored`` and its SQL end at 120."""
+    return spatial.scored(_points(n), _served(n)).select("point", "station", "minutes", "score")
+
+
 @query
 def nearest_stations_diverse(n: Network) -> DataFrame:
-    return spatial.diverse(spatial.scored(_points(n), _served(n), 120.0))
+    return spatial.diverse(spatial.scored(_points(n), _served(n)))
 
 
 @query

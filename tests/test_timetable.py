@@ -13,6 +13,7 @@ from kursbuch.functions import climate
 from kursbuch.functions import text as tx
 from kursbuch.operators import graph, lines, reach, resolve, saves, spatial
 from kursbuch.plans import oracle
+from kursbuch.plans import queries as plans
 from kursbuch.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -175,3 +176,23 @@ def test_surface_of_all_samples(spark):
         assert got[c] == pytest.approx(sum(x * s[2] for x, s in zip(w, samples, strict=True)) / sum(w))
     assert spatial.surface(grid, df.limit(0)).count() == 0
     assert "CartesianProduct" not in (plan := spatial.surface(grid, df)._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+
+
+def test_nearest_at_any_distance(spark):
+    at = "point long, lat double, lon double"
+    points = spark.createDataFrame([(1, 20.0, 75.0), (2, 30.0, 75.0), (3, -40.0, 170.0), (4, None, 75.0)], at)
+    stations = spark.createDataFrame([(10, 20.1, 75.0), (11, 24.0, 75.0), (12, 37.0, 75.0)], at.replace("point", "station"))
+    assert {(r["point"], r["station"]) for r in spatial.nearest_any(points, stations).collect()} == {(1, 10), (2, 11), (3, 10)}
+
+
+def test_choices_within_350_km(spark):
+    """One station 200 km off: the registered queries gave the point no row."""
+
+    class Small:
+        def table(self, name):
+            return spark.range(1).selectExpr("0L as c_custkey")
+
+        stations = spark.createDataFrame([(7, 1, 9.8, 68.0)], "station long, place int, lat double, lon double")
+        halts = spark.createDataFrame([(7,)] * 5, "station long")
+
+    assert [f(Small()).count() for f in (plans.nearest_stations_scored_whole, plans.nearest_stations_diverse)] == [1, 1]
