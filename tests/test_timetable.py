@@ -196,3 +196,8 @@ def test_choices_within_350_km(spark):
         halts = spark.createDataFrame([(7,)] * 5, "station long")
 
     assert [f(Small()).count() for f in (plans.nearest_stations_scored_whole, plans.nearest_stations_diverse)] == [1, 1]
+
+
+def test_shortest_way_of_many_edges(spark):
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(36)] + [(0, 36, 50.0)], "a long, b long, km double")
+    assert {(r["node"], r["km"]) for r in graph.shortest(e, 0, 100.0).collect()} == {(i, float(i)) for i in range(37)}
