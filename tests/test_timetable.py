@@ -201,3 +201,14 @@ def test_choices_within_350_km(spark):
 def test_shortest_way_of_many_edges(spark):
     e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(36)] + [(0, 36, 50.0)], "a long, b long, km double")
     assert {(r["node"], r["km"]) for r in graph.shortest(e, 0, 100.0).collect()} == {(i, float(i)) for i in range(37)}
+
+
+def test_renumbered_services(spark):
+    """A neighbouring end station, the way back, a tie by name, a tie that stays, and one too far."""
+    st = [(1, 20.0, 75.0), (2, 20.2, 75.0), (3, 25.0, 80.0), (4, 25.1, 80.1), (5, 10.0, 77.0), (6, 12.0, 77.0), (7, 10.5, 77.0), (8, 15.0, 70.0)]
+    stations = spark.createDataFrame([*st, (9, None, None)], "station long, lat double, lon double")
+    schema = "trip long, name string, a long, b long"
+    gone = [(100, "Deccan Express", 1, 3), (101, "Konkan Mail", 5, 6), (102, "Express", 6, 5), (103, None, 7, 6), (104, "Hill", 8, 9)]
+    new = [(200, "Other", 4, 2), (201, "Konkan Special", 5, 6), (202, "Malabar Express", 6, 5), (203, "x", 9, 8)]
+    got = resolve.renumber_resolution(spark.createDataFrame(gone, schema), spark.createDataFrame(new, schema), stations)
+    assert {(r["old"], r["new"]) for r in got.collect()} == {(100, 200), (101, 201), (104, 203)}
