@@ -11,6 +11,8 @@ from .common import WORD, attach, fresh, stage
 
 #: Bins of each of the two levels of the distributed prefix sum.
 BINS = 256
+#: Between these are the logarithms of keys of all weights that a double can be, from 1e-6 on.
+LOW, HIGH = -750.0, 20.0
 
 
 def word_count(text: Column) -> Column:
@@ -30,6 +32,13 @@ def exponential_key(id_col: Column, weight: Column, seed: int) -> Column:
     return -F.log(u) / weight
 
 
+def key_bin(key: Column) -> Column:
+    """The bin of a key: equal steps of its logarithm. The logarithm of a key is spread alike for every
+    weight, only moved by it, so a bin holds less than half a hundredth of the rows of a weight."""
+    place = (F.greatest(F.log(key), F.lit(LOW)) - LOW) / (HIGH - LOW)
+    return F.least(F.floor(place * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("int")
+
+
 def source_targets(sizes: DataFrame, ratios: Sequence[int], share: float, cap: float) -> DataFrame:
     """source, source_size, target: the sources by code point, null last, get ``ratios`` in turn.
 
@@ -92,9 +101,7 @@ def mix(
         base = wide.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("weight"))
     safe = F.when(F.col("weight") > 1e-6, F.col("weight")).otherwise(F.lit(1e-6))
     base = base.select("id", "source", "size", exponential_key(F.col("id"), safe, seed).alias("sample_key"))
-    place = 1.0 - F.exp(-F.col("sample_key"))
-    fine = F.least(F.floor(place * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("int")
-    base = stage(base.withColumn("fine", fine).withColumn("coarse", (F.col("fine") / BINS).cast("int")), "sizes")
+    base = stage(base.withColumn("fine", key_bin(F.col("sample_key"))).withColumn("coarse", (F.col("fine") / BINS).cast("int")), "sizes")
 
     src = source_targets(base, ratios, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

@@ -77,6 +77,15 @@ def test_weights_and_drawing(docs):
     assert drawn.columns == docs.columns and drawn.count() > 0
 
 
+@pytest.mark.parametrize("weight", [1e-6, 0.006, 1.0, 1e6, 1e300])
+def test_bins_of_any_weight_are_small(spark, weight):
+    rows = spark.range(20_000).select(mixing.exponential_key(F.col("id"), F.lit(weight), 7).alias("key"))
+    rows = rows.withColumn("bin", mixing.key_bin(F.col("key")))
+    bins = rows.groupBy("bin").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("bin").collect()
+    assert max(b["n"] for b in bins) < 20_000 / 100 and 0 <= bins[0]["bin"] and bins[-1]["bin"] < mixing.BINS**2
+    assert all(a["hi"] < b["lo"] for a, b in zip(bins, bins[1:]))
+
+
 # 2 secrets
 def test_base_spans_by_the_letter():
     text = "Password: 'abcdefghijkl' token=short secret: token: abcdefghijklmnop AKIAABCDEFGHIJKLMN AKIA12 0123456789abcdef0 PASSWD=ſecretsecret"
