@@ -5,21 +5,24 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..shipping import ship
-from .common import text_or_empty
+from .common import fresh, resident, text_or_empty
 from .pretokens import Splitter
 
 #: Entries after which a memo is emptied: memory stays bounded on any input.
 MEMO = 400_000
-#: States that are stored.
-STATES = 30_000
+#: States that are stored, and pre-tokens that may leave them before a new generation begins.
+STATES, MISSES = 30_000, 240_000
+#: Ids of a batch that encode gives out.
+FLUSH_IDS = 1 << 20
 #: Longest pre-token, in bytes, that the memo keeps.
 MEMO_BYTES = 48
 
@@ -34,8 +37,9 @@ class Transducer:
     out once every prefix that can still be extended has it in its encoding: at the latest
     after as many bytes as the longest token has.
 
-    States and transitions are made when first met, up to STATES of them; beyond, the rest of a
-    pre-token is run through the same rules without being stored.
+    States and transitions are made when first met. While STATES of them are stored, the rest of a
+    pre-token that leaves them is run through the same rules without being stored; after MISSES
+    such pre-tokens all states are given up and made anew from what the input holds by then.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -54,6 +58,14 @@ class Transducer:
         self.lasts = [((0, -1, 0),)]
         self.next: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.misses = 0
+
+    def _renew(self) -> None:
+        """Gives up all states but the first."""
+        del self.states[1:], self.lasts[1:], self.next[1:]
+        self.next[0].clear()
+        self.ids = {self.start: 0}
+        self.misses = 0
 
     def _merge(self, data: bytes) -> list[bytes]:
         """The merges applied by rank, from single bytes."""
@@ -163,11 +175,14 @@ class Transducer:
     def encode(self, data: bytes) -> list[int]:
         if len(self.pairs) > MEMO:
             self.pairs.clear()
+        if self.misses >= MISSES:
+            self._renew()
         state, out, moves = 0, [], self.next
         for i, byte in enumerate(data):
             found = moves[state].get(byte)
             if found is None:
                 if len(self.states) >= STATES:
+                    self.misses += 1
                     return out + self._simulate(state, data[i:])
                 found = self._step(state, byte)
             state, given = found
@@ -246,17 +261,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One for each worker process; the vocabulary is read on the executor."""
-    return Codec(read_ranks(path), pattern)
+    return resident(("bpe", path, pattern), lambda: Codec(read_ranks(path), pattern))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_tokens, ids_sha256, decoded_sha256, exact.
 
     Null texts are empty ones: no tokens, and the digest of nothing. ``exact`` tells whether
-    decoding gave the text back.
+    decoding gave the text back. Rows that repeat an id or a text are rows of their own; a text of
+    any length is read whole, its ids decoded in parts. Only the two columns named are read.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
@@ -291,15 +306,34 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """docs without the text and with its token ids as ``array<int>``; null texts give []."""
+    """docs without the text and with its token ids as ``array<int>``.
+
+    Null and empty texts give []. Texts of any length are encoded whole, repeated rows each by
+    itself. Where docs has a column ``out_col`` already, that one stays and the ids get the name with
+    underscores in front. Ids are held as 32-bit numbers and given out by about FLUSH_IDS, so a worker's
+    memory does not grow with the rows of a batch.
+    """
     ship(docs.sparkSession)
+    out_col = fresh(docs, out_col)
+    rest = [c for c in docs.columns if c != text_col]
+    schema = StructType([*(docs.schema[c] for c in rest), StructField(out_col, ArrayType(IntegerType()))])
 
-    @F.pandas_udf("array<int>")
-    def ids(texts):
+    def run(batches):
         c = codec(path, pattern)
-        return texts.map(c.encode)
-
-    return docs.withColumn(out_col, ids(text_or_empty(text_col))).drop(text_col)
+        for batch in batches:
+            texts, begin, ends, ids = batch.column(len(rest)), 0, array("i", [0]), array("i")
+            for i in range(len(texts)):
+                joined = c.encode_text(texts[i].as_py())
+                if joined:
+                    ids.extend(map(int, joined.split(" ")))
+                ends.append(len(ids))
+                if len(ids) >= FLUSH_IDS or i + 1 == len(texts):
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                    kept = [batch.column(k).slice(begin, len(lists)) for k in range(len(rest))]
+                    yield pa.RecordBatch.from_arrays([*kept, lists], schema.names)
+                    begin, ends, ids = i + 1, array("i", [0]), array("i")
+
+    return docs.select(*rest, text_or_empty(text_col)).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", out_col: str = "text") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Hashable, Sequence
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+T = TypeVar("T")
+_resident: dict[Hashable, object] = {}
+
+
+def resident(key: Hashable, make: Callable[[], T]) -> T:
+    """The one large object that a Python worker keeps from task to task.
+
+    Workers are used again by later stages: whoever asks for another object drops the one that an earlier
+    operator left, so a chain of operators needs no more memory than the largest of them."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

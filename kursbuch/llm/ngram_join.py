@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import attach, stage, text_or_empty
+from .common import attach, resident, stage, text_or_empty
 
 _U = np.uint64
 #: Ratio of the largest to the smallest size of a band; bands overlap so that any two sets
@@ -49,7 +49,8 @@ class _WordHash(dict):
         return h
 
 
-_hash = _WordHash()
+def _hash() -> _WordHash:
+    return resident("word hashes", _WordHash)
 
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -59,7 +60,7 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     Bytes split at the ASCII white space, and only A to Z change case."""
     split = [t.encode("utf-8", "replace").lower().split() for t in texts]
     ends = np.cumsum([len(w) for w in split], dtype=np.int64)
-    h = np.fromiter(map(_hash.__getitem__, chain.from_iterable(split)), _U, int(ends[-1]) if len(ends) else 0)
+    h = np.fromiter(map(_hash().__getitem__, chain.from_iterable(split)), _U, int(ends[-1]) if len(ends) else 0)
     out = np.full(len(h), n, _U)
     for i in range(min(n, len(h))):
         out[: len(h) - i] = mix64(out[: len(h) - i] * _U(0x9E3779B97F4A7C15) + h[i:])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import fresh, stage, text_or_empty
+from .common import fresh, resident, stage, text_or_empty
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 6000
@@ -271,16 +271,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return vocabulary, fit(x, np.array([r["y"] for r in got], np.float64))
 
 
-_pools: dict = {}
-
-
 def _pool(sent) -> Pool:
     """One for each model and worker process."""
     key = getattr(sent, "_jbroadcast_id", None) or id(sent.value)
-    if key not in _pools:
-        _pools.clear()
-        _pools[key] = Pool(sent.value)
-    return _pools[key]
+    return resident(("pool", key), lambda: Pool(sent.value))
 
 
 def score(docs: DataFrame, model: tuple[dict, Network], text_col: str = "text") -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import text_or_empty
+from .common import resident, text_or_empty
 from .pretokens import Splitter, is_latin
 
 #: Entries after which the memo of pre-token counts is emptied.
@@ -151,9 +150,8 @@ class Counter:
         return out
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return resident(("counter", path), lambda: Counter(path))
 
 
 def token_counts(
