@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Sequence
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +57,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kursbuch_folder = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Removes the files of staged tables that nothing will read again."""
+    for df in staged:
+        spark, folder = df.sparkSession, getattr(df, "_kursbuch_folder", None)
+        if folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 T = TypeVar("T")
@@ -68,7 +81,10 @@ def resident(key: Hashable, make: Callable[[], T]) -> T:
     Workers are used again by later stages: whoever asks for another object drops the one that an earlier
     operator left, so a chain of operators needs no more memory than the largest of them."""
     if key not in _resident:
-        _resident.clear()
+        if _resident:
+            _resident.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
         _resident[key] = make()
     return _resident[key]
 

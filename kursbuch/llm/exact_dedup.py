@@ -85,14 +85,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stays (a repeated row) is told from it by a second step, run only if such rows exist.
     """
     groups = stage(digest_groups(docs, id_col, text_col), "groups")
-    gone = groups.filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha"))
+    key, sha = fresh(docs, "_key"), fresh(docs, "_text_sha")
+    gone = groups.filter(~F.col("kept")).select(F.col(id_col).alias(key))
     repeated = groups.groupBy(id_col).count().filter("count > 1").limit(1).count() > 0
     if not repeated:
-        return docs.join(gone.select("_gone"), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-    sha = fresh(docs, "_text_sha")
+        return docs.join(gone, docs[id_col].eqNullSafe(F.col(key)), "left_anti")
     keyed = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
-    stays = groups.filter("kept").select(F.col(id_col).alias("_stays"), F.col("text_sha256").alias("_sha")).distinct()
-    on = keyed[id_col].eqNullSafe(F.col("_stays")) & (F.col(sha) == F.col("_sha"))
+    stays = groups.filter("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(sha + "_")).distinct()
+    on = keyed[id_col].eqNullSafe(F.col(key)) & (F.col(sha) == F.col(sha + "_"))
     return keyed.join(stays, on, "left_semi").dropDuplicates([id_col, sha]).drop(sha)
 
 

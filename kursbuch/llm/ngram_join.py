@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import attach, resident, stage, text_or_empty
+from .common import attach, fresh, release, resident, stage, text_or_empty
 
 _U = np.uint64
 #: Ratio of the largest to the smallest size of a band; bands overlap so that any two sets
@@ -228,11 +228,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lower = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         new = lower.join(jump, "low").select("node", F.col("label").alias("old"), F.least("low", "far").alias("label"))
-        new = stage(new, "labels")
-        changed = new.filter("old != label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
+        before, labels = labels, stage(new, "labels")
+        release(before)
+        if not labels.filter("old != label").limit(1).count():
+            release(edges)
+            return labels.select("node", "label")
 
 
 def _rows(sig: pa.Array, *rest) -> pa.RecordBatch:
@@ -360,7 +360,7 @@ class _Join:
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of runs with several labels, with their label, the run's most frequent one and its size."""
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = members.select("sig", "node", "size", "quota", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = named.groupBy("sig", "label").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("sig").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"), F.sum("k").alias("n"))
     mixed = mixed.filter("labels > 1").select("sig", F.col("top.label").alias("most"), "n")
@@ -439,7 +439,8 @@ def similar_classes(
     runs = stage(runs.join(several, "sig"), "runs")
     # Who is in many and large runs is the likeliest to link with the others there.
     weights = runs.groupBy("node").agg(F.sum("n").alias("weight"))
-    runs = stage(runs.join(weights, "node"), "weighed")
+    plain, runs = runs, stage(runs.join(weights, "node"), "weighed")
+    release(plain)
     sets = stage(join.sets(rows, nodes, runs.select("node").distinct()), "sets")
 
     other = [F.col("node").alias("b"), F.col("size").alias("b_size")]
@@ -449,10 +450,10 @@ def similar_classes(
     links = stage(join.verify(pairs, sets), "links")
     labels = components(links)
 
-    columns = ["sig", "node", "size", "quota", "weight"]
-    members = runs.select(*columns)
+    members = runs
     for step in range(ROUNDS + 1):
-        members = stage(_mixed(members, labels), "mixed")
+        held, members = members, stage(_mixed(members, labels), "mixed")
+        release(held)
         if not members.limit(1).count():
             break
         b = [*other, F.col("label").alias("b_label")]
@@ -477,7 +478,6 @@ def similar_classes(
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links)
-        members = members.select(*columns)
 
     # The smallest id of each component. Copies were joined at their node first.
     least = nodes.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
@@ -499,5 +499,6 @@ def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     Of rows that repeat an id and text all stay or go together; rows with a null id stay.
     """
     found = similar_classes(docs, n, num, den, id_col, text_col)
-    gone = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    key = fresh(docs, "_gone")
+    gone = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(key)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(key), "left_anti")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -27,9 +29,12 @@ NONZERO = 8
 NEAR = 2
 HIDDEN = 32
 #: Words whose vectors a worker keeps.
-MEMO = 200_000
+MEMO = 100_000
+#: Characters after which a long text is cut into parts.
+CHARS = 1 << 20
 
 _CORE = re.compile(r"\w+").search
+_SPACE = re.compile(r"\s").search
 
 
 def index_vectors(keys: list[str], dims: int = DIMS) -> np.ndarray:
@@ -59,30 +64,52 @@ def parts(word: str) -> tuple[str, str]:
     return inner.lower(), f"{word[: m.start()][-2:]}{case}{word[m.end() :][:4]}"
 
 
-def context_sums(texts) -> dict[str, np.ndarray]:
-    """Of each word, the sum of the index vectors of its neighbours, and at the end its count."""
+def cuts(text: str, chars: int = CHARS // 4) -> Iterator[str]:
+    """The text in parts of about so many characters, cut before white space: no word is split."""
+    begin = 0
+    while begin < len(text):
+        m = _SPACE(text, begin + chars) if begin + chars < len(text) else None
+        end = m.start() if m else len(text)
+        yield text[begin:end]
+        begin = end
+
+
+def context_sums(texts: Iterable[str]) -> dict[str, np.ndarray]:
+    """Of each word, the sum of the index vectors of its neighbours, and at the end its count.
+
+    A long text is gone through in parts, each with the last words of the one before."""
     memo: dict[str, np.ndarray] = {}
     out: dict[str, np.ndarray] = {}
     for text in texts:
-        words = [c for w in text.split() if (c := core(w))]
-        if not words:
-            continue
-        new = list(set(words).difference(memo))
-        memo.update(zip(new, index_vectors(new), strict=True))
-        m = np.stack([memo[w] for w in words])
-        near = np.zeros_like(m)
-        for d in range(1, NEAR + 1):
-            near[d:] += m[:-d]
-            near[:-d] += m[d:]
-        names, at = np.unique(np.asarray(words, object), return_inverse=True)
-        sums = np.zeros((len(names), DIMS + 1), np.float32)
-        np.add.at(sums[:, :DIMS], at, near)
-        sums[:, DIMS] = np.bincount(at, minlength=len(names))
-        for w, s in zip(names, sums, strict=True):
-            if w in out:
-                out[w] += s
-            else:
-                out[w] = s.copy()
+        held: list[str] = []
+        first, parts = 0, cuts(text)
+        part = next(parts, None)
+        while part is not None:
+            held += [c for w in part.split() if (c := core(w))]
+            part = next(parts, None)
+            # what has all its neighbours in ``held``
+            last = len(held) if part is None else max(first, len(held) - NEAR)
+            if last > first:
+                new = list(set(held).difference(memo))
+                memo.update(zip(new, index_vectors(new), strict=True))
+                m = np.stack([memo[w] for w in held])
+                near = np.zeros_like(m)
+                for d in range(1, NEAR + 1):
+                    near[d:] += m[:-d]
+                    near[:-d] += m[d:]
+                names, at = np.unique(np.asarray(held[first:last], object), return_inverse=True)
+                sums = np.zeros((len(names), DIMS + 1), np.float32)
+                np.add.at(sums[:, :DIMS], at, near[first:last])
+                sums[:, DIMS] = np.bincount(at, minlength=len(names))
+                for w, s in zip(names, sums, strict=True):
+                    if w in out:
+                        out[w] += s
+                    else:
+                        out[w] = s.copy()
+            drop = max(0, last - NEAR)
+            held, first = held[drop:], last - drop
+            if len(memo) > MEMO:
+                memo.clear()
     return out
 
 
@@ -113,40 +140,42 @@ class Pool:
             if v is not None:
                 rows[i, :DIMS] = v
 
-    def features(self, texts: list[str], chars: int = 1 << 20) -> np.ndarray:
-        """One row for each text; words are looked up for so many characters together."""
+    def features(self, texts: Sequence) -> np.ndarray:
+        """One row for each text of a list or an Arrow column."""
         out = np.zeros((len(texts), self.width), np.float32)
-        begin = size = 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= chars or i + 1 == len(texts):
-                self._fill(texts[begin : i + 1], out[begin : i + 1])
-                begin, size = i + 1, 0
+        for i in range(len(texts)):
+            text = texts[i]
+            self._fill(text if isinstance(text, str) else text.as_py(), out[i])
         return out
 
-    def _fill(self, texts: list[str], out: np.ndarray) -> None:
-        split = [t.split() for t in texts]
-        if len(self.number) > MEMO:
-            self.number.clear()
-        new = list(set().union(*split).difference(self.number))
-        if new:
-            self._learn(new)
-        get = self.number.__getitem__
-        for text, words, row in zip(texts, split, out, strict=True):
-            if not words:
-                continue
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            kinds, times = np.unique(at, return_counts=True)
-            row[: DIMS + SHAPE_DIMS] = times.astype(np.float32) @ self.table[kinds] / len(words)
-            lines = text.split("\n")
-            row[-6:] = (
-                np.log1p(len(words)) / 8,
-                len(kinds) / len(words),
-                len(text) / len(words) / 8,
-                len(set(lines)) / len(lines),
-                times.max() / len(words),
-                np.log1p(len(lines)) / 6,
-            )
+    def _fill(self, text: str, row: np.ndarray) -> None:
+        counts: Counter[str] = Counter()
+        for part in cuts(text):
+            counts.update(part.split())
+        if not counts:
+            return
+        times = np.fromiter(counts.values(), np.float32, len(counts))
+        total, kinds = float(times.sum(dtype=np.float64)), list(counts)
+        sums = np.zeros(DIMS + SHAPE_DIMS, np.float32)
+        for i in range(0, len(kinds), MEMO // 4):
+            if len(self.number) > MEMO:
+                self.number.clear()
+            some = kinds[i : i + MEMO // 4]
+            new = [w for w in some if w not in self.number]
+            if new:
+                self._learn(new)
+            at = np.fromiter(map(self.number.__getitem__, some), np.int64, len(some))
+            sums += times[i : i + len(some)] @ self.table[at]
+        row[: DIMS + SHAPE_DIMS] = sums / total
+        lines = text.split("\n")
+        row[-6:] = (
+            np.log1p(total) / 8,
+            len(kinds) / total,
+            len(text) / total / 8,
+            len(set(lines)) / len(lines),
+            times.max() / total,
+            np.log1p(len(lines)) / 6,
+        )
 
 
 @dataclass
@@ -229,8 +258,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) > 0.5).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    # At most ``sample`` rows are broadcast.
-    rows = stage(texts.join(F.broadcast(known), "id").dropDuplicates(["id"]), "labelled")
+    # At most ``sample`` rows are broadcast. Of rows that repeat an id the smallest text counts: reruns agree.
+    rows = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    rows = stage(rows, "labelled")
 
     def contexts(batches):
         sums: dict[str, np.ndarray] = {}
@@ -252,8 +282,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Sums of small integers: exact in any order.
     words = rows.select("text").mapInArrow(contexts, "word string, sums binary")
     words = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(32))).applyInPandas(total, "word string, times double, sums binary")
+    words = stage(words, "words")
+    # The least count at which no more than VOCABULARY words are left; words of one count stay or go together.
+    counts = words.groupBy("times").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.col("times").desc()))
+    least = counts.withColumn("upto", upto).filter(F.col("upto") <= VOCABULARY).agg(F.min("times")).first()[0]
     vocabulary = {}
-    for r in words.orderBy(F.col("times").desc(), "word").limit(VOCABULARY).collect():
+    for r in words.filter(F.col("times") >= (float("inf") if least is None else least)).orderBy("word").collect():
         v = np.frombuffer(bytes(r["sums"]), np.float32)[:DIMS]
         norm = float(np.linalg.norm(v))
         vocabulary[r["word"]] = (v / norm if norm else v).astype(np.float32)
@@ -262,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def pooled(batches):
         pool = Pool(sent.value)
         for batch in batches:
-            feats = [x.tobytes() for x in pool.features(batch.column("text").to_pylist())]
+            feats = [x.tobytes() for x in pool.features(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(feats, pa.binary())], ["id", "y", "x"])
 
     kind = dict(rows.dtypes)["id"]
@@ -282,12 +317,10 @@ def score(docs: DataFrame, model: tuple[dict, Network], text_col: str = "text")
     vocabulary, net = model
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        pool = _pool(sent)
-        if not len(texts):
-            return pd.Series([], dtype="float64")
-        return pd.Series(net.score(pool.features(texts.tolist()).astype(np.float64)))
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        features = _pool(sent).features(texts)
+        return pa.array(net.score(features.astype(np.float64)), pa.float64())
 
     return of(text_or_empty(text_col))
 
