@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -15,8 +16,8 @@ from .common import stage
 
 #: Scaled components from this size on are wide: they do not enter the index, whose sums are of 64 bits.
 WIDE = float(1 << 22)
-#: Rows of a block of the index. Queries of a block, and what a block has where they are few.
-ROWS, QUERY_ROWS, FEW_QUERIES = 32_768, 4096, 64
+#: Rows of a block of the index, and what a block has at least where they are few.
+ROWS, FEW_ROWS = 32_768, 8192
 #: Slices of the quantised attributes that are added up; the rest is resolved on whole values.
 SLICES = 7
 
@@ -165,44 +166,69 @@ class WholeNumbers:
         return [(int(r), sum(a * b for a, b in zip(self.values[r], weights, strict=True))) for r in rows]
 
 
-def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int, scale: float) -> pd.DataFrame:
-    found: list[tuple[int, int, int | None, bytes]] = []
-    if len(rows) and len(queries):
+class Block:
+    """Rows of one length: those of ordinary components in a bit-sliced index, the wide ones as whole numbers."""
+
+    def __init__(self, rows: pd.DataFrame, scale: float):
         rows = rows.sort_values("vec_id", kind="stable")
+        self.rows, self.scale, self.every = rows, scale, None
         wide = rows["w"].notna().to_numpy()
-        ids = rows["vec_id"].to_numpy(np.int64)
-        near, far = ids[~wide], ids[wide]
-        # narrow queries meet narrow rows in the index; every other pair is scored on whole numbers
-        index = BitSlicedIndex(np.stack([np.asarray(v, np.int64) for v in rows["v"][~wide]])) if len(near) else None
-        ints = lambda v, w: [int(x) for x in v] if w is None else [whole(float(x), scale) for x in w]
-        far_rows = WholeNumbers([ints(None, w) for w in rows["w"][wide]])
-        all_rows = None
-        for q, v, w in zip(queries["vec_id"], queries["v"], queries["w"], strict=True):
-            hits: list[tuple[int, int]] = []
-            if w is not None:
-                if all_rows is None:
-                    all_rows = WholeNumbers([ints(a, b) for a, b in zip(rows["v"], rows["w"], strict=True)])
-                hits = [(int(ids[r]), s) for r, s in all_rows.top(ints(v, w), k, ids == q)]
-            else:
-                if index is not None:
-                    mask = None
-                    lo, hi = np.searchsorted(near, q), np.searchsorted(near, q, "right")
-                    if hi > lo:
-                        own = np.ones(len(index.valid) * 64, np.uint8)
-                        own[lo:hi] = 0
-                        mask = np.packbits(own, bitorder="little").view(np.uint64)
-                    at, score = index.top(np.asarray(v, np.int64), k, mask)
-                    best = np.lexsort((near[at], -score))[:k]
-                    hits = [(int(near[at[i]]), int(score[i])) for i in best]
-                if len(far):
-                    hits += [(int(far[r]), s) for r, s in far_rows.top(ints(v, w), k, far == q)]
-            for i, s in sorted(hits, key=lambda h: (-h[1], h[0]))[:k]:
-                size = key_of(s)
-                found.append((int(q), i, s if size == b"\x80" else None, size))
-    # column by column: a frame of rows would make doubles of scores beside a null
-    columns = list(zip(*found, strict=True)) or [()] * 4
-    types = {"query_id": "int64", "vec_id": "int64", "score": "Int64", "size": "object"}
-    return pd.DataFrame({c: pd.array(list(x), dtype=t) if t == "Int64" else pd.Series(list(x), dtype=t) for (c, t), x in zip(types.items(), columns, strict=True)})
+        self.ids = rows["vec_id"].to_numpy(np.int64)
+        self.near, self.far = self.ids[~wide], self.ids[wide]
+        self.index = BitSlicedIndex(np.stack([np.asarray(v, np.int64) for v in rows["v"][~wide]])) if len(self.near) else None
+        self.far_rows = WholeNumbers([self._ints(None, w) for w in rows["w"][wide]])
+
+    def _ints(self, v, w) -> list[int]:
+        return [int(x) for x in v] if w is None else [whole(float(x), self.scale) for x in w]
+
+    def best(self, q: int, v, w, k: int) -> list[tuple[int, int]]:
+        """(id, score) of the k best rows for one query. A query of ordinary components meets such rows in the
+        index; every other pair is scored on whole numbers."""
+        if w is not None:
+            if self.every is None:
+                self.every = WholeNumbers([self._ints(a, b) for a, b in zip(self.rows["v"], self.rows["w"], strict=True)])
+            hits = [(int(self.ids[r]), s) for r, s in self.every.top(self._ints(v, w), k, self.ids == q)]
+        else:
+            hits = []
+            if self.index is not None:
+                mask = None
+                lo, hi = np.searchsorted(self.near, q), np.searchsorted(self.near, q, "right")
+                if hi > lo:
+                    own = np.ones(len(self.index.valid) * 64, np.uint8)
+                    own[lo:hi] = 0
+                    mask = np.packbits(own, bitorder="little").view(np.uint64)
+                at, score = self.index.top(np.asarray(v, np.int64), k, mask)
+                first = np.lexsort((self.near[at], -score))[:k]
+                hits = [(int(self.near[at[i]]), int(score[i])) for i in first]
+            if len(self.far):
+                hits += [(int(self.far[r]), s) for r, s in self.far_rows.top(self._ints(v, w), k, self.far == q)]
+        return sorted(hits, key=lambda h: (-h[1], h[0]))[:k]
+
+
+def _answers(batches: Iterator[pd.DataFrame], k: int, scale: float) -> Iterator[pd.DataFrame]:
+    """Rows sorted by block, length and role: a block's vectors come first and are indexed once, then its
+    queries stream by. Only one block is held."""
+    at, held, block = None, [], None
+    for pdf in batches:
+        found: list[tuple[int, int, int | None, bytes]] = []
+        for key, part in pdf.groupby(["rb", "dims", "asks"], sort=False):
+            if key[:2] != at:
+                at, held, block = key[:2], [], None
+            if not key[2]:
+                held.append(part)
+                continue
+            if block is None and held:
+                block, held = Block(pd.concat(held), scale), []
+            if block is None:
+                continue
+            for q, v, w in zip(part["vec_id"], part["v"], part["w"], strict=True):
+                for i, s in block.best(int(q), v, w, k):
+                    size = key_of(s)
+                    found.append((int(q), i, s if size == b"\x80" else None, size))
+        # column by column: a frame of rows would make doubles of scores beside a null
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        types = {"query_id": "int64", "vec_id": "int64", "score": "Int64", "size": "object"}
+        yield pd.DataFrame({c: pd.array(list(x), dtype=t) if t == "Int64" else pd.Series(list(x), dtype=t) for (c, t), x in zip(types.items(), columns, strict=True)})
 
 
 def top_k(
@@ -217,9 +243,9 @@ def top_k(
     candidates of others each by itself, repeated queries count once. Vectors of different
     lengths have no product and do not meet.
 
-    Vectors and queries are dealt by hash of the id into blocks; every pair of a vector block and
-    a query block is one group, whose size does not grow with the tables. Each group gives its
-    k best rows of a query, from which the overall ones are taken.
+    Vectors are dealt by hash of the id into blocks, each vector to one; every block gets all queries, a
+    given share of the table, after its vectors. So each block's index is built once and the queries
+    stream by. A block gives its k best rows of a query, from which the overall ones are taken.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -237,16 +263,12 @@ def top_k(
         )
 
     rows, asked = stage(ints(vectors), "vectors"), stage(ints(queries).dropDuplicates(["vec_id"]), "queries")
-    row_blocks = max(1, -(-rows.count() // ROWS))
-    n = asked.count()
-    query_blocks = max(1, -(-n // QUERY_ROWS), min(16, -(-n // FEW_QUERIES)))
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("rb", place(row_blocks)).withColumn("qb", every(query_blocks))
-    right = asked.withColumn("qb", place(query_blocks)).withColumn("rb", every(row_blocks))
-    key = ["rb", "qb", "dims"]
-    part = left.groupBy(*key).cogroup(right.groupBy(*key))
-    best = part.applyInPandas(lambda a, b: _search(a, b, k, float(scale)), "query_id long, vec_id long, score long, size binary")
+    n = rows.count()
+    blocks = max(1, -(-n // ROWS), min(16, -(-n // FEW_ROWS)))
+    dealt = rows.withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
+    sent = asked.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
+    both = dealt.unionByName(sent).repartition(blocks, "rb").sortWithinPartitions("rb", "dims", "asks")
+    best = both.mapInPandas(lambda batches: _answers(batches, k, float(scale)), "query_id long, vec_id long, score long, size binary")
     order = Window.partitionBy("query_id").orderBy(F.col("size").desc(), F.col("score").desc(), F.col("vec_id"))
     ranked = best.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

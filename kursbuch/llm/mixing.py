@@ -80,7 +80,7 @@ def mix(
     Size is the number of words (null text: 0). A source's target buys complete epochs first;
     what is left is filled with the documents that have the smallest exponential keys, up to
     the word budget. The last document is in if that brings the source nearer to its target,
-    so a source misses its target by half a document at most. ``weight`` (positive, over the
+    so a source misses its target by half a document at most, repeated rows included. ``weight`` (positive, over the
     columns of docs) scales the keys; by default it is prose_weight. A null or non-positive
     weight counts as the smallest, 1e-6.
 
@@ -89,18 +89,26 @@ def mix(
     holds a third of all rows is therefore never sorted in one task.
 
     Null ids and null sources are ordinary values. Rows that repeat an id share its key; of
-    these, the smaller sizes come first.
+    these, the smaller sizes come first, and rows equal in that as well are told apart by their place
+    in the staged table. Texts of any length count whole; an empty table gives no rows.
     """
+    row = fresh(docs, "_row")
+    docs = docs.withColumn(row, F.monotonically_increasing_id())
+    return _plan(docs, row, id_col, source_col, text_col, weight, ratios, share, cap, seed).drop("row")
+
+
+def _plan(docs: DataFrame, row: str, id_col: str, source_col: str, text_col: str, weight: Column | None, ratios: Sequence[int], share: float, cap: float, seed: int) -> DataFrame:
+    """What mix gives, and the row's identity as ``row``."""
     size = word_count(F.col(text_col))
     w = prose_weight(F.col(text_col), F.col("size")) if weight is None else weight
     wide = docs.withColumn(fresh(docs, "size"), size) if weight is not None else docs
     if weight is None:
-        base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), size.alias("size"))
+        base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), size.alias("size"), F.col(row).alias("row"))
         base = base.withColumn("weight", w)
     else:
-        base = wide.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("weight"))
+        base = wide.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("weight"), F.col(row).alias("row"))
     safe = F.when(F.col("weight") > 1e-6, F.col("weight")).otherwise(F.lit(1e-6))
-    base = base.select("id", "source", "size", exponential_key(F.col("id"), safe, seed).alias("sample_key"))
+    base = base.select("id", "source", "size", "row", exponential_key(F.col("id"), safe, seed).alias("sample_key"))
     base = stage(base.withColumn("fine", key_bin(F.col("sample_key"))).withColumn("coarse", (F.col("fine") / BINS).cast("int")), "sizes")
 
     src = source_targets(base, ratios, share, cap)
@@ -129,11 +137,10 @@ def mix(
     ).drop("s")
     coarse = boundary(coarse_sums, "coarse")
     last = boundary(within(coarse, "coarse"), "fine")
-    order = Window.partitionBy("source").orderBy("sample_key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source").orderBy("sample_key", "id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     edge = within(last, "fine").withColumn("end", F.col("before") + F.sum("size").over(order))
-    edge = edge.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("sample_key", "id", "size")))
     inside = 2 * F.col("end") - F.col("size") <= 2 * F.col("rest")
-    at = F.struct("sample_key", F.col("id").isNotNull().alias("has_id"), "id", "size")
+    at = F.struct("sample_key", F.col("id").isNotNull().alias("has_id"), "id", "size", "row")
     cuts = edge.groupBy("source", "fine").agg(F.max(F.when(inside, at)).alias("cut"))
     plan = src.join(
         cuts.select(F.col("source").alias("s"), F.col("fine").alias("cut_bin"), "cut"),
@@ -141,7 +148,7 @@ def mix(
         "left",
     ).drop("s")
 
-    out = attach(base, plan, ["source"], F.xxhash64("id", "size"))
+    out = attach(base, plan, ["source"], F.xxhash64("row"))
     chosen = (F.col("fine") < F.col("cut_bin")) | ((F.col("fine") == F.col("cut_bin")) & (at <= F.col("cut")))
     taken = F.col("size") * (F.col("epochs") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0))
     return out.select(
@@ -153,15 +160,29 @@ def mix(
         "epochs",
         taken.cast("long").alias("taken"),
         "sample_key",
+        "row",
     )
 
 
-def draw(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The mixed corpus: docs' own rows and columns, each as often as the mix takes it."""
-    plan = mix(docs, id_col=id_col, **kw)
+def draw(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    weight: Column | None = None,
+    ratios: Sequence[int] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: int = 7,
+) -> DataFrame:
+    """The mixed corpus: docs' own rows and columns, each as often as the mix takes it.
+
+    Every row is taken for itself, whether others repeat its id or not: docs are staged with a row
+    identity, and the plan is joined on that. Rows without words come as often as their source's epochs."""
+    row, key, n = fresh(docs, "_row"), fresh(docs, "_mix_row"), fresh(docs, "_mix_times")
+    docs = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    plan = _plan(docs, row, id_col, source_col, text_col, weight, ratios, share, cap, seed)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.col("epochs")).cast("int")
-    key, n = fresh(docs, "_mix_id"), fresh(docs, "_mix_times")
-    # Rows that repeat an id have one entry each in the plan; the largest number counts for all.
-    plan = plan.groupBy(F.col(id_col).alias(key)).agg(F.max(times).alias(n)).filter(F.col(n) > 0)
-    joined = docs.join(plan, docs[id_col].eqNullSafe(F.col(key)))
-    return joined.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n)))).drop(key, n)
+    plan = plan.select(F.col("row").alias(key), times.alias(n)).filter(F.col(n) > 0)
+    joined = docs.join(plan, docs[row] == F.col(key))
+    return joined.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n)))).drop(row, key, n)

@@ -326,6 +326,38 @@ class _Join:
     def possible(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
+    def rarest(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """sig, node, size, quota, weight: runs of the rarest shingles in place of hot runs.
+
+        Two sets that link share one of the first n - ceil(t n) + 1 elements of each, in any order that
+        is the same for all. Frequent shingles come last here, so a passage that very many documents
+        hold makes a run only among those that hold little else. The HEAVY most frequent shingles
+        are told to the tasks; all others count as equally rare, in the order of their hashes."""
+        num, den = self.num, self.den
+        hot = sets.join(members.select("node").distinct(), "node", "left_semi")
+        often = hot.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+        heavy = often.filter("n > 8").orderBy(F.col("n").desc(), "shingle").limit(HEAVY).orderBy("shingle").toPandas()
+        sent = hot.sparkSession.sparkContext.broadcast((heavy["shingle"].to_numpy(np.int64), heavy["n"].to_numpy(np.int64)))
+
+        def first(batches):
+            keys, times = sent.value
+            for batch in batches:
+                nodes, chosen, of, sizes = batch.column("node").to_numpy(), [], [], []
+                for i, s in enumerate(batch.column("shingles")):
+                    v = s.values.to_numpy()
+                    n = np.zeros(len(v), np.int64)
+                    if len(keys):
+                        at = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
+                        n = np.where(keys[at] == v, times[at], 0)
+                    chosen.append(v[np.lexsort((v, n))[: len(v) - -(-len(v) * num // den) + 1]])
+                    of.append(np.full(len(chosen[-1]), nodes[i]))
+                    sizes.append(np.full(len(chosen[-1]), len(v)))
+                if chosen:
+                    columns = [np.concatenate(x).astype(np.int64) for x in (chosen, of, sizes)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "node", "size"])
+
+        return hot.select("node", "shingles").mapInArrow(first, "sig long, node long, size long").select("*", F.lit(1).cast("long").alias("quota"), F.lit(1).cast("long").alias("weight"))
+
     def blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """Links across labels within the clusters that hot runs make.
 
@@ -367,6 +399,18 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "sig")
 
 
+def _pairs(small: DataFrame, join: _Join) -> DataFrame:
+    """a, b: the pairs across labels of runs that are not hot which share as many runs as their quota."""
+    b = [F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("label").alias("b_label")]
+    few = small.filter("label != most")
+    differ = (F.col("label") != F.col("b_label")) & join.possible(F.col("size"), F.col("b_size"))
+    once = (F.col("b_label") == F.col("most")) | (F.col("node") < F.col("b"))
+    pairs = few.join(small.select("sig", *b, F.col("quota").alias("b_quota")), "sig").filter(differ & once)
+    pairs = pairs.groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    pairs = pairs.agg(F.count("*").alias("n"), F.min(F.least("quota", "b_quota")).alias("least"))
+    return pairs.filter("n >= least").select("a", "b")
+
+
 def _link_blocks(few: pd.DataFrame, many: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Links between two blocks of sets with different labels: for each of the few, one with each label."""
     out: list[tuple[int, int]] = []
@@ -392,13 +436,13 @@ def _link_blocks(few: pd.DataFrame, many: pd.DataFrame, num: int, den: int) -> p
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-#: Runs with more members are compared in blocks of their sets, not pair by pair.
+#: Runs with more members are not paired off: their sets form runs by their rarest shingles, and what is
+#: as hot again is compared in blocks of sets.
 HOT_RUN = 48
+#: Frequent shingles that are told to the tasks for that.
+HEAVY = 200_000
 #: Sets of a block.
 BLOCK = 400
-#: Rounds in which each node left in a mixed run is verified against one partner, before all
-#: pairs across labels are.
-ROUNDS = 2
 
 
 def similar_classes(
@@ -419,10 +463,10 @@ def similar_classes(
     2. In each run of equal signatures the nodes are paired with the one that is in the most and
        largest runs; each node keeps its heaviest such partner, and that pair is verified on the whole
        sets. These links give first labels.
-    3. Runs whose nodes have different labels are left. After a few more rounds with other
-       partners, their pairs across labels, all that reach the quota, are verified; those of hot
-       runs in blocks of sets. Then every pair that can link is either verified or within
-       one component, so the components are those of all links.
+    3. Runs whose nodes have different labels are left. Their pairs across labels, all that reach the
+       quota, are verified. The sets of hot runs form new runs by their rarest shingles instead, and
+       what is as hot again is compared in blocks of sets. Then every pair that can link is either
+       verified or within one component, so the components are those of all links.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -450,34 +494,16 @@ def similar_classes(
     links = stage(join.verify(pairs, sets), "links")
     labels = components(links)
 
-    members = runs
-    for step in range(ROUNDS + 1):
-        held, members = members, stage(_mixed(members, labels), "mixed")
-        release(held)
-        if not members.limit(1).count():
-            break
-        b = [*other, F.col("label").alias("b_label")]
-        differ = (F.col("label") != F.col("b_label")) & join.possible(F.col("size"), F.col("b_size"))
-        if step < ROUNDS:
-            # Another partner, drawn with heavy nodes ahead.
-            draw = F.log((F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 30)) + 1) / float(1 << 30)) / (F.col("weight") * F.col("weight"))
-            lead = members.groupBy("sig").agg(F.max(F.struct(draw.alias("draw"), *b)).alias("lead")).select("sig", "lead.*")
-            pairs = members.join(lead, "sig").filter(differ).groupBy(F.col("node").alias("a"))
-            pairs = pairs.agg(F.max(F.struct("draw", "b")).alias("lead")).select("a", F.col("lead.b").alias("b"))
-            more = stage(join.verify(pairs, sets), "links")
-        else:
-            # Whoever is not of a run's largest label meets all others of it that have another.
-            small = members.filter(F.col("n") <= HOT_RUN)
-            few = small.filter("label != most")
-            once = (F.col("b_label") == F.col("most")) | (F.col("node") < F.col("b"))
-            pairs = few.join(small.select("sig", *b, F.col("quota").alias("b_quota")), "sig").filter(differ & once)
-            pairs = pairs.groupBy(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-            pairs = pairs.agg(F.count("*").alias("n"), F.min(F.least("quota", "b_quota")).alias("least"))
-            pairs = pairs.filter("n >= least").select("a", "b")
-            more = stage(join.verify(pairs, sets).union(join.blocks(members.filter(F.col("n") > HOT_RUN), sets)), "links")
+    # Whoever is not of a run's largest label meets all others of it that have another.
+    members = stage(_mixed(runs, labels), "mixed")
+    release(runs)
+    if members.limit(1).count():
+        rare = stage(_mixed(join.rarest(members.filter(F.col("n") > HOT_RUN), sets), labels), "rarest")
+        pairs = _pairs(members.filter(F.col("n") <= HOT_RUN), join).union(_pairs(rare.filter(F.col("n") <= HOT_RUN), join)).distinct()
+        more = stage(join.verify(pairs, sets).union(join.blocks(rare.filter(F.col("n") > HOT_RUN), sets)), "links")
+        release(members, rare)
         if more.limit(1).count():
-            links = links.union(more)
-            labels = components(links)
+            labels = components(links.union(more))
 
     # The smallest id of each component. Copies were joined at their node first.
     least = nodes.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"))
