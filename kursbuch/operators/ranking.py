@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import travel
 
 
 def rank_places(reach: DataFrame, guides: DataFrame, near_home: DataFrame) -> DataFrame:
@@ -48,13 +49,34 @@ def search_ladder(names: DataFrame, query: str, limit: int = 8) -> DataFrame:
     return hits.orderBy(F.col("score").desc(), "id").limit(limit).select("id", "name", "score")
 
 
+def search_forgiving(names: DataFrame, query: str, limit: int = 8) -> DataFrame:
+    """id, name, score, slip: names by the first rule they meet; where fewer than three are at 3.3 or
+    more, names within the slips that the query's length forgives are taken in as well, at
+    2.4 less half of each slip."""
+    q = query.strip().lower()
+    n, lift = F.col("name"), travel.search_lift(F.col("halts"), F.lit(False))
+    rule = (
+        F.when(F.col("code") == q, 5.0)
+        .when(n == q, 4.6)
+        .when(F.startswith(n, F.lit(q)), 4.0)
+        .when(F.exists(F.split(n, "[^a-z0-9]+"), lambda w: F.startswith(w, F.lit(q))), 3.0)
+        .when(F.contains(n, F.lit(q)), 2.0)
+    )
+    rows = names.withColumn("rule", rule).withColumn("slip", F.when(F.col("rule").isNull(), tx.slips(q, n, tx.forgive(len(q)))))
+    rows = rows.filter("rule is not null or slip is not null").withColumn("score", F.coalesce("rule", 2.4 - 0.5 * F.col("slip")) + lift)
+    # one row that says whether enough reads as typed
+    enough = rows.agg((F.count(F.when(F.col("rule").isNotNull() & (F.col("score") >= 3.3), 1)) >= 3).alias("enough"))
+    rows = rows.join(F.broadcast(enough), F.lit(True)).filter("rule is not null or not enough")
+    return rows.orderBy(F.col("score").desc(), "id").limit(limit).select("id", "name", "score", F.coalesce("slip", F.lit(0.0)).alias("slip"))
+
+
 def fuzzy(names: DataFrame, query: str) -> DataFrame:
     """id, name, slips: names within as many slips as the query's length forgives. Only names with
     the same first letter and a length that can match reach the comparison."""
     q = query.strip().lower()
     most = tx.forgive(len(q))
     block = names.filter(F.startswith(F.col("name"), F.lit(q[:1])) & (F.length("name") >= len(q) - most))
-    return block.withColumn("slips", tx.slips(names.sparkSession, q, most)(F.col("name"))).filter("slips is not null")
+    return block.withColumn("slips", tx.slips(q, F.col("name"), most)).filter("slips is not null")
 
 
 def train_search(trains: DataFrame, query: str, limit: int = 3) -> DataFrame:

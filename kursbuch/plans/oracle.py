@@ -411,3 +411,44 @@ r AS (
         """SELECT '/from/' || a || '/to/' || b AS url, fastest FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY fastest, b) AS nth FROM r) WHERE nth <= 30""",
     ),
 }
+
+_BGR = "BGRMHWC"
+_LETTERS = " || ".join(f"substr('{_BGR}', ((k * {i + 3}) % 7 + 1)::INT, 1)" for i in range(12))
+_FAME = ", ".join(f"(population * {i}) % 61" for i in range(1, 8))
+_GOOD = "substr(letters, month + 1, 1) IN ('B', 'G', 'R')"
+ORACLE_SQL |= {
+    "place_lenses": f"""
+WITH p AS (
+  SELECT p_partkey AS place, p_partkey::INT AS k, {_LETTERS.replace("k *", "p_partkey::INT *")} AS letters, (p_partkey % 12)::INT AS month,
+    (p_partkey % 32)::INT AS moods, CASE WHEN p_partkey % 5 = 0 THEN 'wd' END AS source, (p_partkey % 6)::INT AS sights,
+    (p_partkey * 37 % 60000)::INT AS population, p_partkey % 3 = 0 AS hilly FROM part)
+SELECT place, (moods & 2) <> 0 AND {_GOOD} AS fits, {_GOOD} AS good, source IS NULL OR sights >= 3 AS worthwhile,
+  population = 0 OR population >= 20000 OR (hilly AND population >= 5000) AS roads, population * 5 >= 150000 AND NOT hilly AS doubtful,
+  sights + 3 * (moods % 4) + CASE WHEN hilly THEN 6 ELSE 0 END AS appeal,
+  round(list_sum(list_transform(list_reverse_sort([{_FAME}])[1:5], lambda x: least(x, 40)))::DOUBLE / 8 + 7, 1) AS fame,
+  round(0.3::DOUBLE * log10(1 + sights) + CASE WHEN hilly THEN 0.6::DOUBLE ELSE 0 END, 6) AS lift
+FROM p""",
+    "trip_calendar": """
+WITH e AS (
+  SELECT event_id, ts, (event_id * 61 % 4000)::INT AS wait, ((isodow(ts) - 1) * 1440 + hour(ts) * 60 + minute(ts))::INT AS now FROM events),
+d AS (SELECT *, ((now % 1440 + wait) // 1440)::INT AS days, (ts::DATE + (wait * 7 // 1440)::INT)::DATE AS day FROM e)
+SELECT event_id, now,
+  CASE days WHEN 0 THEN 'today' WHEN 1 THEN 'tomorrow'
+    ELSE ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][(now // 1440 + days) % 7 + 1] END AS word,
+  day::VARCHAR AS day, (day - ts::DATE) BETWEEN 0 AND 15 AS forecast
+FROM d""",
+    "from_places": BASE + "," + _IN_LEGS + """,
+l AS (SELECT place, min(dur) AS fastest, count(DISTINCT trip) AS trips FROM in_legs GROUP BY place)
+SELECT * FROM (SELECT row_number() OVER (ORDER BY place % 4 = 0 DESC, fastest, place)::INT AS rank, place, fastest, trips FROM l) WHERE rank <= 8""",
+    "halts_of_note": BASE + """,
+b AS (SELECT station, count(*) AS at_station FROM h GROUP BY station)
+SELECT trip, seq, station FROM h JOIN b USING (station) WHERE arr IS NULL OR dep IS NULL OR dep - arr >= 5 OR at_station >= 90""",
+    "fuzzy_candidates": """
+SELECT n_nationkey AS id, lower(n_name) AS name, damerau_levenshtein(lower(n_name), 'nation_33')::DOUBLE AS slips
+FROM nation WHERE lower(n_name) LIKE 'n%' AND damerau_levenshtein(lower(n_name), 'nation_33') <= 2""",
+    "fnv_shard": """
+WITH f AS (
+  SELECT p_partkey, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i, 1))::HUGEINT)),
+    lambda h, b: (xor(h, b) * 16777619::HUGEINT) % 4294967296::HUGEINT)::BIGINT AS hash FROM part)
+SELECT p_partkey, hash, hash % 32 AS shard FROM f""",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..functions import climate, geo
+from ..functions import climate, geo, travel
 from ..functions import text as tx
 from ..operators import graph, lines, plan, ranking, reach, repair, resolve, saves, spatial
 from ..sources.driver_tables import Network
@@ -515,3 +515,55 @@ def sitemap_urls(n: Network) -> DataFrame:
     order = Window.partitionBy("a").orderBy("fastest", "b")
     top = rides.withColumn("nth", F.row_number().over(order)).filter("nth <= 30")
     return top.select(F.concat(F.lit("/from/"), "a", F.lit("/to/"), "b").alias("url"), "fastest")
+
+
+@query
+def place_lenses(n: Network) -> DataFrame:
+    """Places of the parts table under the mood and good-month lenses, with what makes them worth a visit."""
+    k = F.col("p_partkey").cast("int")
+    rows = n.table("part").select(
+        F.col("p_partkey").alias("place"), (k % 32).alias("moods"), F.concat(*[F.substring(F.lit("BGRMHWC"), (k * (i + 3) % 7) + 1, F.lit(1)) for i in range(12)]).alias("letters"),
+        (k % 12).alias("month"), F.when(k % 5 == 0, "wd").alias("source"), (k % 6).alias("sights"), (k * 37 % 60_000).alias("population"), (k % 3 == 0).alias("hilly"),
+    )
+    return rows.select(
+        "place", travel.fits(F.lit(2), F.col("moods"), F.col("letters"), F.col("month"), F.lit(True)).alias("fits"), travel.good_month(F.col("letters"), F.col("month")).alias("good"),
+        travel.worthwhile(F.col("source"), F.col("sights")).alias("worthwhile"), travel.wants_roads(F.col("population"), F.col("hilly")).alias("roads"),
+        travel.population_doubtful(F.col("population") * 5, F.when(F.col("hilly"), "PPLA").otherwise("PPL")).alias("doubtful"),
+        travel.guide_appeal(F.col("sights"), F.col("moods") % 4, F.col("hilly")).alias("appeal"),
+        travel.landmark_appeal(F.array(*[(F.col("population") * i) % 61 for i in range(1, 8)])).alias("fame"),
+        F.round(travel.search_lift(F.col("sights"), F.col("hilly")), 6).alias("lift"),
+    )
+
+
+@query
+def trip_calendar(n: Network) -> DataFrame:
+    """Events as moments of a trip: the week's clock, the word for the day, the date, the forecast."""
+    e = n.table("events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), (F.col("event_id") * 61 % 4000).cast("int").alias("wait"))
+    at = e.withColumn("now", F.weekday("ts") * 1440 + F.hour("ts") * 60 + F.minute("ts"))
+    return at.select(
+        "event_id", "now", travel.day_word(F.col("now"), F.col("wait")).alias("word"), travel.trip_day(F.to_date("ts"), F.col("wait") * 7).cast("string").alias("day"),
+        travel.forecast_reaches(travel.trip_day(F.to_date("ts"), F.col("wait") * 7), F.to_date("ts")).alias("forecast"),
+    )
+
+
+@query
+def from_places(n: Network) -> DataFrame:
+    """Places with a direct train to the hub: cities first, then the quickest."""
+    legs = reach.arrivals(n.placed, n.hub).groupBy("place").agg(F.min("dur").alias("fastest"), F.countDistinct("trip").alias("trips"))
+    order = Window.orderBy((F.col("place") % 4 == 0).desc(), "fastest", "place")
+    return legs.withColumn("rank", F.row_number().over(order).cast("int")).filter("rank <= 8").select("rank", "place", "fastest", "trips")
+
+
+@query
+def halts_of_note(n: Network) -> DataFrame:
+    """Halts that a short view of a train shows: its ends, stays of five minutes or more, and busy stations."""
+    busy = lines.station_counts(n.halts).select("station", F.col("halts").alias("at"))
+    stay = F.coalesce(F.col("dep") - F.col("arr"), F.lit(0))
+    rows = n.halts.join(busy, "station").filter(F.col("arr").isNull() | F.col("dep").isNull() | (stay >= 5) | (F.col("at") >= 90))
+    return rows.select("trip", "seq", "station")
+
+
+@query
+def search_places(n: Network) -> DataFrame:
+    """A misspelt query over all names: the first rules, and names with slips where fewer than three read as typed."""
+    return ranking.search_forgiving(_names(n), "psrt_12").select("id", "name", F.round("score", 6).alias("score"), "slip")

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -105,10 +106,38 @@ def test_fnv(spark):
     assert {r["t"]: r["h"] for r in df.select("t", tx.fnv1a(F.col("t")).alias("h")).collect()} == golden
 
 
-def test_forgiving_names():
-    assert tx.osa("dehli", "delhi", 2) == 1 and tx.osa("ca", "abc", 3) == 3
-    assert tx.slips_of("banglore", "bangalore", 2) == 1.0 and tx.slips_of("banglo", "bangalore", 1) == 1.5
-    assert tx.slips_of("delhi", "agra", 1) is None and tx.fold_text("Élan") == "elan"
+def brute_edits(a, b):
+    """By definition: the least of all ways to take the last letters off."""
+    memo = {}
+
+    def d(i, j):
+        if (i, j) not in memo:
+            ways = [d(i - 1, j) + 1] if i else []
+            ways += [d(i, j - 1) + 1] if j else []
+            ways += [d(i - 1, j - 1) + (a[i - 1] != b[j - 1])] if i and j else []
+            ways += [d(i - 2, j - 2) + 1] if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1] else []
+            memo[i, j] = min(ways) if ways else 0
+        return memo[i, j]
+
+    return d(len(a), len(b))
+
+
+def test_forgiving_names(spark):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 7)))
+    pairs = [(word(), word()) for _ in range(600)] + [("dehli", "delhi"), ("ca", "abc"), ("abcdef", "badcfe"), ("abcdef", "badcef")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for most in (1, 2):
+        got = df.select("a", "b", tx.edits(F.col("a"), F.col("b"), most).alias("d")).collect()
+        for r in got:
+            want = brute_edits(r["a"], r["b"])
+            assert r["d"] == (want if want <= most else None), (r, want)
+    names = spark.createDataFrame([("bangalore",), ("agra",), ("delhi",), ("bangkok",)], "name string")
+    s = lambda q, most: {r["name"]: r["s"] for r in names.select("name", tx.slips(q, F.col("name"), most).alias("s")).collect() if r["s"] is not None}
+    assert s("banglore", 2) == {"bangalore": 1.0} and s("banglo", 1) == {"bangalore": 1.5, "bangkok": 1.5} and s("dehli", 1) == {"delhi": 1.0}
+    assert tx.fold_text("Élan") == "elan"
+    q = spark.createDataFrame([("jaipur jn",), (" pune, rly stn ",), ("jnu",)], "q string").select(tx.tidy(F.col("q")).alias("t")).collect()
+    assert [r["t"] for r in q] == ["jaipur", "pune", "jnu"]
 
 
 def test_saves(spark):
