@@ -168,6 +168,7 @@ def test_scan_finds_what_the_rules_miss(spark, corpus, no_docs):
     rnd = random.Random(4)
     key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
     rows = [*corpus, *((1000 + i, f'say token = "{key()}" and more', "s1") for i in range(60)), (2000, f"loose {key().upper().replace('A', 'b')} here", "s1")]
+    rows += [(3000 + i, " ".join("".join(rnd.choice(["tion", "hea", "ber", "sch", "en", "the"]) for _ in range(5)) for _ in range(60)), "s1") for i in range(40)]
     got = {r["doc_id"]: r for r in secrets.scan(make_docs(spark, rows)).collect()}
     assert len(got) == len({r[0] for r in rows})
     empty = hashlib.sha256(b"").hexdigest()
