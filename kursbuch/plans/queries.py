@@ -24,38 +24,38 @@ def query(f: Callable[[Network], DataFrame]) -> Callable[[Network], DataFrame]:
 
 
 def _legs_out(n: Network) -> DataFrame:
-    return reach.departures(n.placed, n.hub).join(n.trips, "trip")
+    return reach.departures(n.through(n.hub), n.hub).join(n.trips, "trip")
 
 
 def _legs_in(n: Network, dest: int) -> DataFrame:
-    return reach.arrivals(n.placed, dest).join(n.trips, "trip")
+    return reach.arrivals(n.through(dest), dest).join(n.trips, "trip")
 
 
 @query
 def departures_from_place(n: Network) -> DataFrame:
-    return reach.destinations(reach.departures(n.placed, n.hub))
+    return reach.destinations(reach.departures(n.through(n.hub), n.hub))
 
 
 @query
 def departure_legs(n: Network) -> DataFrame:
-    return reach.departures(n.placed, n.hub).select("trip", "place", "from_seq", "to_seq", "dep", "dur", "km", "halts")
+    return reach.departures(n.through(n.hub), n.hub).select("trip", "place", "from_seq", "to_seq", "dep", "dur", "km", "halts")
 
 
 @query
 def arrivals_to_place(n: Network) -> DataFrame:
-    return reach.destinations(reach.arrivals(n.placed, n.hub))
+    return reach.destinations(reach.arrivals(n.through(n.hub), n.hub))
 
 
 @query
 def arrival_legs(n: Network) -> DataFrame:
-    return reach.arrivals(n.placed, n.hub).select("trip", "place", "from_seq", "to_seq", "dep", "dur", "km", "halts")
+    return reach.arrivals(n.through(n.hub), n.hub).select("trip", "place", "from_seq", "to_seq", "dep", "dur", "km", "halts")
 
 
 @query
 def arrivals_mirror_departures(n: Network) -> DataFrame:
     """The fastest ride between hub and second place, from both ends."""
-    out = reach.departures(n.placed, n.hub).filter(F.col("place") == n.second).agg(F.min("dur").alias("by_departures"))
-    into = reach.arrivals(n.placed, n.second).filter(F.col("place") == n.hub).agg(F.min("dur").alias("by_arrivals"))
+    out = reach.departures(n.through(n.hub), n.hub).filter(F.col("place") == n.second).agg(F.min("dur").alias("by_departures"))
+    into = reach.arrivals(n.through(n.second), n.second).filter(F.col("place") == n.hub).agg(F.min("dur").alias("by_arrivals"))
     return out.join(into, F.lit(True)).withColumn("same", F.col("by_departures") == F.col("by_arrivals"))
 
 
@@ -100,7 +100,7 @@ def soonest_departures(n: Network) -> DataFrame:
 
 @query
 def direct_trip_counts(n: Network) -> DataFrame:
-    return reach.arrivals(n.placed, n.hub).groupBy("place").agg(F.countDistinct("trip").alias("trips"), F.min("dur").alias("fastest"))
+    return reach.arrivals(n.through(n.hub), n.hub).groupBy("place").agg(F.countDistinct("trip").alias("trips"), F.min("dur").alias("fastest"))
 
 
 @query
@@ -430,7 +430,7 @@ def state_label_median(n: Network) -> DataFrame:
 
 @query
 def sqrt_time_buckets(n: Network) -> DataFrame:
-    legs = reach.departures(n.placed, n.hub)
+    legs = reach.departures(n.through(n.hub), n.hub)
     return legs.groupBy(cal.bucket_of(F.col("dur")).alias("bucket")).agg(F.count("*").alias("legs"), F.min("dur").alias("least"), F.max("dur").alias("most"))
 
 
@@ -549,7 +549,7 @@ def trip_calendar(n: Network) -> DataFrame:
 @query
 def from_places(n: Network) -> DataFrame:
     """Places with a direct train to the hub: cities first, then the quickest."""
-    legs = reach.arrivals(n.placed, n.hub).groupBy("place").agg(F.min("dur").alias("fastest"), F.countDistinct("trip").alias("trips"))
+    legs = reach.arrivals(n.through(n.hub), n.hub).groupBy("place").agg(F.min("dur").alias("fastest"), F.countDistinct("trip").alias("trips"))
     order = Window.orderBy((F.col("place") % 4 == 0).desc(), "fastest", "place")
     return legs.withColumn("rank", F.row_number().over(order).cast("int")).filter("rank <= 8").select("rank", "place", "fastest", "trips")
 

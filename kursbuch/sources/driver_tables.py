@@ -29,11 +29,15 @@ class Network:
     @cached_property
     def halts(self) -> DataFrame:
         """trip, seq, station, arr, dep, km: one shuffle by trip; every trip has two halts or more."""
+        return self._halts(self.table("lineitem"))
+
+    @staticmethod
+    def _halts(lines: DataFrame) -> DataFrame:
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
         run = order.rowsBetween(Window.unboundedPreceding, 0)
         q = F.col("l_quantity").cast("long")
         cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-        rows = self.table("lineitem").select(
+        rows = lines.select(
             F.col("l_orderkey").alias("trip"),
             (F.row_number().over(order) - 1).cast("long").alias("seq"),
             F.col("l_suppkey").alias("station"),
@@ -83,10 +87,26 @@ class Network:
         """halts with their place."""
         return self.halts.join(self.stations.select("station", "place"), "station")
 
+    def through(self, place: int) -> DataFrame:
+        """placed, of the trips that call at the place: found first, so only these are sorted and numbered."""
+        key = f"_through_{place}"
+        if key not in self.__dict__:
+            lines = self.table("lineitem")
+            here = self.stations.filter(F.col("place") == place).select(F.col("station").alias("l_suppkey"))
+            trips = lines.select("l_orderkey", "l_suppkey").join(here, "l_suppkey", "left_semi").select("l_orderkey").distinct()
+            halts = self._halts(lines.join(trips, "l_orderkey", "left_semi"))
+            self.__dict__[key] = halts.join(self.stations.select("station", "place"), "station")
+        return self.__dict__[key]
+
     @cached_property
     def trains_at(self) -> DataFrame:
         """place, halts: halts of all its stations."""
-        return self.placed.groupBy("place").agg(F.count("*").alias("halts"))
+        # counted by station first; a trip of one line is no trip
+        lines = self.table("lineitem").select("l_orderkey", "l_suppkey")
+        single = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_suppkey").alias("station")).filter("n = 1").groupBy("station").agg(F.count("*").alias("less"))
+        counts = lines.groupBy(F.col("l_suppkey").alias("station")).agg(F.count("*").alias("n")).join(single, "station", "left")
+        counts = counts.withColumn("halts", F.col("n") - F.coalesce("less", F.lit(0))).filter("halts > 0")
+        return counts.join(self.stations.select("station", "place"), "station").groupBy("place").agg(F.sum("halts").alias("halts"))
 
     @cached_property
     def hub(self) -> int:
