@@ -47,15 +47,21 @@ def near(left: DataFrame, right: DataFrame, km: float, keep_left: list[str], kee
     """Pairs within km of each other, with their distance.
 
     Both sides have lat and lon. Cells are as wide as km in latitude, and in longitude as km is
-    at max_lat; the left side goes to its own cell and the eight around it, so the join is on equal
-    cells and never compares points that are far apart."""
+    at max_lat; the left side goes to its own row of cells and the two beside it, and in each to as many
+    columns as km spans at its latitude: three up to max_lat, more towards the poles, and around the
+    180th meridian. So the join is on equal cells and never compares points that are far apart."""
     dlat = km / 111.0
-    dlon = km / (111.0 * math.cos(math.radians(max_lat)))
-    cell = lambda c, d: F.floor(c / d).cast("long")
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    a = left.select(*keep_left, F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    a = a.withColumn("i", F.explode(step)).withColumn("j", F.explode(step))
-    a = a.withColumn("cy", cell(F.col("a_lat"), dlat) + F.col("i")).withColumn("cx", cell(F.col("a_lon"), dlon) + F.col("j"))
-    b = right.select(*keep_right, F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), cell(F.col("lat"), dlat).alias("cy"), cell(F.col("lon"), dlon).alias("cx"))
+    columns = max(1, math.floor(360 / (km / (111.0 * math.cos(math.radians(max_lat))))))
+    width = 360 / columns
+    row = lambda c: F.floor(c / dlat).cast("long")
+    column = lambda c: F.pmod(F.floor((c + 180) / width).cast("long"), F.lit(columns))
+    furthest = F.least(F.abs(F.col("a_lat")) + dlat, F.lit(89.99))
+    span = F.ceil(km / (111.0 * F.cos(F.radians(furthest))) / width).cast("long")
+    some = F.transform(F.sequence(-F.col("span"), F.col("span")), lambda j: F.pmod(F.col("at") + j, F.lit(columns)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))
+    a = left.select(*keep_left, F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")).filter("a_lat is not null and a_lon is not null")
+    a = a.withColumn("span", span).withColumn("at", column(F.col("a_lon"))).withColumn("i", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
+    a = a.withColumn("cx", F.explode(F.when(2 * F.col("span") + 1 >= columns, every).otherwise(some))).withColumn("cy", row(F.col("a_lat")) + F.col("i"))
+    b = right.select(*keep_right, F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), row(F.col("lat")).alias("cy"), column(F.col("lon")).alias("cx"))
     d = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     return a.join(b, ["cy", "cx"]).withColumn("km", d).filter(F.col("km") <= km).select(*keep_left, *keep_right, "km")

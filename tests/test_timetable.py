@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kursbuch.functions import calendar as cal
-from kursbuch.functions import climate
+from kursbuch.functions import climate, geo
 from kursbuch.functions import text as tx
 from kursbuch.operators import graph, lines, reach, resolve, saves, spatial
 from kursbuch.plans import oracle
@@ -241,3 +241,21 @@ def test_renumbered_services(spark):
     new = [(200, "Other", 4, 2), (201, "Konkan Special", 5, 6), (202, "Malabar Express", 6, 5), (203, "x", 9, 8)]
     got = resolve.renumber_resolution(spark.createDataFrame(gone, schema), spark.createDataFrame(new, schema), stations)
     assert {(r["old"], r["new"]) for r in got.collect()} == {(100, 200), (101, 201), (104, 203)}
+
+
+@pytest.mark.parametrize("km", [50.0, 900.0, 5000.0])
+def test_near_at_any_place_of_the_earth(spark, km):
+    rnd = random.Random(5)
+    at = [(i, rnd.choice([rnd.uniform(-90, 90), rnd.uniform(79, 90), rnd.uniform(-1, 1)]), rnd.choice([rnd.uniform(-180, 180), rnd.uniform(178, 180), rnd.uniform(-180, -178)])) for i in range(150)]
+    at += [(200, 80.0, 10.0), (201, 80.0, 12.2), (202, 0.0, 179.9), (203, 0.0, -179.9), (204, None, 1.0)]
+    df = spark.createDataFrame(at, "id long, lat double, lon double")
+    got = geo.near(df, df.withColumnRenamed("id", "other"), km, ["id"], ["other"]).collect()
+    rad = math.radians
+
+    def apart(a, b):
+        h = math.sin(rad(b[1] - a[1]) / 2) ** 2 + math.cos(rad(a[1])) * math.cos(rad(b[1])) * math.sin(rad(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(min(1.0, h)))
+
+    known = [x for x in at if x[1] is not None]
+    want = sorted((a[0], b[0]) for a in known for b in known if apart(a, b) <= km)
+    assert sorted((r["id"], r["other"]) for r in got) == want
