@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,9 @@ MEMO = 600_000
 MEMO_CHARS = 48
 #: Bytes of new pre-tokens that are merged together.
 MERGE_BYTES = 1 << 21
+#: Bytes from which on a pre-token is merged by a heap of its pairs: rounds over the whole of it, one
+#: for each rank, would take time with the square of its length.
+LONG = 4096
 NONE = np.int64(1) << 40
 
 
@@ -62,12 +67,52 @@ class Counter:
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.memo: dict[str, int] = {}
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Rank by pair, for single look-ups."""
+        return dict(zip(self.keys.tolist(), self.rank.tolist(), strict=True))
+
+    @cached_property
+    def makes(self) -> list[int]:
+        return self.made.tolist()
+
     def _ranks(self, sym: np.ndarray) -> np.ndarray:
         """Rank of each neighbouring pair, NONE where the vocabulary has no merge."""
         key = sym[:-1] * self.width + sym[1:]
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], NONE)
 
+    def merge_long(self, data: bytes) -> int:
+        """Symbols left of one long piece: the lowest rank first, from the left among equals."""
+        sym = self.first[np.frombuffer(data, np.uint8)]
+        sym[-1] = self.last[data[-1]]
+        ranks = self._ranks(sym)
+        sym = sym.tolist()
+        n = len(sym)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i, r in enumerate(ranks.tolist()) if r < NONE]
+        heapq.heapify(heap)
+        left, pairs, width = n, self.pairs, self.width
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j >= n or pairs.get(sym[i] * width + sym[j]) != r:
+                continue  # one of the two has merged otherwise since
+            sym[i], sym[j] = self.makes[r], -1
+            left -= 1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                new = pairs.get(sym[i] * width + sym[k])
+                if new is not None:
+                    heapq.heappush(heap, (new, i))
+            h = before[i]
+            if h >= 0:
+                new = pairs.get(sym[h] * width + sym[i])
+                if new is not None:
+                    heapq.heappush(heap, (new, h))
+        return left
+
     def merge(self, pieces: list[bytes]) -> np.ndarray:
         """Symbols left of each piece (none empty) after all merges.
 
@@ -119,6 +164,9 @@ class Counter:
         batch: list[str] = []
         size = 0
         for p in [*sorted(pieces, key=len), None]:
+            if p is not None and len(p) >= LONG:
+                memo[p] = self.merge_long(p.encode("utf-8", "replace"))
+                continue
             if batch and (p is None or size > MERGE_BYTES):
                 memo.update(zip(batch, self.merge([q.encode("utf-8", "replace") for q in batch]).tolist(), strict=True))
                 batch, size = [], 0

@@ -336,6 +336,19 @@ def test_counts_as_the_library(texts):
     assert token_count.counter(WORD_BPE).count(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_pieces_as_short_ones(monkeypatch):
+    """A heap of pairs and rounds give the same counts, and the library's."""
+    rnd = random.Random(7)
+    pieces = ["".join(rnd.choice(of) for _ in range(n)) for n in (1, 2, 3, 60, 900) for of in ("ab", "etaoinshrdlu", "中文字漢éß") for _ in range(6)] + ["a" * 777, "ab" * 300]
+    c = token_count.Counter(WORD_BPE)
+    rounds = c.merge([p.encode() for p in pieces]).tolist()
+    assert rounds == [c.merge_long(p.encode()) for p in pieces]
+    library = Tokenizer.from_file(WORD_BPE)
+    monkeypatch.setattr(token_count, "LONG", 10)
+    for p in pieces:
+        assert token_count.Counter(WORD_BPE).count([p]) == [len(library.encode(p, add_special_tokens=False).ids)]
+
+
 # 7 URL filter
 def test_url_rules(spark):
     rules = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/", "block"), ("b.net/x", "allow"), ("org", "block")]
