@@ -7,10 +7,14 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +28,10 @@ BLOCK_LINES = 256
 #: Level of the record and block compression.
 LEVEL = 4
 CRLF = b"\r\n"
+#: Fixed value: the profile of revisits with an equal payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+NO_URL = "about:invalid"
+_PRINTABLE = "".join(map(chr, range(33, 127)))
 
 
 def url_key(url: str | None) -> str:
@@ -40,26 +48,41 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, has_ref: bool) -> bytes:
-    """One record as a gzip member. A revisit has no block, only what it refers to."""
-    kind = "revisit" if has_ref else "response"
-    block = b"" if has_ref else payload
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{digest}')}>"
+
+
+def _member(head: list[str], block: bytes) -> bytes:
+    data = "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}"]).encode() + CRLF + CRLF + block + CRLF + CRLF
+    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def info(name: str, date: str) -> bytes:
+    """The record that opens an archive."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(None, name)}", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return _member(head, b"software: kursbuch\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, has_ref: bool, date: str) -> bytes:
+    """One record as a gzip member: an HTTP response, or a revisit with the response's header alone.
+
+    Control characters, spaces and letters beyond ASCII in a url are written percent-encoded; a null url as
+    about:invalid. The page's number, the payload's length and the page referred to are extension fields."""
     head = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{digest}')}>",
-        "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {json.dumps(url)}",
+        f"WARC-Type: {'revisit' if has_ref else 'response'}",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {NO_URL if url is None else quote(url, safe=_PRINTABLE)}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Payload-Length: {len(payload)}",
-        f"WARC-Page: {json.dumps(page_id)}",
-        *([f"WARC-Refers-To-Page: {refers_to}"] if has_ref else []),
-        "Content-Type: text/html; charset=utf-8",
-        f"Content-Length: {len(block)}",
+        "Content-Type: application/http;msgtype=response",
+        f"X-Page-ID: {json.dumps(page_id)}",
+        f"X-Payload-Length: {len(payload)}",
     ]
-    data = "\r\n".join(head).encode() + CRLF + CRLF + block + CRLF + CRLF
-    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return z.compress(data) + z.flush()
+    if has_ref:
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    return _member(head, http if has_ref else http + payload)
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
@@ -115,18 +138,22 @@ def write_archive(
     ship(spark)
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _open(folder)
         name, sink, at = _name("part") + ".warc.gz", None, 0
         for batch in batches:
             keys, offsets, lengths = [], [], []
-            for row in batch.to_pylist():
-                sink = sink or fs.open_output_stream(f"{path}/{name}", compression=None)
-                payload = row["payload"].encode("utf-8", "replace")
-                data = record(row["id"], row["url"], payload, sha1_base32(payload), row["largest"], row["has_ref"])
+            ids, urls, payloads, largest, refs = (batch.column(c) for c in ("id", "url", "payload", "largest", "has_ref"))
+            for i in range(batch.num_rows):  # one payload at a time
+                if sink is None:
+                    sink = fs.open_output_stream(f"{path}/{name}", compression=None)
+                    at = sink.write(info(name, date))
+                payload, url = payloads[i].as_py().encode("utf-8", "replace"), urls[i].as_py()
+                data = record(ids[i].as_py(), url, payload, sha1_base32(payload), largest[i].as_py(), refs[i].as_py(), date)
                 sink.write(data)
-                keys.append(url_key(row["url"]))
+                keys.append(url_key(url))
                 offsets.append(at)
                 lengths.append(len(data))
                 at += len(data)
@@ -204,16 +231,85 @@ def _row(member: bytes, with_payload: bool) -> dict:
     fields, block = parse(member)
     kind = fields["WARC-Type"]
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    size = int(fields["WARC-Payload-Length"])
-    if kind == "response" and (sha1_base32(block) != digest or len(block) != size):
-        raise ValueError(f"the payload of page {fields['WARC-Page']} is damaged")
-    ref = fields.get("WARC-Refers-To-Page")
+    size = int(fields["X-Payload-Length"])
+    payload = block.partition(CRLF + CRLF)[2]
+    if kind == "response" and (sha1_base32(payload) != digest or len(payload) != size):
+        raise ValueError(f"the payload of page {fields['X-Page-ID']} is damaged")
+    ref, url = fields.get("X-Refers-To-Page"), fields["WARC-Target-URI"]
     return {
-        "page_id": json.loads(fields["WARC-Page"]), "url": json.loads(fields["WARC-Target-URI"]), "payload_bytes": size, "payload_digest": digest,
-        "record_type": kind, "refers_to": int(ref) if ref else None, "payload": block.decode() if with_payload and kind == "response" else None,
+        "page_id": json.loads(fields["X-Page-ID"]), "url": None if url == NO_URL else url, "payload_bytes": size, "payload_digest": digest,
+        "record_type": kind, "refers_to": int(ref) if ref else None, "payload": payload.decode() if with_payload and kind == "response" else None,
     }
 
 
+def _lines(files: _Files, file: str, offset: int, length: int) -> list[list]:
+    """The index lines of a block: url_key, id, file, offset, length, ordered."""
+    return [json.loads(x) for x in zlib.decompress(files.read(file, offset, length)).decode().split("\n")]
+
+
+_ROW = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
+_place = pa.schema([("url_key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
+def find(spark: SparkSession, folder: str, directory: DataFrame, keys: DataFrame, with_payload: bool = False) -> DataFrame:
+    """The captures of all url keys of a table (column ``url_key``), each capture once, as read_archive gives them.
+
+    The keys are dealt by range and sorted. For a batch of them a task reads that range of the directory
+    and finds the blocks of each key in it by binary search. Then keys are dealt by block: a
+    block is read once, its lines are searched in the same way, and the records are read by range. A url
+    with very many captures has many blocks, which go to many tasks."""
+    ship(spark)
+    table = getattr(directory, "_kursbuch_folder", None) or getattr(stage(directory, "directory"), "_kursbuch_folder")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = _open(table)
+        blocks = pads.dataset(path, filesystem=fs, format="parquet")
+        for batch in batches:
+            wanted = batch.column("url_key").to_pylist()
+            if not wanted:
+                continue
+            here = (pc.field("last_key") >= wanted[0]) & (pc.field("first_key") <= wanted[-1])
+            part = blocks.to_table(filter=here).sort_by([("first_key", "ascending"), ("last_key", "ascending")])
+            first, last = part["first_key"].to_pylist(), part["last_key"].to_pylist()
+            at, own = [], []
+            for key in wanted:
+                i = bisect_left(last, key)
+                while i < len(first) and first[i] <= key:
+                    at.append(i)
+                    own.append(key)
+                    i += 1
+            found = part.take(pa.array(at, pa.int64())).select(["file", "offset", "length"])
+            yield from found.add_column(0, "url_key", pa.array(own, pa.string())).cast(_place).to_batches()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, block, wanted = _Files(folder), None, []
+
+        def records() -> pa.RecordBatch:
+            lines = _lines(files, *block)
+            keys = [x[0] for x in lines]
+            some = [x for key in wanted for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
+            some.sort(key=lambda x: (x[2], x[3]))
+            return pa.RecordBatch.from_pylist([_row(files.read(f, o, n), with_payload) for _, _, f, o, n in some], schema=_result)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                place = (row["file"], row["offset"], row["length"])
+                if place != block:
+                    if block:
+                        yield records()
+                    block, wanted = place, []
+                wanted.append(row["url_key"])
+        if block:
+            yield records()
+        files.close()
+
+    ordered = keys.select("url_key").distinct().repartitionByRange("url_key").sortWithinPartitions("url_key")
+    places = ordered.mapInArrow(search, "url_key string, file string, offset long, length long")
+    # A given number: keys and places are few bytes, and by these a few tasks would read everything.
+    dealt = places.repartition(shuffle_partitions(spark), "file", "offset").sortWithinPartitions("file", "offset", "url_key")
+    return dealt.mapInArrow(read, _ROW)
+
+
 def read_archive(spark: SparkSession, folder: str, directory: DataFrame, with_payload: bool = False) -> DataFrame:
     """Every capture, read back through the index: page_id, url, payload_bytes, payload_digest, record_type, refers_to,
     payload (of responses, if asked for). Digests and lengths are checked against the bytes.
@@ -226,38 +322,28 @@ def read_archive(spark: SparkSession, folder: str, directory: DataFrame, with_pa
         files = _Files(folder)
         for batch in batches:
             for b in batch.to_pylist():
-                lines = [json.loads(x) for x in zlib.decompress(files.read(b["file"], b["offset"], b["length"])).decode().split("\n")]
+                lines = _lines(files, b["file"], b["offset"], b["length"])
                 lines.sort(key=lambda x: (x[2], x[3]))
                 yield pa.RecordBatch.from_pylist([_row(files.read(f, o, n), with_payload) for _, _, f, o, n in lines], schema=_result)
         files.close()
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
     # A given number: the directory is small, and by its bytes a few tasks would read everything.
     dealt = directory.repartition(shuffle_partitions(spark), F.col("file"), F.col("offset"))
-    return dealt.mapInArrow(read, schema)
-
-
-def lookup(folder: str, directory: list[dict], url: str) -> list[dict]:
-    """The captures of one url: binary search in the directory (sorted by first_key, last_key), one
-    block after the other from there, then the records by range."""
-    key, files, out = url_key(url), _Files(folder), []
-    at = max(0, bisect_right([b["last_key"] for b in directory], key) - 1)
-    while at > 0 and directory[at - 1]["last_key"] >= key:
-        at -= 1
-    for b in directory[at:]:
-        if b["first_key"] > key:
-            break
-        if b["last_key"] >= key:
-            for line in zlib.decompress(files.read(b["file"], b["offset"], b["length"])).decode().split("\n"):
-                k, _, f, o, n = json.loads(line)
-                if k == key:
-                    out.append(_row(files.read(f, o, n), True))
-    files.close()
-    return out
-
-
-def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes all pages to new archives in the shared folder and reads them back."""
-    folder = new_folder(pages.sparkSession, "warc")
-    directory = write_archive(pages, folder, min_bytes)
-    return read_archive(pages.sparkSession, folder, directory).drop("payload", "url")
+    return dealt.mapInArrow(read, _ROW)
+
+
+def round_trip(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Writes all pages to new archives in the shared folder and reads them back by their urls, through the index.
+
+    Null html is an empty payload, null urls share the empty key, null ids and repeated rows are captures of
+    their own, and payloads of any length go one at a time. An empty table gives no rows."""
+    spark = pages.sparkSession
+    folder = new_folder(spark, "warc")
+    directory = write_archive(pages, folder, min_bytes, id_col, url_col, html_col)
+
+    @F.arrow_udf("string")
+    def key(urls: pa.Array) -> pa.Array:
+        return pa.array([url_key(u.as_py()) for u in urls], pa.string())
+
+    keys = pages.select(key(F.col(url_col).cast("string")).alias("url_key"))
+    return find(spark, folder, directory, keys).drop("payload", "url")

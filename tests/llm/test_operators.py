@@ -413,7 +413,7 @@ def test_quality_held_out(spark, no_docs):
 
 
 # 9 WARC
-def test_warc_round_trip_and_lookup(spark, tmp_path):
+def test_warc_round_trip_and_lookup(spark, tmp_path, monkeypatch):
     html = ["<p>é</p>", None, "", "<p>same</p>", "<p>same</p>", "x" * 200_000, "a\r\n\r\nb", "<p>same</p>"]
     rows = [(i, f"http://h{i % 3}.example.com/p{i % 4}?q", h) for i, h in enumerate(html)] + [(3, None, "<p>same</p>"), (7, "http://h1.example.com/p3?q", "<p>same</p>"), (None, "u", "lonely")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("largest", F.lit("clash"))
@@ -431,12 +431,20 @@ def test_warc_round_trip_and_lookup(spark, tmp_path):
         assert r["payload_bytes"] == len(size.encode()) and r["payload_digest"] == warc.sha1_base32(size.encode())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if r["page_id"] == top else ("revisit", top))
         assert r["payload"] == (size if r["record_type"] == "response" else None)
-    index = sorted((x.asDict() for x in directory.collect()), key=lambda b: (b["first_key"], b["last_key"]))
-    assert sorted(x["page_id"] for x in warc.lookup(folder, index, "http://h1.example.com/p3?q")) == [7, 7]
-    assert warc.lookup(folder, index, "http://nowhere/") == []
+    ask = lambda *urls: sorted(r["page_id"] for r in warc.find(spark, folder, directory, spark.createDataFrame([(warc.url_key(u),) for u in urls], "url_key string")).collect())
+    assert ask("http://h1.example.com/p3?q") == [7, 7] and ask("http://nowhere/") == []
+    assert ask("http://h1.example.com/p3?q", "http://h0.example.com/p0?q", "http://zz/") == [0, 7, 7]
+    import gzip
+    import pathlib
+
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in pathlib.Path(f"{tmp_path}/w").glob("*.warc.gz"))
+    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and raw.count(b"WARC-Refers-To: ") == raw.count(b"WARC-Profile: ") == raw.count(b"WARC-Type: revisit") > 0
     alone = warc.read_archive(spark, folder + "2", warc.write_archive(df, folder + "2", 1000)).collect()
     assert {r["record_type"] for r in alone} == {"response"}
     assert warc.round_trip(df.limit(0)).count() == 0
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)  # a url's captures over several blocks
+    many = spark.createDataFrame([(i, f"http://h/{i % 3 // 2}", f"text {i % 50}") for i in range(300)], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.round_trip(many).collect()) == list(range(300))
 
 
 # 10 n-gram join
