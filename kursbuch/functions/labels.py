@@ -86,3 +86,37 @@ def thumbnail(name: Column, width: int = 330) -> Column:
 def same_ends(a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
     """Unordered pairs are equal; null where an end is unknown."""
     return (F.least(a1, b1) == F.least(a2, b2)) & (F.greatest(a1, b1) == F.greatest(a2, b2)) & a1.isNotNull() & b1.isNotNull()
+
+
+#: The widths that thumbnails are kept in.
+STEPS = (120, 250, 330, 500, 960, 1280, 1920)
+
+
+def photo_width(width: Column, want: Column) -> Column:
+    """The step to ask for: the first that is wide enough, or the widest; never above the photo's own width,
+    else the widest step below that. 0 where no step is: the photo itself. A null or zero width is unknown."""
+    steps = F.array(*map(F.lit, STEPS))
+    step = F.coalesce(F.array_min(F.filter(steps, lambda s: s >= want)), F.lit(STEPS[-1]))
+    below = F.coalesce(F.array_max(F.filter(steps, lambda s: s < width)), F.lit(0))
+    return F.when(F.coalesce(width, F.lit(0)) == 0, step).when(step < width, step).otherwise(below)
+
+
+def photo_url(thumb: Column, width: Column, want: Column) -> Column:
+    """The thumbnail's address at that width; addresses without a width stay."""
+    step = photo_width(width, want)
+    sized = F.concat(F.regexp_extract(thumb, r"^(.*/)\d+px-[^/]+$", 1), step.cast("string"), F.regexp_extract(thumb, r"/\d+(px-[^/]+)$", 1))
+    return F.when(thumb.rlike(r"/\d+px-[^/]+$") & (step > 0), sized).otherwise(thumb)
+
+
+def credit(by: Column, licence: Column, file: Column) -> Column:
+    """Who made a photo, and its licence; where neither is known, the file's name and where it lies."""
+    by, licence = F.coalesce(by, F.lit("")), F.coalesce(licence, F.lit(""))
+    named = F.when((by != "") & ~by.rlike("(?i)^unknown"), by).otherwise("Unknown author")
+    title = F.regexp_replace(F.replace(F.coalesce(file, F.lit("photo")), F.lit("_"), F.lit(" ")), r"\.\w+$", "")
+    plain = F.concat(title, F.lit(" \u00b7 Wikimedia Commons"))
+    return F.when((by == "") & (licence == ""), plain).otherwise(F.concat(named, F.when(licence != "", F.concat(F.lit(", "), licence)).otherwise("")))
+
+
+def believable_speed(km: Column) -> Column:
+    """The fastest average between two halts, in km/h. Fixed values."""
+    return F.when(km >= 300, 105).when(km >= 40, 135).otherwise(160)

@@ -452,3 +452,110 @@ WITH f AS (
     lambda h, b: (xor(h, b) * 16777619::HUGEINT) % 4294967296::HUGEINT)::BIGINT AS hash FROM part)
 SELECT p_partkey, hash, hash % 32 AS shard FROM f""",
 }
+
+_TO_WORDS = "translate(({k})::VARCHAR, '0123456789', 'abcdefghij')"
+_TOWNS = f"""
+tw AS (
+  SELECT c_custkey AS town, 'Town ' || {_TO_WORDS.format(k="c_custkey % 97")} AS name, c_nationkey % 5 AS state, c_custkey * 37 % 9000 AS population,
+    (8 + (c_custkey * 41 % 2900) / 100.0::DOUBLE) AS lat, (68 + (c_custkey * 59 % 2900) / 100.0::DOUBLE) AS lon FROM customer)"""
+_MONTHS = "['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December']"
+
+
+def _said(kinds: str) -> str:
+    """The runs of these letters in words: each month that begins one, and how far the letters behind it go on."""
+    on = f"regexp_replace(regexp_replace(letters, '[^{kinds}]', '0', 'g'), '[{kinds}]', '1', 'g')"
+    begins = f"list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 0], lambda i: substr({on}, i + 1, 1) = '1' AND substr({on}, (i + 11) % 12 + 1, 1) = '0')"
+    more = f"(11 - length(ltrim(substr({on} || {on}, i + 1, 12), '1')))"
+    words = f"CASE WHEN {more} = 0 THEN {_MONTHS}[i + 1] ELSE {_MONTHS}[i + 1] || ' to ' || {_MONTHS}[(i + {more}) % 12 + 1] END"
+    return f"CASE WHEN {on} = '111111111111' THEN 'all year' ELSE array_to_string(list_transform({begins}, lambda i: {words}), ' and ') END"
+
+
+_STEPS = "[120, 250, 330, 500, 960, 1280, 1920]"
+ORACLE_SQL |= {
+    "when_lines": _alone(
+        _CLIMATE,
+        "y AS (SELECT station, string_agg(letter, '' ORDER BY month) AS letters FROM le GROUP BY station)",
+        f"z AS (SELECT station, {_said('BG')} AS best, {_said('W')} AS wet, {_said('H')} AS hot, {_said('C')} AS cold FROM y)",
+        """SELECT station, concat_ws(' ',
+  CASE WHEN best = 'all year' THEN 'Good all year round: go whenever you like.' WHEN best <> '' THEN 'Best from ' || best || '.' END,
+  CASE WHEN wet <> '' THEN wet || ': the monsoon pours.' END, CASE WHEN hot <> '' THEN hot || ': too hot for most, carry water.' END,
+  CASE WHEN cold <> '' THEN cold || ': properly cold, pack the woollens.' END) AS line FROM z""",
+    ),
+    "guide_index": """
+WITH p AS (SELECT n_nationkey AS place, 'Town G' || (n_nationkey * 3 % 60) AS name, n_nationkey % 4 = 0 AS is_city, 'g' || (n_nationkey * 3 % 60) AS city FROM nation),
+a AS (SELECT 'g' || k AS title, k * 37 % 45 AS appeal, k % 3 <> 0 AS icon FROM (SELECT DISTINCT p_partkey % 50 AS k FROM part)),
+l AS (
+  SELECT s_nationkey AS place, s_suppkey AS pos, CASE WHEN s_suppkey % 3 = 0 THEN 'g' || (s_suppkey * 7 % 60) END AS title,
+    ['g' || (s_suppkey * 11 % 70), 'g' || (s_suppkey * 13 % 60), 'g' || (s_suppkey * 17 % 80)] AS near FROM supplier),
+o AS (
+  SELECT place, name, is_city, CASE WHEN is_city AND city IN (SELECT title FROM a) THEN city
+    ELSE (SELECT title FROM l WHERE l.place = p.place AND title IN (SELECT title FROM a) ORDER BY pos LIMIT 1) END AS own FROM p),
+n AS (
+  SELECT place, title, row_number() OVER (PARTITION BY place ORDER BY min(pos * 10 + i)) AS ord
+  FROM (SELECT place, pos, i, near[i] AS title FROM l, range(1, 4) r(i)) WHERE title IN (SELECT title FROM a) GROUP BY place, title),
+m AS (SELECT n.* FROM n JOIN o USING (place) WHERE own IS NULL OR n.title <> own),
+st AS (
+  SELECT place, title AS star, appeal FROM (
+    SELECT m.place, m.title, a.appeal, row_number() OVER (PARTITION BY m.place ORDER BY a.appeal DESC, m.ord) AS nth
+    FROM m JOIN a USING (title) WHERE icon AND title NOT IN (SELECT own FROM o WHERE own IS NOT NULL)) WHERE nth = 1),
+j AS (
+  SELECT o.*, star, st.appeal AS fame, coalesce(a.appeal, 0) AS mine FROM o LEFT JOIN st USING (place) LEFT JOIN a ON a.title = own),
+w AS (
+  SELECT *, coalesce(NOT is_city AND fame >= 12 AND fame > CASE WHEN contains(lower(name), lower(own)) THEN mine * 3.5 + 10 ELSE mine * 1.8 + 4 END, false) AS wins FROM j),
+f AS (
+  SELECT place, CASE WHEN wins THEN star ELSE own END AS title, wins AND (own IS NOT NULL OR NOT contains(lower(name), lower(star))) AS featured FROM w)
+SELECT place, title, featured, coalesce((
+  SELECT string_agg(other, '|' ORDER BY ord) FROM (SELECT m.title AS other, ord FROM m WHERE m.place = f.place AND m.title <> f.title ORDER BY ord LIMIT 4)), '') AS nearby
+FROM f WHERE title IS NOT NULL""",
+    "stationless_towns": _sql(
+        _TOWNS,
+        f"g AS (SELECT 'town' || {_TO_WORDS.format(k='station % 97')} AS key, lat, lon FROM s)",
+        f"""r AS (
+  SELECT *, regexp_replace(lower(name), '[^a-z]', '', 'g') AS key FROM tw
+  WHERE NOT EXISTS (SELECT 1 FROM s WHERE {_hav("tw.lat", "tw.lon", "s.lat", "s.lon")} <= 8))""",
+        f"k AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.key = r.key AND {_hav('r.lat', 'r.lon', 'g.lat', 'g.lon')} < 30))",
+        """SELECT town, name, state, population FROM (
+  SELECT *, row_number() OVER (PARTITION BY key, state ORDER BY population DESC, town) AS nth FROM k) WHERE nth = 1""",
+    ),
+    "nearest_start": _sql(
+        _TOWNS,
+        "b AS (SELECT station, count(*) AS halts FROM h GROUP BY station)",
+        """d AS (
+  SELECT town AS point, station, halts, sqrt(power((s.lat - tw.lat) * 111, 2) + power((s.lon - tw.lon) * 111 * cos(radians(tw.lat)), 2)) AS km
+  FROM tw, s JOIN b USING (station))""",
+        """SELECT point, station, round(km, 6) AS km FROM (
+  SELECT *, row_number() OVER (PARTITION BY point ORDER BY km >= 25, CASE WHEN km < 25 THEN -halts ELSE 0 END, km, station) AS nth
+  FROM d WHERE km <= 150) WHERE nth = 1""",
+    ),
+    "ways_by_road": _sql(
+        _OUT_BOARD,
+        _TOWNS,
+        "ri AS (SELECT place, min(dur) AS train FROM out_legs GROUP BY place)",
+        f"""pr AS (
+  SELECT town AS spot, station, place, train, {_HILLS.replace("lat", "tw.lat").replace("lon", "tw.lon")} AS hills, {_hav("tw.lat", "tw.lon", "s.lat", "s.lon")} AS km
+  FROM tw, s JOIN ri USING (place))""",
+        """wy AS (
+  SELECT spot, station, place, train, floor(floor(km * (CASE WHEN hills THEN 1.45 ELSE 1.3 END)::DOUBLE + 2 + 0.5)
+    / (CASE WHEN hills THEN 32.0 ELSE 45.0 END)::DOUBLE * 60 / 5 + 0.5)::BIGINT * 5 + 10 AS road FROM pr WHERE km <= 350)""",
+        """on1 AS (
+  SELECT * FROM (SELECT *, train + 30 + road AS total, row_number() OVER (PARTITION BY spot, place ORDER BY train + 30 + road, station) AS k FROM wy) WHERE k = 1)""",
+        """SELECT spot, station, train, road, total FROM (
+  SELECT *, row_number() OVER (PARTITION BY spot ORDER BY total, station) AS nth, min(total) OVER (PARTITION BY spot) AS best FROM on1)
+WHERE nth <= 3 AND total <= best * 1.4::DOUBLE + 120""",
+    ),
+    "surprise_place": _sql(
+        """SELECT place, (place * 7) % 40 AS appeal FROM served
+ORDER BY -ln((('0x' || substr(md5(place || ':7'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / sqrt(1 + (place * 7) % 40), place LIMIT 1""",
+    ),
+    "photo_widths": f"""
+WITH p AS (
+  SELECT p_partkey, p_partkey * 29 % 2100 AS w, p_partkey * 43 % 2300 AS want, p_partkey % 3 AS who, p_partkey % 4 = 0 AS cc FROM part),
+s AS (SELECT *, coalesce(list_min(list_filter({_STEPS}, lambda x: x >= want)), 1920) AS first FROM p),
+t AS (SELECT *, CASE WHEN w = 0 OR first < w THEN first ELSE coalesce(list_max(list_filter({_STEPS}, lambda x: x < w)), 0) END::INT AS step FROM s)
+SELECT p_partkey, step,
+  CASE WHEN p_partkey % 5 = 0 THEN 'https://x/a/P.jpg' ELSE 'https://x/a/' || CASE WHEN step > 0 THEN step ELSE 330 END || 'px-P' || p_partkey || '.jpg' END AS url,
+  CASE WHEN who = 2 AND NOT cc THEN 'A file ' || p_partkey || ' · Wikimedia Commons'
+    ELSE CASE WHEN who = 1 THEN 'Ann' ELSE 'Unknown author' END || CASE WHEN cc THEN ', CC BY' ELSE '' END END AS credit,
+  CASE WHEN p_partkey % 400 >= 300 THEN 105 WHEN p_partkey % 400 >= 40 THEN 135 ELSE 160 END AS speed
+FROM t""",
+}

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..functions import climate, geo, travel
+from ..functions import climate, geo, labels, travel
 from ..functions import text as tx
-from ..operators import graph, lines, plan, ranking, reach, repair, resolve, saves, spatial
+from ..operators import graph, guides, lines, plan, ranking, reach, repair, resolve, saves, spatial
 from ..sources.driver_tables import Network
 
 #: Week minute of the questions that ask from now on: Thursday 14:05.
@@ -567,3 +567,84 @@ def halts_of_note(n: Network) -> DataFrame:
 def search_places(n: Network) -> DataFrame:
     """A misspelt query over all names: the first rules, and names with slips where fewer than three read as typed."""
     return ranking.search_forgiving(_names(n), "psrt_12").select("id", "name", F.round("score", 6).alias("score"), "slip")
+
+
+@query
+def when_lines(n: Network) -> DataFrame:
+    """When to go, for each station, in words."""
+    c = _climate(n).withColumn("letter", climate.verdict(F.col("low"), F.col("high"), F.col("rain")))
+    ordered = F.array_sort(F.collect_list(F.struct("month", "letter")))
+    years = c.groupBy("station").agg(F.array_join(F.transform(ordered, lambda x: x["letter"]), "").alias("letters"))
+    return years.select("station", climate.when_line(F.col("letters")).alias("line"))
+
+
+def _title(k: Column) -> Column:
+    return F.concat(F.lit("g"), k.cast("string"))
+
+
+@query
+def guide_index(n: Network) -> DataFrame:
+    """The guide of each place; suppliers are its stations, what they supply gives the articles."""
+    k = F.col("n_nationkey")
+    places = n.table("nation").select(k.alias("place"), F.concat(F.lit("Town G"), k * 3 % 60).alias("name"), (k % 4 == 0).alias("is_city"))
+    cities = n.table("nation").select(k.alias("place"), _title(k * 3 % 60).alias("title"))
+    s = F.col("s_suppkey")
+    links = n.table("supplier").select(
+        F.col("s_nationkey").alias("place"), s.alias("pos"), F.when(s % 3 == 0, _title(s * 7 % 60)).alias("title"), F.array(_title(s * 11 % 70), _title(s * 13 % 60), _title(s * 17 % 80)).alias("nearby")
+    )
+    a = n.table("part").groupBy((F.col("p_partkey") % 50).alias("k")).agg(F.count("*"))
+    articles = a.select(_title(F.col("k")).alias("title"), (F.col("k") * 37 % 45).alias("appeal"), (F.col("k") % 3 != 0).alias("icon"))
+    return guides.guide_index(places, cities, links, articles).select("place", "title", "featured", F.array_join("nearby", "|").alias("nearby"))
+
+
+def _spelt(k: Column) -> Column:
+    return F.translate(k.cast("string"), "0123456789", "abcdefghij")
+
+
+def _towns(n: Network) -> DataFrame:
+    k = F.col("c_custkey")
+    return n.table("customer").select(
+        k.alias("town"), F.concat(F.lit("Town "), _spelt(k % 97)).alias("name"), (F.col("c_nationkey") % 5).alias("state"), (k * 37 % 9000).alias("population"),
+        (8 + (k * 41 % 2900) / 100.0).alias("lat"), (68 + (k * 59 % 2900) / 100.0).alias("lon"),
+    )
+
+
+@query
+def stationless_towns(n: Network) -> DataFrame:
+    """Customers as towns that no station and no guide of their name covers."""
+    own = n.stations.select(F.concat(F.lit("town-"), _spelt(F.col("station") % 97)).alias("name"), "lat", "lon")
+    return guides.stationless(_towns(n), n.stations.select("lat", "lon"), own).select("town", "name", "state", "population")
+
+
+@query
+def nearest_start(n: Network) -> DataFrame:
+    """Where each customer would start: the busiest station close by, else the closest."""
+    starts = n.stations.join(lines.station_counts(n.halts).select("station", "halts"), "station")
+    found = guides.nearest_start(_towns(n).withColumnRenamed("town", "point"), starts)
+    return found.select("point", "station", F.round("km", 6).alias("km"))
+
+
+@query
+def ways_by_road(n: Network) -> DataFrame:
+    """From the hub to every town by train and road."""
+    rides = reach.destinations(reach.departures(n.through(n.hub), n.hub)).select("place", "fastest")
+    spots = _towns(n).withColumnRenamed("town", "spot")
+    return guides.ways_by_road(spots, n.stations.select("station", "place", "lat", "lon"), rides)
+
+
+@query
+def surprise_place(n: Network) -> DataFrame:
+    """A place with a guide, at random by its appeal."""
+    return guides.surprise(_guides(n).select("place", "appeal"), 7)
+
+
+@query
+def photo_widths(n: Network) -> DataFrame:
+    """Thumbnails and credits of the parts' photos, and how fast a train of that distance may be."""
+    k = F.col("p_partkey")
+    rows = n.table("part").select(k, (k * 29 % 2100).alias("w"), (k * 43 % 2300).alias("want"), F.when(k % 3 == 0, "Unknown photographer").when(k % 3 == 1, "Ann").alias("by"), F.when(k % 4 == 0, "CC BY").alias("lic"))
+    thumb = F.when(k % 5 != 0, F.concat(F.lit("https://x/a/330px-P"), k, F.lit(".jpg"))).otherwise("https://x/a/P.jpg")
+    return rows.select(
+        "p_partkey", labels.photo_width(F.col("w"), F.col("want")).alias("step"), labels.photo_url(thumb, F.col("w"), F.col("want")).alias("url"),
+        labels.credit(F.col("by"), F.col("lic"), F.concat(F.lit("A_file_"), k, F.lit(".png"))).alias("credit"), labels.believable_speed(k % 400).alias("speed"),
+    )
