@@ -98,6 +98,7 @@ p AS (
   SELECT c_custkey AS point, 8 + (c_custkey * 41 % 2900) / 100.0::DOUBLE AS lat, 68 + (c_custkey * 67 % 2900) / 100.0::DOUBLE AS lon FROM customer)"""
 _PAIRS = f"pp AS (SELECT point, station, {_hav('p.lat', 'p.lon', 's.lat', 's.lon')} AS km, p.lat, p.lon FROM p, s)"
 _HILLS = "((lat > 29.8 AND lon < 81.5) OR (lat > 26.4 AND lon > 88) OR (lat > 9 AND lat < 13 AND lon > 75.4 AND lon < 77.8))"
+_CHOICE = "struct_pack(station := z.station, minutes := z.minutes, score := z.score, lat := z.lat, lon := z.lon)"
 _CENTRES = "c AS (SELECT place, arg_min(lat, station) AS lat, arg_min(lon, station) AS lon FROM s GROUP BY place)"
 _TOWN = f"""
 town AS (
@@ -126,6 +127,17 @@ tu AS (SELECT *, CASE WHEN v < lag(v) OVER w THEN 1 ELSE 0 END AS turn FROM ev W
 ru AS (SELECT *, (v + 1440 * sum(turn) OVER (PARTITION BY trip ORDER BY seq, which ROWS UNBOUNDED PRECEDING))::BIGINT AS m FROM tu)"""
 
 
+def _scored(km: int) -> str:
+    return f"""
+n AS (SELECT station, count(*) AS halts FROM h GROUP BY station),
+q AS (SELECT point, station, halts, {_HILLS} AS hills, km FROM pp JOIN n USING (station) WHERE km <= {km} AND halts >= 2),
+m AS (
+  SELECT point, station, halts, floor(floor(km * (CASE WHEN hills THEN 1.45 ELSE 1.3 END)::DOUBLE + 2 + 0.5) / (CASE WHEN hills THEN 32.0 ELSE 45.0 END)::DOUBLE * 60 / 5 + 0.5)::BIGINT * 5 + 10 AS minutes FROM q),
+sc AS (
+  SELECT point, station, minutes,
+    minutes + CASE WHEN halts < 6 THEN 180 WHEN halts < 20 THEN 100 WHEN halts < 60 THEN 50 WHEN halts < 120 THEN 15 ELSE 0 END AS score FROM m)"""
+
+
 def _sql(*parts: str) -> str:
     *ctes, body = parts
     return ",\n".join([BASE, *ctes]) + "\n" + body
@@ -246,22 +258,37 @@ FROM h x JOIN h y ON y.trip = x.trip AND y.seq = x.seq + 1""",
 WHERE nth = 1""",
     ),
     "range_join_grid": _sql(_POINTS, _PAIRS, "SELECT point, station, round(km, 6) AS km FROM pp WHERE km <= 25"),
+    "nearest_station_any": _sql(
+        _POINTS, _PAIRS, "SELECT point, station, round(km, 6) AS km FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY km, station) AS nth FROM pp) WHERE nth = 1"
+    ),
+    "idw_surface_whole": _sql(
+        "g AS (SELECT cell, cell // 125 AS y, cell % 125 AS x FROM range(0, 125 * 138) r(cell))",
+        "v AS (SELECT station % 45 AS v, (lat - 8) / (29::DOUBLE / 138) AS sy, (lon - 68) / (29::DOUBLE / 125) AS sx FROM s)",
+        "SELECT cell, round(sum(v / power(power(y - sy, 2) + power(x - sx, 2) + 1, 2)) / sum(1 / power(power(y - sy, 2) + power(x - sx, 2) + 1, 2)), 6) AS value FROM g, v GROUP BY cell",
+    ),
     "idw_surface": _sql(
         "g AS (SELECT cell, 8 + (cell // 20) * 1.5::DOUBLE AS g_lat, 68 + (cell % 20) * 1.5::DOUBLE AS g_lon FROM range(0, 400) r(cell))",
         """SELECT cell, round(sum((station % 45) / power(power(g_lat - lat, 2) + power(g_lon - lon, 2) + 1, 2)) / sum(1 / power(power(g_lat - lat, 2) + power(g_lon - lon, 2) + 1, 2)), 6) AS value
-FROM g, s WHERE station <= 40 GROUP BY cell""",
+FROM g, s GROUP BY cell""",
     ),
     "same_town_places": _sql(_CENTRES, _TOWN, "SELECT place FROM town"),
-    "nearest_stations_scored": _sql(
+    "nearest_stations_scored": _sql(_POINTS, _PAIRS, _scored(120), "SELECT point, station, minutes, score FROM sc"),
+    "nearest_stations_scored_whole": _sql(_POINTS, _PAIRS, _scored(350), "SELECT point, station, minutes, score FROM sc"),
+    "nearest_stations_diverse": _sql(
         _POINTS,
         _PAIRS,
-        "n AS (SELECT station, count(*) AS halts FROM h GROUP BY station)",
-        f"q AS (SELECT point, station, halts, {_HILLS} AS hills, km FROM pp JOIN n USING (station) WHERE km <= 120 AND halts >= 2)",
-        """m AS (
-  SELECT point, station, halts, floor(floor(km * (CASE WHEN hills THEN 1.45 ELSE 1.3 END)::DOUBLE + 2 + 0.5) / (CASE WHEN hills THEN 32.0 ELSE 45.0 END)::DOUBLE * 60 / 5 + 0.5)::BIGINT * 5 + 10 AS minutes FROM q)""",
-        """SELECT point, station, minutes,
-  minutes + CASE WHEN halts < 6 THEN 180 WHEN halts < 20 THEN 100 WHEN halts < 60 THEN 50 WHEN halts < 120 THEN 15 ELSE 0 END AS score FROM m""",
-    ),
+        _scored(350),
+        "z AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY score, station) AS nth FROM (SELECT sc.*, lat, lon FROM sc JOIN s USING (station)))",
+        f"""fo AS (
+  SELECT point, nth, [{_CHOICE}] AS chosen, false AS ended FROM z WHERE nth = 1
+  UNION ALL
+  SELECT point, nth, CASE WHEN ended OR crowded THEN chosen ELSE list_append(chosen, choice) END, ended FROM (
+    SELECT z.point, z.nth, chosen, {_CHOICE} AS choice, ended OR len(chosen) >= 4 OR z.minutes > 2.2::DOUBLE * chosen[1].minutes + 60 AS ended,
+      {" OR ".join(f"coalesce({_hav(f'chosen[{i}].lat', f'chosen[{i}].lon', 'z.lat', 'z.lon')} < 6, false)" for i in range(1, 5))} AS crowded
+    FROM fo JOIN z ON z.point = fo.point AND z.nth = fo.nth + 1))""",
+        "la AS (SELECT point, arg_max(chosen, nth) AS chosen FROM fo GROUP BY point)",
+        "SELECT point, i::INT AS rank, chosen[i].station AS station, chosen[i].score::DOUBLE AS score FROM la, range(1, 5) r(i) WHERE i <= len(chosen)",
+    ).replace("WITH li", "WITH RECURSIVE li", 1),
     "nearest_two_airports": _sql(
         _POINTS,
         _PAIRS,
@@ -391,6 +418,18 @@ SELECT key, any_value(value) AS value, count(*) AS claims FROM c GROUP BY key HA
   SELECT o.trip AS old, n.trip AS new FROM x o JOIN x n ON o.trip % 2 = 0 AND n.trip % 2 = 1 AND o.halts = n.halts AND ((o.a = n.a AND o.b = n.b) OR (o.a = n.b AND o.b = n.a)))""",
         "SELECT old, new FROM y WHERE old IN (SELECT old FROM y GROUP BY old HAVING count(*) = 1) AND new IN (SELECT new FROM y GROUP BY new HAVING count(*) = 1)",
     ),
+    "renumber_resolution": _sql(
+        """x AS (
+  SELECT trip, a, b, CASE WHEN type IN ('Pass', 'MEMU') THEN type END AS word
+  FROM (SELECT trip, arg_min(station, seq) AS a, arg_max(station, seq) AS b FROM hp GROUP BY trip) JOIN t USING (trip))""",
+        f"cl AS (SELECT x.station AS s, y.station AS t FROM s x, s y WHERE x.station = y.station OR {_hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} < 30)",
+        "w AS (SELECT trip, word, a AS f, b AS g FROM x WHERE trip % 2 = 1 UNION SELECT trip, word, b, a FROM x WHERE trip % 2 = 1)",
+        """m AS (
+  SELECT o.trip AS old, w.trip AS new, coalesce(max((o.word = w.word)::INT), 0) AS named
+  FROM x o JOIN cl p ON p.s = o.a JOIN cl q ON q.s = o.b JOIN w ON w.f = p.t AND w.g = q.t WHERE o.trip % 2 = 0 GROUP BY ALL)""",
+        "r AS (SELECT old, CASE WHEN count(*) = 1 THEN min(new) WHEN sum(named) = 1 THEN max(CASE WHEN named = 1 THEN new END) END AS new FROM m GROUP BY old)",
+        "SELECT old, new FROM r WHERE new IS NOT NULL",
+    ),
     "staleness_check": _sql(
         "th AS (SELECT trip, CASE WHEN trip % 50 = 0 THEN 0 ELSE days END AS days FROM t WHERE trip % 77 <> 0)",
         """u AS (SELECT 'published' AS side FROM (SELECT trip, days FROM th EXCEPT ALL SELECT trip, days FROM t)

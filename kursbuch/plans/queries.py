@@ -206,7 +206,7 @@ def nearest_station(n: Network) -> DataFrame:
 
 @query
 def nearest_station_any(n: Network) -> DataFrame:
-    """At any distance; ``nearest_station`` and its SQL end at 350 km."""
+    """At any distance; ``nearest_station`` asks for those within 350 km."""
     return spatial.nearest_any(_points(n), n.stations).select("point", "station", F.round("km", 6).alias("km"))
 
 
@@ -218,15 +218,16 @@ def range_join_grid(n: Network) -> DataFrame:
 
 @query
 def idw_surface(n: Network) -> DataFrame:
+    """All stations on a coarse lattice of 20 x 20, distances in degrees."""
     grid = n.spark.range(400).select(F.col("id").alias("cell"), (8 + F.floor(F.col("id") / 20) * 1.5).alias("g_lat"), (68 + (F.col("id") % 20) * 1.5).alias("g_lon"))
-    samples = n.stations.filter("station <= 40").select("lat", "lon", (F.col("station") % 45).cast("double").alias("v"))
+    samples = n.stations.select("lat", "lon", (F.col("station") % 45).cast("double").alias("v"))
     return spatial.surface(grid, samples).select("cell", F.round("value", 6).alias("value"))
 
 
 @query
 def idw_surface_whole(n: Network) -> DataFrame:
-    """All stations on the lattice of 125 x 138, distances in cells; ``idw_surface`` and its SQL take
-    40 stations and 20 x 20. The map's conic projection is replaced by equal steps of degrees."""
+    """All stations on the lattice of 125 x 138, distances in cells. The map's conic projection is
+    replaced by equal steps of degrees."""
     across, down = 29 / 125, 29 / 138
     grid = n.spark.range(125 * 138).select(F.col("id").alias("cell"), F.floor(F.col("id") / 125).alias("g_lat"), (F.col("id") % 125).alias("g_lon"))
     samples = n.stations.select(((F.col("lat") - 8) / down).alias("lat"), ((F.col("lon") - 68) / across).alias("lon"), (F.col("station") % 45).cast("double").alias("v"))
@@ -256,7 +257,7 @@ def nearest_stations_scored(n: Network) -> DataFrame:
 
 @query
 def nearest_stations_scored_whole(n: Network) -> DataFrame:
-    """Within the reference's 350 km; ``nearest_stations_scored`` and its SQL end at 120."""
+    """Within 350 km, the operator's own reach; ``nearest_stations_scored`` asks for 120."""
     return spatial.scored(_points(n), _served(n)).select("point", "station", "minutes", "score")
 
 
