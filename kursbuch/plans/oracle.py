@@ -430,12 +430,26 @@ SELECT key, any_value(value) AS value, count(*) AS claims FROM c GROUP BY key HA
         "r AS (SELECT old, CASE WHEN count(*) = 1 THEN min(new) WHEN sum(named) = 1 THEN max(CASE WHEN named = 1 THEN new END) END AS new FROM m GROUP BY old)",
         "SELECT old, new FROM r WHERE new IS NOT NULL",
     ),
+    "track_shortest_path": _sql(
+        _EDGES,
+        f"tr AS (SELECT a, b, {_hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS km FROM e JOIN s x ON x.station = a JOIN s y ON y.station = b)",
+        "bo AS (SELECT a, b, km FROM tr WHERE km <= 300 UNION ALL SELECT b, a, km FROM tr WHERE km <= 300)",
+        """wa AS (
+  SELECT 1::BIGINT AS node, 0::DOUBLE AS km, 0 AS steps
+  UNION ALL
+  SELECT b, min(wa.km + bo.km), steps + 1 FROM wa JOIN bo ON bo.a = wa.node
+  WHERE wa.km + bo.km <= 2500 AND steps < (SELECT count(*) FROM s) GROUP BY b, steps)""",
+        "SELECT node, round(min(km), 6) AS km FROM wa GROUP BY node",
+    ).replace("WITH li", "WITH RECURSIVE li", 1),
     "staleness_check": _sql(
         "th AS (SELECT trip, CASE WHEN trip % 50 = 0 THEN 0 ELSE days END AS days FROM t WHERE trip % 77 <> 0)",
         """u AS (SELECT 'published' AS side FROM (SELECT trip, days FROM th EXCEPT ALL SELECT trip, days FROM t)
   UNION ALL SELECT 'built' FROM (SELECT trip, days FROM t EXCEPT ALL SELECT trip, days FROM th))""",
         "SELECT side, count(*) AS rows FROM u GROUP BY side",
     ),
+    "folded_names": """
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\p{L}+')) AS word FROM documents)
+SELECT word, lower(strip_accents(word)) AS folded FROM w""",
     "saves_last_writer_wins": _alone(_SAVES, 'SELECT "user", key, "at", deleted, data FROM w'),
     "saves_prune": _alone(_SAVES, f'SELECT "user", key, "at", deleted, data FROM w WHERE NOT deleted OR (SELECT max("at") FROM sv) - "at" < {10 * 24 * 3600 * 1000}'),
     "stations_in_boxes": _sql(

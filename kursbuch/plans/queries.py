@@ -378,8 +378,8 @@ def train_search(n: Network) -> DataFrame:
 
 @query
 def folded_names(n: Network) -> DataFrame:
-    """Words of the documents with accents, folded."""
-    words = n.table("documents").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).filter(F.col("word").rlike("[éèêäöüßñçùóí]")).distinct()
+    """All words of the documents, folded."""
+    words = n.table("documents").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word")).filter("word <> ''").distinct()
     return words.select("word", tx.fold(n.spark)(F.col("word")).alias("folded"))
 
 
