@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice_topk, bpe, exact_dedup, mixing, ngram_join, quality, secrets, token_count, url_filter, warc
+from . import bitslice_topk, bpe, exact_dedup, mixing, negatives, ngram_join, packing, quality, secrets, token_count, url_filter, warc, whitening
 from .common import load
 
 #: Fixed by contract: what the url rules say of a host and path.
@@ -58,6 +58,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_classes(load(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", "embedding", label.alias("label"))
+    return negatives.mine(rows, rows.filter(F.col("vec_id") % 100 == 0), positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000)
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.cut(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    checked = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(checked, capacity=1024)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +89,9 @@ QUERIES = {
         op8_quality_classifier,
         op9_warc,
         op10_ngram_join,
+        op11_hard_negatives,
+        op12_whitening,
+        op13_best_fit_packing,
     )
 }
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -158,4 +179,21 @@ l AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y W
 r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
 SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, least(d.doc_id, m.low) AS component_id
 FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS low FROM r GROUP BY x) m USING (doc_id)""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i]))::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+t AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+  FROM t JOIN p USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
