@@ -147,6 +147,102 @@ def _alone(*parts: str) -> str:
     *ctes, body = parts
     return "WITH " + ",".join(ctes) + "\n" + body
 
+_TRACK = f"""
+ti AS (SELECT l_orderkey AS way, l_linenumber::BIGINT AS i, min(l_quantity::BIGINT) AS q FROM lineitem GROUP BY ALL),
+tn AS (
+  SELECT *, max(i) OVER (PARTITION BY way) AS n, way % 60 AS y, (way // 60) % 60 AS x, (way // 3600 + way) % 2 AS up FROM ti),
+tm AS (
+  SELECT *, (way % 11 = 0 AND i = n) AS short, (i - 1)::DOUBLE / greatest(n - 1, 1) * (CASE WHEN way % 11 = 0 AND i = n THEN 0.9976::DOUBLE ELSE 1::DOUBLE END) AS part,
+    CASE WHEN i > 1 AND i < n THEN (q - 25) / 1000.0::DOUBLE ELSE 0 END AS wiggle FROM tn WHERE n >= 2),
+tp AS (
+  SELECT way, i AS pos, CASE WHEN i = 1 THEN y * 60 + x WHEN i = n AND NOT short THEN (y + up) * 60 + x + 1 - up ELSE 10000 + way * 8 + i END AS node,
+    8 + 0.5::DOUBLE * (y + part * up) + wiggle * (1 - up) AS lat, 68 + 0.5::DOUBLE * (x + part * (1 - up)) + wiggle * up AS lon FROM tm),
+te AS (SELECT way, arg_min(node, pos) AS first, arg_max(node, pos) AS last, min(pos) AS lo, max(pos) AS hi FROM tp GROUP BY way),
+tu AS (
+  SELECT node, sum(CASE WHEN pos = lo OR pos = hi THEN 2 ELSE 1 END) AS uses, min(way) AS way, min(struct_pack(lat, lon)) AS p
+  FROM tp JOIN te USING (way) GROUP BY node),
+tk AS (SELECT node, uses, way, p.lat AS lat, p.lon AS lon FROM tu),
+ts AS (
+  SELECT s_suppkey AS station, 8 + 0.5::DOUBLE * (s_suppkey * 37 % 60) + (s_suppkey % 6) * 0.0021::DOUBLE AS lat, 68 + 0.5::DOUBLE * (s_suppkey * 23 % 60) AS lon FROM supplier),
+tsn AS (
+  SELECT station, node, {_hav('ts.lat', 'ts.lon', 'tk.lat', 'tk.lon')} AS km FROM ts JOIN tk ON abs(ts.lat - tk.lat) < 0.01 AND abs(ts.lon - tk.lon) < 0.02),
+snapped AS (SELECT station, min(struct_pack(km, node)) AS b FROM tsn WHERE km < 1 GROUP BY station),
+loose AS (SELECT te.way, k.node, k.lat, k.lon FROM te JOIN tk k ON k.node = te.first OR k.node = te.last WHERE k.uses = 2),
+tb AS (
+  SELECT l.node AS a, k.node AS b, {_hav('l.lat', 'l.lon', 'k.lat', 'k.lon')} AS km
+  FROM loose l JOIN tk k ON abs(l.lat - k.lat) < 0.01 AND abs(l.lon - k.lon) < 0.02 AND k.way <> l.way),
+bridged AS (SELECT a, min(struct_pack(km, b)) AS t FROM tb WHERE km < 0.25 GROUP BY a),
+kept AS (SELECT node FROM tk WHERE uses >= 2 UNION SELECT b.node FROM snapped UNION SELECT t.b FROM bridged),
+tq AS (SELECT *, row_number() OVER (PARTITION BY way ORDER BY pos) AS nth FROM tp),
+steps AS (
+  SELECT y.way, y.nth AS pos, x.node AS was, y.node, {_hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS km FROM tq x JOIN tq y ON y.way = x.way AND y.nth = x.nth + 1),
+walk AS (
+  SELECT way, pos, was AS a, node, km FROM steps WHERE was IN (FROM kept)
+  UNION ALL
+  SELECT s.way, s.pos, w.a, s.node, w.km + s.km FROM walk w JOIN steps s ON s.way = w.way AND s.pos = w.pos + 1 WHERE w.node NOT IN (FROM kept)),
+tg AS (
+  SELECT least(a, node) AS a, greatest(a, node) AS b, min(km) AS km FROM (
+    SELECT a, node, km FROM walk WHERE node IN (FROM kept) AND a <> node UNION ALL SELECT a, t.b, t.km FROM bridged) GROUP BY ALL)"""
+_ROUTES = f"""
+ge AS (SELECT a, b, km FROM tg UNION ALL SELECT b, a, km FROM tg),
+ask AS (
+  SELECT DISTINCT p.a, p.b, k.lat, k.lon, 1.5::DOUBLE * {_hav('j.lat', 'j.lon', 'k.lat', 'k.lon')} + 25 AS most
+  FROM asked p JOIN tk j ON j.node = p.a JOIN tk k ON k.node = p.b),
+found AS (
+  SELECT a, b, a AS node, 0::DOUBLE AS km, [a] AS way, lat, lon, most FROM ask
+  UNION ALL
+  SELECT f.a, f.b, e.b AS node, min(f.km + e.km) AS km, arg_min(list_append(f.way, e.b), f.km + e.km) AS way, any_value(f.lat), any_value(f.lon), any_value(most)
+  FROM found f JOIN ge e ON e.a = f.node JOIN tk k ON k.node = e.b
+  WHERE f.node <> f.b AND NOT list_contains(f.way, e.b) AND f.km + e.km + {_hav('k.lat', 'k.lon', 'f.lat', 'f.lon')} <= most * 1.000000001 GROUP BY f.a, f.b, e.b, len(f.way)),
+ways AS (SELECT a, b, min(struct_pack(km, way)) AS w FROM found WHERE node = b AND km <= most GROUP BY a, b)"""
+
+
+def _recursive(*parts: str) -> str:
+    return _sql(*parts).replace("WITH li", "WITH RECURSIVE li", 1)
+
+_READ = f"""
+rh AS (SELECT trip, seq, trip * 100 + seq AS code, arr, dep, n, n // 2 AS p, CASE WHEN n >= 3 THEN trip % 10 END AS kind FROM h),
+rp AS (SELECT code, 8 + coalesce(arr, dep) * 0.01::DOUBLE AS lat, 75::DOUBLE AS lon FROM rh UNION ALL SELECT -1, -40, 75),
+rs AS (SELECT x.trip FROM rh x JOIN rh y ON y.trip = x.trip AND y.seq = x.p - 1 AND x.seq = x.p WHERE x.arr - y.dep <= 300),
+rr AS (
+  SELECT trip, seq * 10 AS seq, CASE WHEN kind IS NOT DISTINCT FROM 4 AND seq = p THEN NULL ELSE code END AS code,
+    arr + CASE WHEN kind = 1 AND trip IN (FROM rs) AND seq >= p OR kind = 3 AND seq > p THEN 1440 ELSE 0 END AS arr,
+    dep + CASE WHEN kind = 1 AND trip IN (FROM rs) AND seq >= p OR kind = 3 AND seq >= p AND arr IS NOT NULL THEN 1440 ELSE 0 END AS dep FROM rh
+  UNION ALL SELECT trip, seq * 10 + 5, -1, dep + 1, dep + 1 FROM rh WHERE kind = 2 AND seq = p - 1)"""
+
+
+def _stretches(rows: str, name: str) -> str:
+    """Neighbouring rows of a trip, with the way between them and why it cannot be."""
+    return f"""
+{name}_o AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY seq) AS i FROM {rows}),
+{name}_k AS (
+  SELECT y.trip, y.seq, x.code AS c0, y.code AS c1, {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km, y.arr - x.dep AS mins
+  FROM {name}_o x JOIN {name}_o y ON y.trip = x.trip AND y.i = x.i + 1 LEFT JOIN rp a ON a.code = x.code LEFT JOIN rp b ON b.code = y.code),
+{name} AS (
+  SELECT trip, seq, CASE WHEN c0 = c1 THEN 'same station twice'
+    WHEN mins <= 0 OR km * 60 / mins > CASE WHEN km >= 300 THEN 105 WHEN km >= 40 THEN 135 ELSE 160 END THEN 'impossible speed'
+    WHEN mins > 720 AND km < 400 THEN 'long gap'
+    WHEN trip % 2 <> 0 AND (km > CASE WHEN trip % 3 = 0 THEN 650 ELSE 450 END OR mins > 600 AND km * 60 / mins < 55) THEN 'halts missing' END AS fault
+  FROM {name}_k)"""
+
+
+_BOOK = """
+bw AS (SELECT doc_id AS code, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{3,}')[1:3] AS w FROM documents),
+bp AS (SELECT code, 8 + (code * 37 % 2900) / 100.0::DOUBLE AS lat, 68 + (code * 53 % 2900) / 100.0::DOUBLE AS lon FROM bw),
+ba AS (
+  SELECT code, CASE code % 5 WHEN 1 THEN list_filter([w[1], w[3]], lambda x: x IS NOT NULL) WHEN 2 THEN list_concat(['Old'], w, ['Extra']) WHEN 3 THEN list_concat(w, ['Jn'])
+    WHEN 4 THEN list_reverse(w) ELSE w END AS w FROM bw),
+bu AS (SELECT 0 AS side, code, list_filter(list_transform(w, lambda x: upper(x)), lambda x: x NOT IN ('JN', 'JUNCTION', 'RLY', 'RAILWAY', 'STATION', 'HALT')) AS w FROM bw
+  UNION ALL SELECT 1, code, list_filter(list_transform(w, lambda x: upper(x)), lambda x: x NOT IN ('JN', 'JUNCTION', 'RLY', 'RAILWAY', 'STATION', 'HALT')) FROM ba),
+bk AS (SELECT side, code, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM bu),
+bc AS (
+  SELECT a.code AS ask, b.code, a.w = b.w AS exact, list_has_all(b.w, a.w) AS loose,
+    CASE WHEN len(b.w) >= 2 AND list_has_all(a.w, b.w) THEN len(b.w) END AS inside
+  FROM bk a JOIN bk b ON a.side = 1 AND b.side = 0 AND len(a.w) > 0 AND len(b.w) > 0 AND list_has_any(a.w, b.w)),
+br AS (
+  SELECT ask, code, unnest(list_concat(CASE WHEN exact THEN [1] ELSE [] END, CASE WHEN loose THEN [2] ELSE [] END,
+    CASE WHEN inside = max(inside) OVER (PARTITION BY ask) THEN [3] ELSE [] END)) AS rule FROM bc)"""
+
 
 ORACLE_SQL: dict[str, str] = {
     "departures_from_place": _sql(_OUT_BOARD, _DEST.format("out_legs")),
@@ -611,4 +707,69 @@ SELECT p_partkey, step,
     ELSE CASE WHEN who = 1 THEN 'Ann' ELSE 'Unknown author' END || CASE WHEN cc THEN ', CC BY' ELSE '' END END AS credit,
   CASE WHEN p_partkey % 400 >= 300 THEN 105 WHEN p_partkey % 400 >= 40 THEN 135 ELSE 160 END AS speed
 FROM t""",
+    "track_snap": _recursive(_TRACK, "SELECT station, b.node AS node, round(b.km, 6) AS km FROM snapped"),
+    "track_bridges": _recursive(_TRACK, "SELECT a, t.b AS b, round(t.km, 6) AS km FROM bridged"),
+    "track_contract": _recursive(_TRACK, "SELECT a, b, round(km, 6) AS km FROM tg"),
+    "track_routes": _recursive(
+        _EDGES,
+        _TRACK,
+        f"""asked AS (
+  SELECT x.b.node AS a, y.b.node AS b FROM e JOIN snapped x ON x.station = e.a JOIN snapped y ON y.station = e.b
+  JOIN ts u ON u.station = e.a JOIN ts v ON v.station = e.b WHERE {_hav('u.lat', 'u.lon', 'v.lat', 'v.lon')} BETWEEN 15 AND 250)""",
+        _ROUTES,
+        "SELECT a, b, round(w.km, 6) AS km, array_to_string(w.way, ' ') AS way FROM ways",
+    ),
+    "track_paths": _recursive(
+        _TRACK,
+        f"""str AS (
+  SELECT x.trip, x.seq, x.station AS sa, y.station AS sb FROM h x JOIN h y ON y.trip = x.trip AND y.seq = x.seq + 1
+  JOIN ts u ON u.station = x.station JOIN ts v ON v.station = y.station
+  WHERE x.station <> y.station AND NOT (x.trip % 4 = 0 AND x.seq % 2 = 0) AND {_hav('u.lat', 'u.lon', 'v.lat', 'v.lon')} BETWEEN 15 AND 250),
+asked AS (SELECT DISTINCT x.b.node AS a, y.b.node AS b FROM str JOIN snapped x ON x.station = sa JOIN snapped y ON y.station = sb)""",
+        _ROUTES,
+        """on_way AS (SELECT a, b, unnest(w.way) AS node, unnest(range(1, len(w.way) + 1)) AS pos FROM ways),
+via AS (
+  SELECT a, b, array_to_string(list(station ORDER BY pos, station), ' ') AS via FROM (
+    SELECT o.a, o.b, s.station, min(o.pos) AS pos FROM on_way o JOIN snapped s ON s.b.node = o.node WHERE o.node <> o.a AND o.node <> o.b GROUP BY ALL) GROUP BY ALL)""",
+        "SELECT trip, seq, via FROM str JOIN snapped x ON x.station = sa JOIN snapped y ON y.station = sb JOIN via ON via.a = x.b.node AND via.b = y.b.node",
+    ),
+    "stitched_trips": _sql("SELECT trip, seq, station * 100 + seq AS code, arr, dep FROM h"),
+    "book_faults": _sql(
+        _READ,
+        _stretches("rr", "st"),
+        """cl AS (SELECT trip, seq, unnest([arr, dep]) AS tm, unnest([0, 1]) AS k FROM rr),
+cb AS (SELECT trip FROM (SELECT trip, tm, lag(tm) OVER (PARTITION BY trip ORDER BY seq, k) AS b FROM cl WHERE tm IS NOT NULL) WHERE tm < b),
+ce AS (SELECT trip, arg_min(struct_pack(d := dep), seq).d AS dep, arg_max(struct_pack(d := arr), seq).d AS arr, bool_or(code IS NULL) AS none, bool_or(coalesce(dep - arr > 360, false)) AS long FROM rr GROUP BY trip),
+cs AS (SELECT trip, arg_min(fault, seq) AS fault FROM st WHERE fault IS NOT NULL GROUP BY trip),
+cf AS (SELECT trip, count(*) AS n, max(abs(lat - first)) * 111.19492664455873 AS reach, any_value(abs(last - first)) * 111.19492664455873 AS across FROM (
+  SELECT trip, lat, first_value(lat) OVER w AS first, last_value(lat) OVER w AS last FROM rr JOIN rp USING (code) WINDOW w AS (PARTITION BY trip ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY trip)""",
+        """SELECT trip, CASE WHEN none THEN 'station not identified' WHEN ce.dep IS NULL OR ce.arr IS NULL THEN 'no start or end time' WHEN trip IN (FROM cb) THEN 'time runs backwards'
+  WHEN long THEN 'halt of more than 6 hours' WHEN fault IS NOT NULL THEN fault WHEN cf.n >= 3 AND reach > 1.35 * across + 350 THEN 'doubles back' ELSE '' END AS reason
+FROM ce LEFT JOIN cs USING (trip) LEFT JOIN cf USING (trip)""",
+    ),
+    "repaired_trips": _sql(
+        _READ,
+        "go AS (SELECT trip, seq, code, arr, dep, kind FROM rh WHERE NOT (kind IS NOT DISTINCT FROM 4 AND seq = p AND n > 2))",
+        _stretches("go", "st"),
+        """SELECT trip, seq * 10 AS seq, code, arr, dep, (CASE WHEN kind IN (2, 4) THEN 1 ELSE 0 END)::INT AS dropped,
+  (CASE WHEN kind = 3 OR kind = 1 AND trip IN (FROM rs) THEN 1 ELSE 0 END)::INT AS days
+FROM go WHERE trip NOT IN (SELECT trip FROM st WHERE fault IS NOT NULL)""",
+    ),
+    "resolved_names": _alone(
+        _BOOK,
+        f"""bh AS (
+  SELECT ask, br.code, rule, a.lat IS NULL AS free, {_hav('a.lat', 'a.lon', 'p.lat', 'p.lon')} AS km, ask % 4 = 0 AND br.code = ask AS known,
+    CASE WHEN ask % 2 = 0 THEN 30 * 1.08::DOUBLE + 6 ELSE 400 END AS reach
+  FROM br JOIN bp p ON p.code = br.code LEFT JOIN bp a ON a.code = CASE ask % 3 WHEN 1 THEN ask WHEN 2 THEN ask - 1 END),
+bf AS (SELECT * FROM bh WHERE free OR km <= reach),
+b1 AS (SELECT bf.* FROM bf JOIN (SELECT ask, min(rule) AS rule FROM bf GROUP BY ask) USING (ask, rule)),
+b2 AS (SELECT * FROM b1 WHERE known OR ask NOT IN (SELECT ask FROM b1 WHERE known)),
+b3 AS (SELECT ask, any_value(rule) AS rule, CASE WHEN NOT any_value(free) OR count(*) = 1 THEN min(struct_pack(km, code)).code END AS code FROM b2 GROUP BY ask)""",
+        "SELECT bw.code AS ask, b3.code AS code, b3.rule::INT AS rule FROM bw LEFT JOIN b3 ON b3.ask = bw.code",
+    ),
+    "threaded_halts": _sql(
+        """pu AS (SELECT trip, seq, station, seq % 3 <> 1 OR (trip + seq) % 4 = 0 AS calls FROM h),
+fi AS (SELECT trip, min(seq) AS first, max(seq) AS last FROM pu WHERE calls GROUP BY trip)""",
+        "SELECT trip, seq - first AS pos, station * 100 + seq AS code, CASE WHEN calls THEN seq END AS seq FROM pu JOIN fi USING (trip) WHERE seq BETWEEN first AND last",
+    ),
 }

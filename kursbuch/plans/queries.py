@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import climate, geo, labels, travel
 from ..functions import text as tx
-from ..operators import graph, guides, lines, plan, ranking, reach, repair, resolve, saves, spatial
+from ..operators import book, graph, guides, lines, names, plan, ranking, reach, repair, resolve, saves, spatial, track
 from ..sources.driver_tables import Network
 
 #: Week minute of the questions that ask from now on: Thursday 14:05.
@@ -649,3 +649,183 @@ def photo_widths(n: Network) -> DataFrame:
         "p_partkey", labels.photo_width(F.col("w"), F.col("want")).alias("step"), labels.photo_url(thumb, F.col("w"), F.col("want")).alias("url"),
         labels.credit(F.col("by"), F.col("lic"), F.concat(F.lit("A_file_"), k, F.lit(".png"))).alias("credit"), labels.believable_speed(k % 400).alias("speed"),
     )
+
+
+def _track(n: Network) -> DataFrame:
+    """Orders as ways between neighbouring points of a lattice of half a degree, their lines as the points between; some
+    ways stop 130 m short of their end."""
+    o, i, q = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity").cast("long")
+    rows = n.table("lineitem").select(o.alias("way"), i.cast("long").alias("i"), q.alias("q")).groupBy("way", "i").agg(F.min("q").alias("q"))
+    rows = rows.withColumn("n", F.max("i").over(Window.partitionBy("way")))
+    w = F.col("way")
+    y, x = w % 60, F.floor(w / 60).cast("long") % 60
+    up = (F.floor(w / 3600).cast("long") + w) % 2
+    part = (F.col("i") - 1) / F.greatest(F.col("n") - 1, F.lit(1))
+    short = (w % 11 == 0) & (F.col("i") == F.col("n"))
+    part = F.when(short, part * 0.9976).otherwise(part)
+    inner = (F.col("i") > 1) & (F.col("i") < F.col("n"))
+    wiggle = F.when(inner, (F.col("q") - 25) / 1000.0).otherwise(0.0)
+    node = F.when(F.col("i") == 1, y * 60 + x).when((F.col("i") == F.col("n")) & ~short, (y + up) * 60 + x + 1 - up).otherwise(10000 + w * 8 + F.col("i"))
+    return rows.filter("n >= 2").select(
+        "way", F.col("i").alias("pos"), node.alias("node"),
+        (8 + 0.5 * (y + part * up) + wiggle * (1 - up)).alias("lat"), (68 + 0.5 * (x + part * (1 - up)) + wiggle * up).alias("lon"),
+    )
+
+
+def _track_stations(n: Network) -> DataFrame:
+    k = F.col("s_suppkey")
+    return n.table("supplier").select(k.alias("station"), (8 + 0.5 * (k * 37 % 60) + (k % 6) * 0.0021).alias("lat"), (68 + 0.5 * (k * 23 % 60)).alias("lon"))
+
+
+@query
+def track_snap(n: Network) -> DataFrame:
+    """The track's node of each station within a kilometre."""
+    found = track.snap(_track_stations(n), track.node_uses(_track(n)))
+    return found.select("station", "node", F.round("km", 6).alias("km"))
+
+
+@query
+def track_bridges(n: Network) -> DataFrame:
+    """Loose ends of ways and the nearest other line."""
+    points = _track(n)
+    return track.bridges(points, track.node_uses(points)).select("a", "b", F.round("km", 6).alias("km"))
+
+
+@query
+def track_contract(n: Network) -> DataFrame:
+    """The track as a graph of junctions, stations and bridges."""
+    points = _track(n)
+    nodes = track.node_uses(points)
+    graph = track.contract(points, nodes, track.snap(_track_stations(n), nodes), track.bridges(points, nodes))
+    return graph.select("a", "b", F.round("km", 6).alias("km"))
+
+
+@query
+def track_routes(n: Network) -> DataFrame:
+    """Ways along the track between the stations of all neighbouring halts up to 250 km apart."""
+    points = _track(n)
+    nodes = track.node_uses(points)
+    snapped = track.snap(_track_stations(n), nodes)
+    graph = track.contract(points, nodes, snapped, track.bridges(points, nodes))
+    on = snapped.select("station", "node").join(_track_stations(n), "station")
+    pairs = lines.edges(n.halts).select("a", "b").join(on.toDF("a", "n", "y1", "x1"), "a").join(on.toDF("b", "m", "y2", "x2"), "b")
+    pairs = pairs.filter(geo.haversine(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")).between(15, 250))
+    ways = track.routes(pairs.select(F.col("n").alias("a"), F.col("m").alias("b")), graph, nodes)
+    return ways.select("a", "b", F.round("km", 6).alias("km"), F.array_join(F.col("way").cast("array<string>"), " ").alias("way"))
+
+
+@query
+def track_paths(n: Network) -> DataFrame:
+    """Stretches of 15 km or more without a recorded path: the stations passed on the track between them."""
+    order = Window.partitionBy("trip").orderBy("seq")
+    s = n.halts.select("trip", "seq", F.col("station").alias("a"), F.lead("station").over(order).alias("b")).filter("b is not null and a <> b")
+    recorded = s.filter("trip % 4 = 0 and seq % 2 = 0").select("trip", "seq")
+    at = _track_stations(n)
+    close = s.join(at.toDF("a", "y1", "x1"), "a").join(at.toDF("b", "y2", "x2"), "b").filter(geo.haversine(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")) <= 250)
+    found = track.fill_paths(close.select("trip", "seq", "a", "b"), recorded, at, _track(n))
+    return found.select("trip", "seq", F.array_join(F.col("via").cast("array<string>"), " ").alias("via"))
+
+
+def _book_names(n: Network) -> DataFrame:
+    """Documents as stations named by their first three words."""
+    words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 3)
+    k = F.col("doc_id")
+    return n.table("documents").select(k.alias("code"), words.alias("w"), (8 + (k * 37 % 2900) / 100.0).alias("lat"), (68 + (k * 53 % 2900) / 100.0).alias("lon"))
+
+
+@query
+def resolved_names(n: Network) -> DataFrame:
+    """Names as a book prints them, with words left out, added or in another order, and the stations meant."""
+    s = _book_names(n)
+    k, w = F.col("code"), F.col("w")
+    printed = (
+        F.when(k % 5 == 1, F.array_compact(F.array(F.get(w, F.lit(0)), F.get(w, F.lit(2))))).when(k % 5 == 2, F.concat(F.array(F.lit("Old")), w, F.array(F.lit("Extra"))))
+        .when(k % 5 == 3, F.concat(w, F.array(F.lit("Jn")))).when(k % 5 == 4, F.reverse(w)).otherwise(w)
+    )
+    asks = s.select(
+        k.alias("ask"), F.array_join(printed, " ").alias("name"), F.when(k % 3 == 1, k).when(k % 3 == 2, k - 1).alias("anchor"),
+        F.when(k % 2 == 0, F.lit(30.0)).alias("rail_km"), F.when(k % 4 == 0, F.array(k)).otherwise(F.array().cast("array<bigint>")).alias("expected"),
+    )
+    return names.resolve(asks, s.select("code", F.array_join("w", " ").alias("name")), s.select("code", "lat", "lon"), close=False)
+
+
+@query
+def resolved_misprints(n: Network) -> DataFrame:
+    """The same stations by names with a letter left out, next to a neighbour that is placed."""
+    s = _book_names(n).filter(F.size("w") == 3).withColumn("name", F.array_join("w", " "))
+    k = F.col("code")
+    cut = F.concat(F.substr("name", F.lit(1), F.lit(1)), F.substr("name", F.lit(3), F.length("name")))
+    asks = s.select(k.alias("ask"), cut.alias("name"), k.alias("anchor"), F.lit(None).cast("double").alias("rail_km"), F.array().cast("array<bigint>").alias("expected"))
+    return names.resolve(asks, s.select("code", "name"), s.select("code", "lat", "lon"))
+
+
+@query
+def placed_segments(n: Network) -> DataFrame:
+    """Pages with names of documents' first words, placed by their names and printed distances."""
+    s = _book_names(n)
+    count = n.table("documents").agg(F.max("doc_id").alias("most"))
+    h = n.halts.join(F.broadcast(count)).withColumn("code", (F.col("trip") * 13 + F.col("seq")) % (F.col("most") + 1))
+    rows = h.join(s.select("code", F.array_join("w", " ").alias("name")), "code")
+    halts = rows.select("trip", F.col("trip").alias("segment"), F.col("seq").alias("pos"), "name", F.when(F.col("trip") % 3 > 0, 100.0 * F.col("seq")).alias("km"))
+    expected = rows.filter("trip % 2 = 0").select("trip", "code")
+    return book.place_segments(halts, s.select("code", F.array_join("w", " ").alias("name")), s.select("code", "lat", "lon"), expected)
+
+
+@query
+def stitched_trips(n: Network) -> DataFrame:
+    """Trips cut into pages, printed out of order and by the clock, and put together again."""
+    whole = Window.partitionBy("trip")
+    h = n.halts.select("trip", "seq", (F.col("station") * 100 + F.col("seq")).alias("code"), "arr", "dep").withColumn("n", F.count("*").over(whole))
+    m = F.floor(F.col("n") / 2)
+    left, right = F.col("seq") <= F.when(F.col("n") >= 4, m).otherwise(99), (F.col("n") >= 4) & (F.col("seq") >= m + (F.col("trip") % 3 == 0).cast("int"))
+    page = lambda first: F.when((F.col("trip") % 2 == 0) == F.lit(first), 1).otherwise(2)
+    a = h.filter(left).withColumn("page", page(True)).withColumn("move", F.lit(0).cast("long"))
+    b = h.filter(right).withColumn("page", page(False)).withColumn("arr", F.when(F.col("seq") > m, F.col("arr")))
+    b = b.withColumn("begin", F.min(F.coalesce("arr", "dep")).over(whole)).withColumn("move", F.col("begin") - F.col("begin") % 1440)
+    both = a.select("trip", "page", "seq", "code", "arr", "dep", "move").union(b.select("trip", "page", "seq", "code", "arr", "dep", "move"))
+    halts = both.select("trip", "page", F.col("seq").alias("pos"), "code", F.lit(False).alias("unsure"), (F.col("arr") - F.col("move")).alias("arr"), (F.col("dep") - F.col("move")).alias("dep"))
+    table = F.when((F.col("trip") % 2 == 0) == (F.col("page") == 1), "10").otherwise("20")
+    pages = halts.select("trip", "page").distinct().withColumn("table", table)
+    pages = pages.select("trip", "page", "table", (F.col("table") == "20").alias("comes_from"), F.when(F.col("table") == "10", F.array(F.lit("20"))).otherwise(F.array().cast("array<string>")).alias("goes_to"))
+    return book.stitch(halts, pages)
+
+
+def _read_trips(n: Network) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trips along a line, some misread: a day too much, a row of another train, a halt a day long, a halt unplaced."""
+    whole = Window.partitionBy("trip")
+    t, s = F.col("trip"), F.col("seq")
+    h = n.halts.select("trip", "seq", (t * 100 + s).alias("code"), "arr", "dep").withColumn("n", F.count("*").over(whole)).withColumn("p", F.floor(F.col("n") / 2))
+    pos = h.select("code", (8 + F.coalesce("arr", "dep") * 0.01).alias("lat"), F.lit(75.0).alias("lon")).union(n.spark.range(1).select(F.lit(-1).cast("long"), F.lit(-40.0), F.lit(75.0)))
+    kind = F.when(F.col("n") >= 3, t % 10)
+    gap = F.col("arr") - F.lag("dep").over(whole.orderBy("seq"))
+    h = h.withColumn("kind", kind).withColumn("short", F.max(F.when((s == F.col("p")) & (gap <= 300), 1).otherwise(0)).over(whole) == 1)
+    late = (F.col("kind") == 1) & F.col("short") & (s >= F.col("p")) | (F.col("kind") == 3) & (s > F.col("p"))
+    day = lambda c, more: F.col(c) + F.when(more, 1440).otherwise(0)
+    rows = h.select(
+        "trip", (s * 10).alias("seq"), F.when(~((F.col("kind") == 4) & (s == F.col("p"))) | F.col("kind").isNull(), F.col("code")).alias("code"),
+        day("arr", F.coalesce(late, F.lit(False))).alias("arr"), day("dep", F.coalesce(late | (F.col("kind") == 3) & (s == F.col("p")) & F.col("arr").isNotNull(), F.lit(False))).alias("dep"),
+    )
+    stray = h.filter((F.col("kind") == 2) & (s == F.col("p") - 1)).select("trip", (s * 10 + 5).alias("seq"), F.lit(-1).cast("long").alias("code"), (F.col("dep") + 1).alias("arr"), (F.col("dep") + 1).alias("dep"))
+    kinds = n.trips.select("trip", (F.col("trip") % 2 == 0).alias("nonstop"), (F.col("trip") % 3 == 0).alias("premium"))
+    return rows.union(stray), pos, kinds
+
+
+@query
+def book_faults(n: Network) -> DataFrame:
+    """Why a trip as read cannot be trusted, the first reason."""
+    return book.check(*_read_trips(n))
+
+
+@query
+def repaired_trips(n: Network) -> DataFrame:
+    """Trips as read, with their reading faults mended, where that leaves a trip that can be trusted."""
+    return book.repair(*_read_trips(n))
+
+
+@query
+def threaded_halts(n: Network) -> DataFrame:
+    """Halts threaded through the stations of a full path, of which trips call at every second or so."""
+    code = (F.col("station") * 100 + F.col("seq")).alias("code")
+    path = n.halts.select("trip", F.col("seq").alias("at"), code)
+    halts = n.halts.filter("seq % 3 <> 1 or (trip + seq) % 4 = 0").select("trip", "seq", code)
+    return book.thread(halts, path)
