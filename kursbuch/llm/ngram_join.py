@@ -522,9 +522,23 @@ def similar_classes(
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, that with the smallest id; all columns stay.
 
-    Of rows that repeat an id and text all stay or go together; rows with a null id stay.
+    A document is an id and a text: of rows that repeat both all stay or go together, and rows that repeat an id
+    with another text are judged by their own. Rows with a null id, a null or empty text, or no words stay. An
+    empty table gives an empty one; column names may be any.
     """
-    found = similar_classes(docs, n, num, den, id_col, text_col)
-    key = fresh(docs, "_gone")
-    gone = found.filter(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(key)).distinct()
-    return docs.join(gone, docs[id_col] == F.col(key), "left_anti")
+    found = stage(similar_classes(docs, n, num, den, id_col, text_col).withColumnRenamed(id_col, "id").filter("id is not null"), "classes")
+    lost = F.col("component_id") < F.col("id")
+    fates = found.groupBy("id").agg(F.min(lost).alias("all"), F.max(lost).alias("any"))
+    gone = fates.filter("all").select("id", F.lit(None).cast("long").alias("mark"))
+    # Ids whose rows differ: the few texts that repeat them tell their sets once more.
+    mixed = fates.filter("any and not all").select("id")
+    if mixed.limit(1).count():
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(mixed, "id", "left_semi")
+        rows = rows.withColumn("mark", F.xxhash64("text")).distinct()
+        signed = _Join(n, num, den).signed(rows.select(F.col("mark").alias("id"), "text").distinct()).filter("own")
+        marks = rows.select("id", "mark").join(signed.select(F.col("sig").alias("mark"), F.col("node").alias("set_id")).distinct(), "mark")
+        gone = gone.union(found.filter(lost).join(marks, ["id", "set_id"]).select("id", "mark").distinct())
+    key, mark = fresh(docs, "_gone"), fresh(docs, "_mark")
+    gone = gone.select(F.col("id").alias(key), F.col("mark").alias(mark))
+    same = (docs[id_col] == F.col(key)) & (F.col(mark).isNull() | (F.col(mark) == F.xxhash64(text_or_empty(text_col))))
+    return docs.join(gone, same, "left_anti")

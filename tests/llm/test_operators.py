@@ -502,6 +502,16 @@ def test_keep_first(docs, corpus, no_docs):
     assert ngram_join.similar_classes(no_docs).count() == 0
 
 
+def test_keep_first_tells_rows_of_one_id_apart(spark, no_docs):
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " * 2
+    rows = [(1, long + "end", "s"), (2, long + "end!", "s"), (2, "something else that resembles nothing at all here", "s"), (2, long + "end!", "t"), (3, "other words " * 4, "s")]
+    rows += [(2, None, "s"), (2, "", "s"), (None, long + "end", "s"), (4, long + "end", "s"), (4, long + "end?", "s")]
+    kept = ngram_join.keep_first(make_docs(spark, rows), 5, 80, 100)
+    want = [rows[0], rows[2], *rows[4:8]]
+    assert sorted(str((r["doc_id"], r["text"], r["source"])) for r in kept.collect()) == sorted(map(str, want))
+    assert ngram_join.keep_first(no_docs).count() == 0 and ngram_join.keep_first(no_docs).columns == no_docs.columns
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 2**32), st.sampled_from([(85, 100), (80, 100), (60, 100)]))
 def test_similar_sets_share_their_quota(size, seed, ratio):
