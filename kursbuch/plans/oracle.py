@@ -772,4 +772,46 @@ b3 AS (SELECT ask, any_value(rule) AS rule, CASE WHEN NOT any_value(free) OR cou
 fi AS (SELECT trip, min(seq) AS first, max(seq) AS last FROM pu WHERE calls GROUP BY trip)""",
         "SELECT trip, seq - first AS pos, station * 100 + seq AS code, CASE WHEN calls THEN seq END AS seq FROM pu JOIN fi USING (trip) WHERE seq BETWEEN first AND last",
     ),
+    "rename_chains": """
+WITH RECURSIVE x AS (
+  SELECT p_partkey AS old, CASE WHEN p_partkey // 100 % 3 = 0 AND p_partkey % 100 = 99 THEN p_partkey - 49 ELSE p_partkey + 1 END AS new
+  FROM part WHERE p_partkey % 100 <> 0 AND (p_partkey % 100 <> 99 OR p_partkey // 100 % 3 = 0)),
+c(old, current, seen) AS (
+  SELECT old, old, []::BIGINT[] FROM x
+  UNION ALL SELECT c.old, x.new, list_append(seen, c.current) FROM c JOIN x ON c.current = x.old WHERE NOT list_contains(seen, c.current))
+SELECT old, arg_max(current, len(seen)) AS current FROM c GROUP BY old""",
+    "coast_distance": f"""
+WITH k AS (
+  SELECT p_partkey // 50 AS line, p_partkey % 50 AS pos, 8 + p_partkey // 50 * 53 % 290 / 10.0::DOUBLE + (p_partkey * 7 % 5) * 0.03::DOUBLE AS lat,
+    68 + p_partkey // 50 * 37 % 290 / 10.0::DOUBLE + p_partkey % 50 * 0.05::DOUBLE AS lon FROM part),
+g AS (
+  SELECT a.lon AS x0, a.lat AS y0, b.lon AS x1, b.lat AS y1 FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY pos) AS i FROM k) a
+  JOIN (SELECT *, row_number() OVER (PARTITION BY line ORDER BY pos) AS i FROM k) b ON b.line = a.line AND b.i = a.i + 1),
+p AS (SELECT c_custkey AS point, (8 + (c_custkey * 41 % 2900) / 100.0::DOUBLE) AS lat, (68 + (c_custkey * 59 % 2900) / 100.0::DOUBLE) AS lon FROM customer),
+f AS (
+  SELECT point, (x0 - lon) * 111 * cos(radians(lat)) AS ax, (y0 - lat) * 111 AS ay, (x1 - x0) * 111 * cos(radians(lat)) AS vx, (y1 - y0) * 111 AS vy
+  FROM p JOIN g ON floor(lon / 0.5) BETWEEN floor(least(x0, x1) / 0.5) - 1 AND floor(greatest(x0, x1) / 0.5) + 1
+    AND floor(lat / 0.5) BETWEEN floor(least(y0, y1) / 0.5) - 1 AND floor(greatest(y0, y1) / 0.5) + 1),
+t AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, -(ax * vx + ay * vy) / (vx * vx + vy * vy))) AS t FROM f),
+d AS (SELECT point, min(sqrt((ax + t * vx) * (ax + t * vx) + (ay + t * vy) * (ay + t * vy))) AS km FROM t GROUP BY point)
+SELECT point, coalesce(round(km, 6), 'inf'::DOUBLE) AS km FROM p LEFT JOIN d USING (point)""",
+    "listing_templates": """
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[A-Za-z]{3,}')[1], 'none') AS a, coalesce(regexp_extract_all(text, '[A-Za-z]{3,}')[2], 'none') AS b,
+    coalesce(regexp_extract_all(text, '[A-Za-z]{3,}')[3], 'none') AS c FROM documents)
+SELECT doc_id, 0::INT AS nth, 'see' AS kind, a AS name, '{{x|' || b || '|do=1}} and [[' || c || '|' || a || ']], ''''fine''''' AS content, 'and ' || a || ', fine' AS words, c AS name2 FROM w
+UNION ALL SELECT doc_id, 1, 'do', b, '', '', '' FROM w
+UNION ALL SELECT doc_id, 2, 'eat', c, '', '', '' FROM w""",
+    "search_places": """
+WITH q AS (SELECT 'smlal gizmo' AS q),
+n AS (SELECT p_partkey AS id, lower(p_name) AS name, 'p' || p_partkey AS code, 0.3::DOUBLE * log10(1 + p_size) AS lift FROM part),
+r AS (
+  SELECT *, CASE WHEN code = q THEN 5.0::DOUBLE WHEN name = q THEN 4.6 WHEN starts_with(name, q) THEN 4.0
+    WHEN len(list_filter(regexp_split_to_array(name, '[^a-z0-9]+'), lambda w: starts_with(w, q))) > 0 THEN 3.0 WHEN contains(name, q) THEN 2.0 END AS rule,
+    CASE WHEN name[1] = q[1] THEN list_min(list_filter(list_concat([damerau_levenshtein(q, name)::DOUBLE],
+      list_transform(list_filter([len(q) - 1, len(q), len(q) + 1], lambda k: len(name) > greatest(len(q), k)), lambda k: damerau_levenshtein(q, name[1:k]) + 0.5::DOUBLE)), lambda d: d <= 2.5)) END AS slip
+  FROM n, q),
+s AS (SELECT *, coalesce(rule, 2.4::DOUBLE - 0.5::DOUBLE * slip) + lift AS score FROM r WHERE rule IS NOT NULL OR slip IS NOT NULL)
+SELECT id, name, round(score, 6) AS score, CASE WHEN rule IS NULL THEN slip ELSE 0 END AS slip FROM s
+WHERE rule IS NOT NULL OR (SELECT count(*) FROM s WHERE rule IS NOT NULL AND score >= 3.3) < 3 ORDER BY s.score DESC, id LIMIT 8""",
 }

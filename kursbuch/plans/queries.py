@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import climate, geo, labels, travel
 from ..functions import text as tx
-from ..operators import book, graph, guides, lines, names, plan, ranking, reach, repair, resolve, saves, spatial, track
+from ..operators import book, coast, graph, guides, lines, markup, names, plan, ranking, reach, repair, resolve, saves, spatial, track
 from ..sources.driver_tables import Network
 
 #: Week minute of the questions that ask from now on: Thursday 14:05.
@@ -551,8 +551,9 @@ def trip_calendar(n: Network) -> DataFrame:
 def from_places(n: Network) -> DataFrame:
     """Places with a direct train to the hub: cities first, then the quickest."""
     legs = reach.arrivals(n.through(n.hub), n.hub).groupBy("place").agg(F.min("dur").alias("fastest"), F.countDistinct("trip").alias("trips"))
-    order = Window.orderBy((F.col("place") % 4 == 0).desc(), "fastest", "place")
-    return legs.withColumn("rank", F.row_number().over(order).cast("int")).filter("rank <= 8").select("rank", "place", "fastest", "trips")
+    order = [(F.col("place") % 4 == 0).desc(), F.col("fastest"), F.col("place")]
+    first = legs.orderBy(*order).limit(8)  # the window numbers these rows alone
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int")).select("rank", "place", "fastest", "trips")
 
 
 @query
@@ -567,7 +568,7 @@ def halts_of_note(n: Network) -> DataFrame:
 @query
 def search_places(n: Network) -> DataFrame:
     """A misspelt query over all names: the first rules, and names with slips where fewer than three read as typed."""
-    return ranking.search_forgiving(_names(n), "psrt_12").select("id", "name", F.round("score", 6).alias("score"), "slip")
+    return ranking.search_forgiving(_names(n), "smlal gizmo").select("id", "name", F.round("score", 6).alias("score"), "slip")
 
 
 @query
@@ -829,3 +830,35 @@ def threaded_halts(n: Network) -> DataFrame:
     path = n.halts.select("trip", F.col("seq").alias("at"), code)
     halts = n.halts.filter("seq % 3 <> 1 or (trip + seq) % 4 = 0").select("trip", "seq", code)
     return book.thread(halts, path)
+
+
+@query
+def rename_chains(n: Network) -> DataFrame:
+    """Chains of 99 renames, a third of which run into a circle of 50."""
+    k = F.col("p_partkey")
+    circle = F.floor(k / 100) % 3 == 0
+    rows = n.table("part").filter((k % 100 != 0) & ((k % 100 != 99) | circle))
+    return resolve.rename_closure(rows.select(k.alias("old"), F.when(circle & (k % 100 == 99), k - 49).otherwise(k + 1).alias("new")))
+
+
+@query
+def coast_distance(n: Network) -> DataFrame:
+    """How far customers are from coasts, of fifty points each."""
+    k = F.col("p_partkey")
+    c, i = F.floor(k / 50), k % 50
+    line = n.table("part").select(c.alias("line"), i.alias("pos"), (8 + c * 53 % 290 / 10.0 + (k * 7 % 5) * 0.03).alias("lat"), (68 + c * 37 % 290 / 10.0 + i * 0.05).alias("lon"))
+    points = _towns(n).select(F.col("town").alias("point"), "lat", "lon")
+    return coast.coast_km(points, coast.segments(line)).select("point", F.round("km", 6).alias("km"))
+
+
+@query
+def listing_templates(n: Network) -> DataFrame:
+    """The listings in documents, each behind the document's own text, with a template and a link inside and one
+    that is never closed."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{3,}"), F.lit(0))
+    w = [F.coalesce(F.get(words, F.lit(i)), F.lit("none")) for i in range(3)]
+    parts = ["\n{{See | Name = ", w[0], " | content = {{x|", w[1], "|do=1}} and [[", w[2], "|", w[0], "]], ''fine''|Name2=", w[2], "}} {{ do|name=", w[1], "|alt}} {{eat|name=", w[2], " "]
+    text = F.concat(F.coalesce("text", F.lit("")), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    rows = markup.listings(n.table("documents").select("doc_id", text.alias("text")), ["see", "do", "eat"])
+    value = lambda c: F.coalesce(F.col("params")[c], F.lit(""))
+    return rows.select("doc_id", "nth", "kind", value("name").alias("name"), value("content").alias("content"), markup.clean(value("content")).alias("words"), value("name2").alias("name2"))
