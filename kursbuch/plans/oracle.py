@@ -814,4 +814,8 @@ r AS (
 s AS (SELECT *, coalesce(rule, 2.4::DOUBLE - 0.5::DOUBLE * slip) + lift AS score FROM r WHERE rule IS NOT NULL OR slip IS NOT NULL)
 SELECT id, name, round(score, 6) AS score, CASE WHEN rule IS NULL THEN slip ELSE 0 END AS slip FROM s
 WHERE rule IS NOT NULL OR (SELECT count(*) FROM s WHERE rule IS NOT NULL AND score >= 3.3) < 3 ORDER BY s.score DESC, id LIMIT 8""",
+    "timetable_file_roundtrip": _sql("""SELECT trip, seq, station, arr, dep, km, (seq % 2)::INT AS approx,
+  CASE type WHEN 'Superfast' THEN 0 WHEN 'Express' THEN 1 WHEN 'Pass' THEN 2 WHEN 'MEMU' THEN 3 WHEN 'Toy' THEN 4 ELSE 9 END AS type, coalesce(days, 0) AS days
+FROM h LEFT JOIN t USING (trip)"""),
+    "paths_file_roundtrip": _sql("""SELECT trip, seq AS after, (station + 1) || ' 7' AS stations FROM h WHERE station % 3 = 0"""),
 }

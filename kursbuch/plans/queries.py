@@ -11,7 +11,8 @@ from ..functions import calendar as cal
 from ..functions import climate, geo, labels, travel
 from ..functions import text as tx
 from ..operators import book, coast, graph, guides, lines, markup, names, plan, ranking, reach, repair, resolve, saves, spatial, track
-from ..sources.driver_tables import Network
+from ..sources import binary
+from ..sources.driver_tables import TYPES, Network
 
 #: Week minute of the questions that ask from now on: Thursday 14:05.
 NOW = 3 * 1440 + 845
@@ -862,3 +863,28 @@ def listing_templates(n: Network) -> DataFrame:
     rows = markup.listings(n.table("documents").select("doc_id", text.alias("text")), ["see", "do", "eat"])
     value = lambda c: F.coalesce(F.col("params")[c], F.lit(""))
     return rows.select("doc_id", "nth", "kind", value("name").alias("name"), value("content").alias("content"), markup.clean(value("content")).alias("words"), value("name2").alias("name2"))
+
+
+def _packed(n: Network) -> DataFrame:
+    """All trips in the app's binary layout, by shards."""
+    known = F.create_map(*[F.lit(x) for i, t in enumerate(TYPES.values()) for x in (t, i)])
+    # a trip without an order has no type and runs on unknown days
+    trips = n.halts.select("trip").distinct().join(n.trips, "trip", "left").select("trip", F.coalesce(known[F.col("type")], F.lit(9)).alias("type"), F.coalesce("days", F.lit(0)).alias("days"))
+    halts = n.halts.withColumn("approx", (F.col("seq") % 2).cast("int"))
+    paths = n.halts.filter("station % 3 = 0").select("trip", F.col("seq").alias("after"), F.array(F.col("station") + 1, F.lit(7)).alias("stations"))
+    return binary.pack(halts, trips, paths, shards=max(8, int(n.spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+@query
+def timetable_file_roundtrip(n: Network) -> DataFrame:
+    """Halts written as timetable files, opened and read back."""
+    files = _packed(n).select("trip", binary.timetable_file().alias("content"))
+    return binary.unpack(binary.open_timetable(files))
+
+
+@query
+def paths_file_roundtrip(n: Network) -> DataFrame:
+    """The stations passed behind halts, written as paths files and read back."""
+    files = _packed(n).select("trip", "start", binary.paths_file().alias("content"))
+    found = binary.unpack_paths(binary.open_paths(files))
+    return found.select("trip", "after", F.array_join(F.col("stations").cast("array<string>"), " ").alias("stations"))
