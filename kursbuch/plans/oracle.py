@@ -227,7 +227,7 @@ def _stretches(rows: str, name: str) -> str:
 
 
 _BOOK = """
-bw AS (SELECT doc_id AS code, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{3,}')[1:3] AS w FROM documents),
+bw AS (SELECT min(doc_id) AS code, w FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{3,}')[1:3] AS w FROM documents) GROUP BY w),
 bp AS (SELECT code, 8 + (code * 37 % 2900) / 100.0::DOUBLE AS lat, 68 + (code * 53 % 2900) / 100.0::DOUBLE AS lon FROM bw),
 ba AS (
   SELECT code, CASE code % 5 WHEN 1 THEN list_filter([w[1], w[3]], lambda x: x IS NOT NULL) WHEN 2 THEN list_concat(['Old'], w, ['Extra']) WHEN 3 THEN list_concat(w, ['Jn'])

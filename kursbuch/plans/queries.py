@@ -729,10 +729,11 @@ def track_paths(n: Network) -> DataFrame:
 
 
 def _book_names(n: Network) -> DataFrame:
-    """Documents as stations named by their first three words."""
+    """Stations named by the first three words of documents, one for each such name."""
     words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 3)
-    k = F.col("doc_id")
-    return n.table("documents").select(k.alias("code"), words.alias("w"), (8 + (k * 37 % 2900) / 100.0).alias("lat"), (68 + (k * 53 % 2900) / 100.0).alias("lon"))
+    k = F.col("code")
+    named = n.table("documents").groupBy(words.alias("w")).agg(F.min("doc_id").alias("code"))
+    return named.select("code", "w", (8 + (k * 37 % 2900) / 100.0).alias("lat"), (68 + (k * 53 % 2900) / 100.0).alias("lon"))
 
 
 @query
@@ -753,11 +754,11 @@ def resolved_names(n: Network) -> DataFrame:
 
 @query
 def resolved_misprints(n: Network) -> DataFrame:
-    """The same stations by names with a letter left out, next to a neighbour that is placed."""
-    s = _book_names(n).filter(F.size("w") == 3).withColumn("name", F.array_join("w", " "))
+    """A search: the stations whose number 100 divides, by names with a letter left out, among all."""
+    s = _book_names(n).withColumn("name", F.array_join("w", " "))
     k = F.col("code")
     cut = F.concat(F.substr("name", F.lit(1), F.lit(1)), F.substr("name", F.lit(3), F.length("name")))
-    asks = s.select(k.alias("ask"), cut.alias("name"), k.alias("anchor"), F.lit(None).cast("double").alias("rail_km"), F.array().cast("array<bigint>").alias("expected"))
+    asks = s.filter(k % 100 == 0).select(k.alias("ask"), cut.alias("name"), k.alias("anchor"), F.lit(None).cast("double").alias("rail_km"), F.array().cast("array<bigint>").alias("expected"))
     return names.resolve(asks, s.select("code", "name"), s.select("code", "lat", "lon"))
 
 
