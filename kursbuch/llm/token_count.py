@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, normalizers
 
 from ..shipping import ship
 from .common import resident, text_or_empty
@@ -24,8 +25,8 @@ MEMO = 600_000
 MEMO_CHARS = 48
 #: Bytes of new pre-tokens that are merged together.
 MERGE_BYTES = 1 << 21
-#: Bytes from which on a pre-token is merged by a heap of its pairs: rounds over the whole of it, one
-#: for each rank, would take time with the square of its length.
+#: Characters from which on a pre-token's rounds keep the places of each rank: rounds over the whole of it,
+#: one for each rank, would take time with the square of its length.
 LONG = 4096
 NONE = np.int64(1) << 40
 
@@ -51,6 +52,8 @@ class Counter:
         vocab = model["vocab"]
         suffix = model["end_of_word_suffix"] or ""
         split = spec["pre_tokenizer"]["pretokenizers"][0]
+        self.path = path
+        self.agreed: set[str] = set()
         added = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.split = Splitter(split["pattern"]["Regex"])
@@ -67,15 +70,6 @@ class Counter:
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.memo: dict[str, int] = {}
 
-    @cached_property
-    def pairs(self) -> dict[int, int]:
-        """Rank by pair, for single look-ups."""
-        return dict(zip(self.keys.tolist(), self.rank.tolist(), strict=True))
-
-    @cached_property
-    def makes(self) -> list[int]:
-        return self.made.tolist()
-
     def _ranks(self, sym: np.ndarray) -> np.ndarray:
         """Rank of each neighbouring pair, NONE where the vocabulary has no merge."""
         key = sym[:-1] * self.width + sym[1:]
@@ -83,34 +77,55 @@ class Counter:
         return np.where(self.keys[at] == key, self.rank[at], NONE)
 
     def merge_long(self, data: bytes) -> int:
-        """Symbols left of one long piece: the lowest rank first, from the left among equals."""
+        """Symbols left of one long piece: as ``merge``, with the places of each rank kept in arrays.
+
+        A round takes the lowest rank there is, replaces all its places at once and files the pairs
+        that come about under their ranks, so a round costs what it changes and not the piece's length."""
         sym = self.first[np.frombuffer(data, np.uint8)]
         sym[-1] = self.last[data[-1]]
-        ranks = self._ranks(sym)
-        sym = sym.tolist()
         n = len(sym)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i) for i, r in enumerate(ranks.tolist()) if r < NONE]
-        heapq.heapify(heap)
-        left, pairs, width = n, self.pairs, self.width
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] < 0 or j >= n or pairs.get(sym[i] * width + sym[j]) != r:
-                continue  # one of the two has merged otherwise since
-            sym[i], sym[j] = self.makes[r], -1
-            left -= 1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                new = pairs.get(sym[i] * width + sym[k])
-                if new is not None:
-                    heapq.heappush(heap, (new, i))
-            h = before[i]
-            if h >= 0:
-                new = pairs.get(sym[h] * width + sym[i])
-                if new is not None:
-                    heapq.heappush(heap, (new, h))
+        # one more place at the end, which is before the first and after the last and pairs with nothing
+        sym = np.append(sym, -1)
+        before, after = np.append(n, np.arange(n)), np.append(np.arange(1, n + 1), 0)
+        before[n] = n - 1
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def rank_at(at: np.ndarray) -> np.ndarray:
+            x, y = sym[at], sym[after[at]]
+            key = x * self.width + y
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where((x >= 0) & (y >= 0) & (self.keys[found] == key), self.rank[found], NONE)
+
+        def file(at: np.ndarray) -> None:
+            rank = rank_at(at)
+            at, rank = at[rank < NONE], rank[rank < NONE]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            heads = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else []
+            for r, part in zip(rank[heads].tolist() if len(rank) else [], np.split(at, heads[1:]), strict=False):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(waiting, r)
+                places[r].append(part)
+
+        file(np.arange(n - 1))
+        left = n
+        while waiting:
+            r = heapq.heappop(waiting)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank_at(at) == r]  # the others have merged otherwise since
+            if not len(at):
+                continue
+            # In a run of overlapping places (equal symbols), every second one counts.
+            begin = np.maximum.accumulate(np.where(np.append(True, after[at[:-1]] != at[1:]), np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            gone = after[at]
+            sym[at], sym[gone] = self.made[r], -1
+            after[at] = after[gone]
+            before[after[at]] = at
+            left -= len(at)
+            file(np.unique(np.concatenate([before[at], at])))
         return left
 
     def merge(self, pieces: list[bytes]) -> np.ndarray:
@@ -150,6 +165,29 @@ class Counter:
             sym, owner = sym[keep], owner[keep]
         return counts
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def disputed(self) -> set[str]:
+        """Marks that the library orders or composes otherwise than this interpreter does."""
+        out, nfc = set(), normalizers.NFC()
+        for c in map(chr, range(0x300, 0x110000)):
+            if unicodedata.combining(c) or unicodedata.decomposition(c):
+                apart = unicodedata.normalize("NFD", c)
+                for s in (apart, f"a{c}\u0307", f"a{c}\u0323"):
+                    if nfc.normalize_str(s) != unicodedata.normalize("NFC", s):
+                        out |= {c, *apart[1:]}
+        return out
+
+    def differ(self, text: str) -> bool:
+        for c in set(text) - self.agreed:
+            if unicodedata.category(c) == "Cn" or c in self.disputed:
+                return True
+            self.agreed.add(c)
+        return False
+
     def normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()
@@ -174,12 +212,23 @@ class Counter:
                 batch.append(p)
                 size += len(p)
 
+    def words(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings.
+
+        Case, composition and classes of letters come from this interpreter's Unicode tables. Where a text
+        holds a character on which the library's tables may differ, being newer or older, its own
+        normalizer and splitter are asked."""
+        if is_latin(text) or not self.differ(text):
+            return self.split(self.normal(text))
+        normal = self.library.normalizer.normalize_str(text)
+        return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
     def pieces(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens, and how many special strings stand between them."""
         if self.special is None or not self.special.search(text):
-            return self.split(self.normal(text)), 0
+            return self.words(text), 0
         parts = self.special.split(text)
-        return [p for part in parts for p in self.split(self.normal(part))], len(parts) - 1
+        return [p for part in parts for p in self.words(part)], len(parts) - 1
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; pre-tokens repeat, so each is merged when first met."""

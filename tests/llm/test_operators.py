@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -336,8 +337,20 @@ def test_counts_as_the_library(texts):
     assert token_count.counter(WORD_BPE).count(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_counts_of_every_character_as_the_library():
+    """Case, classes and order of marks, also of characters that only one side's tables know."""
+    rnd = random.Random(3)
+    chars = [chr(i) for i in range(0x20000) if not (0x3400 <= i < 0xA000 or 0xAC00 <= i < 0xE000)]
+    marks = [c for c in chars if unicodedata.combining(c) or unicodedata.decomposition(c)]
+    texts = [f"a{c}1{c}!{c} b{c}\u0307" for c in chars]
+    texts += ["q" + "".join(rnd.choices(marks, k=3)) + unicodedata.normalize("NFD", rnd.choice(marks)) for _ in range(10_000)]
+    library = Tokenizer.from_file(WORD_BPE)
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert token_count.Counter(WORD_BPE).count(texts) == want
+
+
 def test_long_pieces_as_short_ones(monkeypatch):
-    """A heap of pairs and rounds give the same counts, and the library's."""
+    """Rounds over arrays of places and rounds over whole pieces give the same counts, and the library's."""
     rnd = random.Random(7)
     pieces = ["".join(rnd.choice(of) for _ in range(n)) for n in (1, 2, 3, 60, 900) for of in ("ab", "etaoinshrdlu", "中文字漢éß") for _ in range(6)] + ["a" * 777, "ab" * 300]
     c = token_count.Counter(WORD_BPE)
