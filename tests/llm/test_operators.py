@@ -329,6 +329,20 @@ def test_token_counts(docs, corpus, no_docs):
     assert token_count.token_counts(no_docs, WORD_BPE).count() == 0
 
 
+def test_automata_hold_whole_strings_and_their_ends():
+    """Rests kept as tails give the counts of the whole tree, at any length; a likelihood counts the end."""
+    rnd = random.Random(11)
+    strings = ["".join(rnd.choice("hdlu") for _ in range(rnd.choice((3, 20, 5000)))) for _ in range(40)] * 2
+    a = Automaton(Counter(strings))
+    for s in strings:
+        assert None not in list(a.path(s))
+    fixed = Automaton(Counter({"h" * 16: 300, "d" * 16: 300}))
+    assert fixed.likelihood("h" * 16) > fixed.likelihood("h" * 15) + 1
+    assert fixed.likelihood("h" * 16) > fixed.likelihood("h" * 17) + 1
+    model = secrets.learn({(1, "u"): ["AKIA" + "".join(rnd.choices("BCDEFGHIJKLMNOPQRSTUVWXYZ", k=16)) for _ in range(200)]}, Counter(map(classes, ["internationalisation", "extraordinarily"] * 50)))
+    assert not secrets.is_credential(model, "INTERNATIONALISATION")
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet="ab AZ\n'sétx1!²½ÀΣ中\u0301\xa0aaa", max_size=40), max_size=6))
 def test_counts_as_the_library(texts):
