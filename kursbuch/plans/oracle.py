@@ -244,6 +244,25 @@ br AS (
     CASE WHEN inside = max(inside) OVER (PARTITION BY ask) THEN [3] ELSE [] END)) AS rule FROM bc)"""
 
 
+#: Shapes drawn from parts (v, w), their edges (e), customers (p), and regions with an edge near a customer (d).
+_SHAPES = """
+WITH s AS (
+  SELECT p_partkey // 20 AS c, p_partkey % 20 AS i, 's' || p_partkey // 20 % 7 AS name, (p_partkey * 7 % 5) * 0.02::DOUBLE + 0.2::DOUBLE AS r FROM part),
+v AS (
+  SELECT c, i, name, 68 + c * 37 % 290 / 10.0::DOUBLE + (abs((i + 5) % 20 - 10) - 5) * r AS x, 8 + c * 53 % 290 / 10.0::DOUBLE + (abs(i - 10) - 5) * r AS y FROM s),
+w AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY i) AS nth, count(*) OVER (PARTITION BY c) AS n FROM v),
+e AS (
+  SELECT b.c, b.name, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM w a JOIN w b ON a.c = b.c AND b.nth = a.nth % a.n + 1 WHERE a.x <> b.x OR a.y <> b.y),
+p AS (
+  SELECT c_custkey AS point, 's' || c_custkey % 7 AS current, (8 + (c_custkey * 41 % 2900) / 100.0::DOUBLE) AS lat, (68 + (c_custkey * 59 % 2900) / 100.0::DOUBLE) AS lon FROM customer),
+f AS (
+  SELECT point, name, (x0 - lon) * 111.32::DOUBLE * cos(radians(lat)) AS ax, (y0 - lat) * 111.32::DOUBLE AS ay,
+    (x1 - x0) * 111.32::DOUBLE * cos(radians(lat)) AS dx, (y1 - y0) * 111.32::DOUBLE AS dy
+  FROM p JOIN e ON lon BETWEEN least(x0, x1) - 0.1 AND greatest(x0, x1) + 0.1 AND lat BETWEEN least(y0, y1) - 0.1 AND greatest(y0, y1) + 0.1),
+t AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM f),
+d AS (
+  SELECT point, name, min(sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy))) AS km FROM t GROUP BY point, name HAVING km <= 3.0)"""
+
 ORACLE_SQL: dict[str, str] = {
     "departures_from_place": _sql(_OUT_BOARD, _DEST.format("out_legs")),
     "departure_legs": _sql(_OUT_BOARD, _LEG.format("out_legs")),
@@ -818,4 +837,16 @@ WHERE rule IS NOT NULL OR (SELECT count(*) FROM s WHERE rule IS NOT NULL AND sco
   CASE type WHEN 'Superfast' THEN 0 WHEN 'Express' THEN 1 WHEN 'Pass' THEN 2 WHEN 'MEMU' THEN 3 WHEN 'Toy' THEN 4 ELSE 9 END AS type, coalesce(days, 0) AS days
 FROM h LEFT JOIN t USING (trip)"""),
     "paths_file_roundtrip": _sql("""SELECT trip, seq AS after, (station + 1) || ' 7' AS stations FROM h WHERE station % 3 = 0"""),
+    "states_on_map": _SHAPES + """,
+h AS (
+  SELECT point, c, e.name FROM p JOIN e ON (y0 > lat) <> (y1 > lat) AND lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0 GROUP BY point, c, e.name HAVING count(*) % 2 = 1),
+i AS (SELECT point, arg_min(name, (c % 4) * 1000000000 + c) AS here FROM h GROUP BY point),
+m AS (SELECT point, name AS mine FROM d WHERE km <= 1.2),
+o AS (SELECT point, name AS closest FROM d QUALIFY row_number() OVER (PARTITION BY point ORDER BY km, name) = 1),
+j AS (
+  SELECT p.point, current, here, closest, here IS NOT NULL AND mine IS NOT NULL AND mine <> here AND NOT (current = 's1' AND here = 's2') AS stays
+  FROM p LEFT JOIN i USING (point) LEFT JOIN m ON m.point = p.point AND mine = current LEFT JOIN o ON o.point = p.point)
+SELECT point, CASE WHEN stays THEN current ELSE coalesce(here, closest, current) END AS state,
+  CASE WHEN stays THEN 'border' WHEN here IS NOT NULL THEN '' WHEN closest IS NOT NULL THEN 'coast' ELSE 'outside' END AS why FROM j""",
+    "edges_nearby": _SHAPES + " SELECT point, name, round(km, 6) AS km FROM d",
 }

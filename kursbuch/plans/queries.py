@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import climate, geo, labels, travel
 from ..functions import text as tx
-from ..operators import book, coast, graph, guides, lines, markup, names, plan, ranking, reach, repair, resolve, saves, spatial, track
-from ..sources import binary
+from ..operators import book, coast, graph, guides, lines, markup, names, plan, ranking, reach, regions, repair, resolve, saves, spatial, track
+from ..sources import binary, shapes
 from ..sources.driver_tables import TYPES, Network
 
 #: Week minute of the questions that ask from now on: Thursday 14:05.
@@ -889,3 +889,30 @@ def paths_file_roundtrip(n: Network) -> DataFrame:
     files = _packed(n).select("trip", "start", binary.paths_file().alias("content"))
     found = binary.unpack_paths(binary.open_paths(files))
     return found.select("trip", "after", F.array_join(F.col("stations").cast("array<string>"), " ").alias("stations"))
+
+
+def _drawn_shapes(n: Network) -> DataFrame:
+    """Twenty parts after each other as a diamond with teeth, in four files."""
+    k = F.col("p_partkey")
+    c, i = F.floor(k / 20), k % 20
+    reach = (k * 7 % 5) * 0.02 + 0.2
+    return n.table("part").select(
+        (c % 4).cast("string").alias("file"), c.alias("shape"), F.concat(F.lit("s"), c % 7).alias("name"), F.lit(0).alias("ring"), i.cast("int").alias("pos"),
+        (68 + c * 37 % 290 / 10.0 + (F.abs((i + 5) % 20 - 10) - 5) * reach).alias("x"), (8 + c * 53 % 290 / 10.0 + (F.abs(i - 10) - 5) * reach).alias("y"),
+    )
+
+
+@query
+def states_on_map(n: Network) -> DataFrame:
+    """The state of each customer by shapes written to shapefiles and read back."""
+    rings = shapes.decode(shapes.encode(_drawn_shapes(n)))
+    rings = rings.withColumn("shape", F.col("file").cast("long") * 1_000_000_000 + F.col("shape"))
+    points = _towns(n).select(F.col("town").alias("point"), "lat", "lon", F.concat(F.lit("s"), F.col("town") % 7).alias("current"))
+    return regions.settle(points, rings, split=(("s1", "s2"),))
+
+
+@query
+def edges_nearby(n: Network) -> DataFrame:
+    """The states with an edge within three kilometres of a customer, and how far it is."""
+    points = _towns(n).select(F.col("town").alias("point"), "lat", "lon")
+    return regions.edge_km(points, regions.edges(_drawn_shapes(n))).select("point", "name", F.round("km", 6).alias("km"))
