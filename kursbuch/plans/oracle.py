@@ -849,4 +849,23 @@ j AS (
 SELECT point, CASE WHEN stays THEN current ELSE coalesce(here, closest, current) END AS state,
   CASE WHEN stays THEN 'border' WHEN here IS NOT NULL THEN '' WHEN closest IS NOT NULL THEN 'coast' ELSE 'outside' END AS why FROM j""",
     "edges_nearby": _SHAPES + " SELECT point, name, round(km, 6) AS km FROM d",
+    "chart_years": """
+WITH m AS (
+  SELECT doc_id, m, ((doc_id + m) % 50 - 20)::DOUBLE AS low, ((doc_id + m) % 50 - 12)::DOUBLE AS high, (doc_id * 7 + m) % 400 + 0.5::DOUBLE AS rain
+  FROM (SELECT DISTINCT doc_id FROM documents), range(12) t(m)),
+y AS (SELECT doc_id, string_agg(CASE WHEN high < 10 OR low < -6 THEN 'C' WHEN rain >= 300 THEN 'W' WHEN high >= 39 THEN 'H' WHEN rain >= 140 THEN 'R' WHEN high >= 35 THEN 'M' WHEN high BETWEEN 16 AND 32 AND rain < 70 AND low >= 4 THEN 'B' ELSE 'G' END, '' ORDER BY m) AS letters, string_agg(round_even(low, 0)::BIGINT || ',' || round_even(high, 0)::BIGINT || ',' || round_even(rain, 0)::BIGINT, ',' ORDER BY m) AS flat FROM m WHERE doc_id % 5 NOT IN (0, 2) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN flat IS NULL THEN '' ELSE 'imd' END AS source, coalesce(letters, '') AS letters, flat FROM documents LEFT JOIN y USING (doc_id)""",
+    "climate_normals": """
+WITH c AS (SELECT 16 + p_partkey % 59 AS cy, 108 + p_partkey // 59 % 48 AS cx, max(p_partkey) AS k FROM part GROUP BY ALL),
+p AS (
+  SELECT c_custkey AS point, CASE WHEN c_custkey % 10 <> 0 THEN c_custkey * 13 % 2500 END AS height,
+    round_even((8 + (c_custkey * 41 % 2900) / 100.0::DOUBLE) / 0.5, 0)::BIGINT AS cy, round_even((68 + (c_custkey * 59 % 2900) / 100.0::DOUBLE) / 0.625::DOUBLE, 0)::BIGINT AS cx FROM customer),
+g AS (SELECT p.*, k, coalesce((height - CASE WHEN k % 9 <> 0 THEN k * 11 % 2000 END) * 0.0065::DOUBLE, 0.0::DOUBLE) AS shift FROM p LEFT JOIN c USING (cy, cx)),
+e AS (
+  SELECT point, m, 'est' AS source, (5 + (k * 7 + m * 3) % 20)::DOUBLE - shift AS low, (5 + (k * 7 + m * 3) % 20 + 5 + (k + m) % 12)::DOUBLE - shift AS high,
+    (k * m % 13)::DOUBLE * CASE WHEN m = 1 THEN 28.25::DOUBLE WHEN m IN (3, 5, 8, 10) THEN 30 ELSE 31 END AS rain
+  FROM g, range(12) t(m) WHERE k IS NOT NULL AND point % 3 <> 0
+  UNION ALL SELECT point, m, 'imd', (point % 30 - m)::DOUBLE, (point % 30 + m)::DOUBLE, (point * m % 350)::DOUBLE FROM p, range(12) t(m) WHERE point % 3 = 0),
+y AS (SELECT point, source, string_agg(CASE WHEN high < 10 OR low < -6 THEN 'C' WHEN rain >= 300 THEN 'W' WHEN high >= 39 THEN 'H' WHEN rain >= 140 THEN 'R' WHEN high >= 35 THEN 'M' WHEN high BETWEEN 16 AND 32 AND rain < 70 AND low >= 4 THEN 'B' ELSE 'G' END, '' ORDER BY m) AS letters, string_agg(round_even(low, 0)::BIGINT || ',' || round_even(high, 0)::BIGINT || ',' || round_even(rain, 0)::BIGINT, ',' ORDER BY m) AS flat FROM e GROUP BY point, source)
+SELECT point, coalesce(source, '') AS source, coalesce(letters, '') AS letters, flat FROM p LEFT JOIN y USING (point)""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import climate, geo, labels, travel
 from ..functions import text as tx
-from ..operators import book, coast, graph, guides, lines, markup, names, plan, ranking, reach, regions, repair, resolve, saves, spatial, track
+from ..operators import book, coast, graph, guides, lines, markup, names, normals, plan, ranking, reach, regions, repair, resolve, saves, spatial, track
 from ..sources import binary, shapes
 from ..sources.driver_tables import TYPES, Network
 
@@ -916,3 +916,38 @@ def edges_nearby(n: Network) -> DataFrame:
     """The states with an edge within three kilometres of a customer, and how far it is."""
     points = _towns(n).select(F.col("town").alias("point"), "lat", "lon")
     return regions.edge_km(points, regions.edges(_drawn_shapes(n))).select("point", "name", F.round("km", 6).alias("km"))
+
+
+def _year(out: DataFrame, key: str, months: str) -> DataFrame:
+    return out.select(key, "source", normals.letters(F.col(months)).alias("letters"), F.array_join(normals.flat(F.col(months)), ",").alias("flat"))
+
+
+@query
+def chart_years(n: Network) -> DataFrame:
+    """The climate charts behind the texts of documents: sound ones, with links and signs, in other units, too short."""
+    k = F.col("doc_id")
+    months = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda m: F.concat_ws("|", ((k + m) % 50 - 20).cast("string"), ((k + m) % 50 - 12).cast("string"), F.concat(((k * 7 + m) % 400).cast("string"), F.lit(".5"))))
+    numbers = F.array_join(months, " |\n ")
+    kind = k % 5
+    numbers = F.when(kind == 1, F.regexp_replace(numbers, "-", "−")).when(kind == 2, F.regexp_replace(numbers, r"\|[^|]*$", "")).otherwise(numbers)
+    more = F.when(kind == 0, "| units = imperial").when(kind == 1, "| source = [[w:X#Climate|Wikipedia]] | ").otherwise("")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n{{ Climate  chart|x}}{{Climate chart\n| [[Title|of it]] | "), numbers, more, F.lit("}} {{climate chart|a|1}}"))
+    rows = n.table("documents").select("doc_id", normals.chart(text).alias("months"))
+    return _year(rows.withColumn("source", F.when(F.col("months").isNotNull(), "imd").otherwise("")), "doc_id", "months")
+
+
+@query
+def climate_normals(n: Network) -> DataFrame:
+    """The year of each customer's town: of a chart for every third, else of the cell at the town's height."""
+    k, m12 = F.col("p_partkey"), F.sequence(F.lit(0), F.lit(11))
+    per_month = lambda f: F.transform(m12, lambda m: f(m).cast("double"))
+    low = lambda m: 5 + (F.col("k") * 7 + m * 3) % 20
+    cells = n.table("part").groupBy((16 + k % 59).alias("cy"), (108 + F.floor(k / 59) % 48).alias("cx")).agg(F.max("p_partkey").alias("k"))
+    cells = cells.select(
+        (F.col("cy") * 0.5).alias("lat"), (F.col("cx") * 0.625).alias("lon"), F.when(F.col("k") % 9 != 0, F.col("k") * 11 % 2000).alias("elev"),
+        per_month(low).alias("low"), per_month(lambda m: low(m) + 5 + (F.col("k") + m) % 12).alias("high"), per_month(lambda m: F.col("k") * m % 13).alias("rain"),
+    )
+    t = F.col("town")
+    said = F.concat(F.lit("{{climate chart|t|"), F.array_join(F.transform(m12, lambda m: F.concat_ws("|", (t % 30 - m).cast("string"), (t % 30 + m).cast("string"), (t * m % 350).cast("string"))), "|"), F.lit("}}"))
+    points = _towns(n).select(t.alias("point"), "lat", "lon", F.when(t % 10 != 0, t * 13 % 2500).alias("height"), F.when(t % 3 == 0, said).alias("text"))
+    return _year(normals.normals(points, cells), "point", "months")
