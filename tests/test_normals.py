@@ -18,7 +18,7 @@ def test_charts(spark):
     year = [(float(m), m + 9.0, m * 20.5) for m in range(12)]
     sound = [
         f"{{{{climate chart|T|{GOOD}}}}}",
-        f"before {{{{ Climate  chart |T\n|{GOOD.replace('|', ' |\n ')}|}}}} after {{{{climate chart|T|1}}}}",
+        f"before {{{{Climate  chart|T|1}}}} {{{{ Climate chart |T\n|{GOOD.replace('|', ' |\n ')}|}}}} after {{{{climate chart|T|1}}}}",
         f"{{{{climate chart|[[a|b]] T|source=[[w:x#y|z]]|{GOOD}|7|8|float=right}}}}",
         f"{{{{climate chart|T|{GOOD}|units=metric}}}}",
     ]
