@@ -869,3 +869,21 @@ e AS (
 y AS (SELECT point, source, string_agg(CASE WHEN high < 10 OR low < -6 THEN 'C' WHEN rain >= 300 THEN 'W' WHEN high >= 39 THEN 'H' WHEN rain >= 140 THEN 'R' WHEN high >= 35 THEN 'M' WHEN high BETWEEN 16 AND 32 AND rain < 70 AND low >= 4 THEN 'B' ELSE 'G' END, '' ORDER BY m) AS letters, string_agg(round_even(low, 0)::BIGINT || ',' || round_even(high, 0)::BIGINT || ',' || round_even(rain, 0)::BIGINT, ',' ORDER BY m) AS flat FROM e GROUP BY point, source)
 SELECT point, coalesce(source, '') AS source, coalesce(letters, '') AS letters, flat FROM p LEFT JOIN y USING (point)""",
 }
+
+_MOVES = f"""WITH found AS (SELECT * FROM ({ORACLE_SQL["renumber_resolution"]})),
+took AS (SELECT old, new, min(old) OVER (PARTITION BY new) AS first FROM found),
+moves AS (
+  SELECT o_orderkey AS old, new, CASE WHEN new IS NULL THEN 'unlisted' WHEN new % 3 = 0 OR first <> o_orderkey THEN 'duplicate' ELSE 'renumbered' END AS status
+  FROM orders LEFT JOIN took ON old = o_orderkey WHERE o_orderkey % 2 = 0)"""
+
+ORACLE_SQL |= {
+    "renumber_moves": _MOVES + " SELECT old, new, status FROM moves",
+    "renumbered_halts": f"""{_MOVES},
+p AS (SELECT * FROM ({BASE} SELECT trip, seq, place, arr, dep FROM hp)),
+c AS (SELECT *, row_number() OVER w AS i, lag(place) OVER w AS before FROM p WINDOW w AS (PARTITION BY trip ORDER BY seq))
+SELECT coalesce(m.new, c.trip) AS trip, seq, place, arr, dep FROM c LEFT JOIN moves m ON m.old = c.trip AND m.status = 'renumbered'
+WHERE c.trip % 2 = 0 AND (i = 1 OR place IS DISTINCT FROM before)""",
+    "newer_without_known": """
+SELECT (o_orderkey + 1) || '/' || (o_orderkey + 5) AS numbers, o_orderkey AS after FROM orders
+WHERE o_orderkey + 1 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0) AND o_orderkey + 5 NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0)""",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import climate, geo, labels, travel
 from ..functions import text as tx
-from ..operators import book, coast, graph, guides, lines, markup, names, normals, plan, ranking, reach, regions, repair, resolve, saves, spatial, track
+from ..operators import book, coast, graph, guides, lines, markup, merge, names, normals, plan, ranking, reach, regions, repair, resolve, saves, spatial, track
 from ..sources import binary, shapes
 from ..sources.driver_tables import TYPES, Network
 
@@ -951,3 +951,26 @@ def climate_normals(n: Network) -> DataFrame:
     said = F.concat(F.lit("{{climate chart|t|"), F.array_join(F.transform(m12, lambda m: F.concat_ws("|", (t % 30 - m).cast("string"), (t % 30 + m).cast("string"), (t * m % 350).cast("string"))), "|"), F.lit("}}"))
     points = _towns(n).select(t.alias("point"), "lat", "lon", F.when(t % 10 != 0, t * 13 % 2500).alias("height"), F.when(t % 3 == 0, said).alias("text"))
     return _year(normals.normals(points, cells), "point", "months")
+
+
+@query
+def renumber_moves(n: Network) -> DataFrame:
+    """Even trips brought to the numbers of odd ones, a third of which has halts of its own already."""
+    found = QUERIES["renumber_resolution"](n.spark, n.path)
+    return merge.moves(n.trips.filter("trip % 2 = 0").select("trip"), found, n.trips.filter("trip % 3 = 0").select("trip"))
+
+
+@query
+def renumbered_halts(n: Network) -> DataFrame:
+    """The halts of even trips under their new numbers, runs of one place as one halt."""
+    moved = QUERIES["renumber_moves"](n.spark, n.path)
+    halts = n.placed.filter("trip % 2 = 0").select("trip", "seq", "place", "arr", "dep")
+    return merge.propagate(merge.collapse(halts, station="place"), moved)
+
+
+@query
+def newer_without_known(n: Network) -> DataFrame:
+    """Pairs of numbers of which none is a trip, every fourth being one."""
+    k = F.col("o_orderkey")
+    newer = n.table("orders").select(F.concat_ws("/", (k + 1).cast("string"), (k + 5).cast("string")).alias("numbers"), k.alias("after"))
+    return merge.still_newer(newer, n.trips.filter("trip % 4 = 0"))
