@@ -31,6 +31,12 @@ def symbol(c: str) -> str:
 _CLASSES = {i: symbol(chr(i)) for i in range(128)}
 
 
+def follow(node: int, c: str) -> int:
+    """The name of the place in a prefix tree that a symbol leads to from another; the root is 0."""
+    x = (node * 0x5851F42D4C957F2D + ord(c) * 0x14057B7EF767814F + 1) & ((1 << 63) - 1)
+    return x ^ (x >> 29)
+
+
 def classes(token: str) -> str:
     return token.translate(_CLASSES) if token.isascii() else "".join(map(symbol, token))
 
@@ -61,7 +67,45 @@ class Automaton:
         for s, n in sorted(counts.items()):
             self.passes[0] += n
             self._add(0, s, 0, n)
-        self._infer()
+        self._merge()
+        self._weigh()
+
+    @classmethod
+    def of_tree(cls, tree: Mapping[int, Mapping[str, int]], alpha: float = ALPHA) -> Automaton:
+        """The states of a counted prefix tree: of each of its nodes (named by ``follow``) the counts by symbol and END.
+        Symbols may lead out of the tree, to places that too few strings pass to be told apart; such a step stays at its state.
+        ``weigh`` has to give the counts of whole strings then."""
+        self = cls({}, alpha)
+        at = {0: 0}
+        todo = [0] if 0 in tree else []
+        while todo:
+            node = todo.pop()
+            x = at[node]
+            for c, n in sorted(tree[node].items()):
+                self.passes[x] += n
+                if c == END:
+                    self.ends[x] = n
+                    continue
+                self.by[x][c] = n
+                child = follow(node, c)
+                if child in tree:
+                    self.to[x][c] = at[child] = self._state()
+                    todo.append(child)
+        self._merge()
+        return self
+
+    def weigh(self, counts: Mapping[tuple[int, str], int]) -> Automaton:
+        """Takes, for each state and symbol or END, how many of all strings took that step."""
+        self.by = [{} for _ in self.to]
+        self.ends = [0] * len(self.to)
+        for (x, c), n in sorted(counts.items()):
+            if c == END:
+                self.ends[x] = n
+            else:
+                self.by[x][c] = n
+        self.passes = [sum(by.values()) + ends for by, ends in zip(self.by, self.ends, strict=True)]
+        self._weigh()
+        return self
 
     def _state(self) -> int:
         for column, empty in ((self.to, {}), (self.by, {}), (self.ends, 0), (self.passes, 0), (self.tail, None)):
@@ -140,12 +184,14 @@ class Automaton:
             self.ends[x] += self.ends[y]
             for c, n in self.by[y].items():
                 self.by[x][c] = self.by[x].get(c, 0) + n
+                if c not in self.to[y]:
+                    continue  # it leads out of a counted tree
                 if c in self.to[x]:
                     todo.append((self.to[x][c], self.to[y][c]))
                 else:
                     self.to[x][c] = self.to[y][c]
 
-    def _infer(self) -> None:
+    def _merge(self) -> None:
         red = [0]
         kept = {0}
         while True:
@@ -162,23 +208,29 @@ class Automaton:
             else:
                 self.to[r][c] = match
                 self._fold(match, t)
+        # red states alone are kept, by their places in the list
         number = {s: i for i, s in enumerate(red)}
+        self.to = [{c: number[t] for c, t in self.to[s].items()} for s in red]
+        self.by, self.ends, self.passes = [self.by[s] for s in red], [self.ends[s] for s in red], [self.passes[s] for s in red]
+        self.tail = [None] * len(red)
+        self.states = len(red)
+
+    def _weigh(self) -> None:
         symbols: Counter[str] = Counter()
-        for s in red:
-            symbols.update(self.by[s])
-            symbols[END] += self.ends[s]
+        for by, ends in zip(self.by, self.ends, strict=True):
+            symbols.update(by)
+            symbols[END] += ends
         total = symbols.total() + 0.5 * ALPHABET
         #: Of each symbol, the logarithm of its smoothed share; None stands for symbols that were never seen.
         self.rare = {c: math.log(SMOOTH * (n + 0.5) / total) for c, n in symbols.items()} | {None: math.log(SMOOTH * 0.5 / total)}
         #: Of each state: its steps, as log-probability and next state, and the log-probability that a string ends there.
         self.table: list[dict[str, tuple[float, int]]] = []
         self.stop: list[float] = []
-        for s in red:
-            n_s = max(1, self.passes[s])
-            smoothed = {c: math.log((1 - SMOOTH) * n / n_s + math.exp(self.rare[c])) for c, n in {**self.by[s], END: self.ends[s]}.items()}
+        for at, (to, by, ends, passes) in enumerate(zip(self.to, self.by, self.ends, self.passes, strict=True)):
+            n_s = max(1, passes)
+            smoothed = {c: math.log((1 - SMOOTH) * n / n_s + math.exp(self.rare[c])) for c, n in {**by, END: ends}.items()}
             self.stop.append(smoothed.pop(END))
-            self.table.append({c: (p, number[self.to[s][c]]) for c, p in smoothed.items()})
-        self.states = len(red)
+            self.table.append({c: (p, to.get(c, at)) for c, p in smoothed.items()})
 
     def path(self, s: str) -> Iterable[int | None]:
         """The states that a class string goes through; None where it leaves them."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -10,11 +11,11 @@ from collections.abc import Mapping
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .automata import Automaton, classes
+from .automata import END, Automaton, classes, follow
 from .common import stage, text_or_empty
 
 #: Fixed by contract: the kinds in their order, with the least length that counts.
@@ -26,10 +27,13 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 LEARNT = "learnt"
 #: What may be a credential: a run of the characters they are made of, from the least labelled length on.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-#: Distinct credentials of a kind and format that an automaton is inferred from, and class strings of other tokens.
-SAMPLE, ORDINARY = 400, 4000
+#: A place of a prefix tree is a state of its own where this share of its automaton's strings, and two at least, pass it.
+SHARE = 1 / 1000
+#: Steps of scores that are told apart where a threshold is looked for.
+STEP = 1e-4
 #: Natural logarithm by which a whole token has to be likelier as a credential than as an ordinary
-#: token: candidates are rarely credentials, so they need odds of more than a thousand.
+#: token, at least: candidates are rarely credentials, so they need odds of more than a thousand. A format that
+#: is rarer than that among the candidates needs as much more.
 ODDS = 7.0
 #: Share of a format's own credentials that may score below its threshold.
 MISS = 0.05
@@ -92,20 +96,25 @@ def learn(credentials: Mapping[tuple[int, str], list[str]], others: Mapping[str,
                 strings = Counter(view(classes(v)) for v in values)
                 a = Automaton(strings)
                 own = sorted(a.score_classes(s) for s in strings.elements())
-                formats[key] = (a, own[int(MISS * len(own))])
+                formats[key] = (a, own[int(MISS * len(own))], odds_of(sum(others.values()), len(own)))
         plain: Counter[str] = Counter()
         for s, n in others.items():
             plain[view(s)] += n
         # Some of the candidates are credentials themselves; what is clearly likelier as one is no ordinary token.
         first = Automaton(plain)
-        kept = {s: n for s, n in plain.items() if not _fits(formats, first, s, ODDS / 2)}
+        kept = {s: n for s, n in plain.items() if not _fits(formats, first, s, 0.5)}
         model.append({"view": view, "formats": formats, "others": Automaton(kept)})
     return model
 
 
-def _fits(formats: dict, plain: Automaton, s: str, odds: float) -> bool:
+def odds_of(others: int, own: int) -> float:
+    """The odds (their logarithm) that a format of so many credentials among so many candidates needs."""
+    return max(ODDS, math.log(max(others, 1) / own))
+
+
+def _fits(formats: dict, plain: Automaton, s: str, share: float = 1.0) -> bool:
     base, n = plain.likelihood(s), len(s) + 1
-    return any((own := a.likelihood(s)) >= least * n and own - base > odds for a, least in formats.values())
+    return any((own := a.likelihood(s)) >= least * n and own - base > share * odds for a, least, odds in formats.values())
 
 
 def judge(model: list[dict], s: str) -> bool:
@@ -115,7 +124,7 @@ def judge(model: list[dict], s: str) -> bool:
     A token whose letters are all capitals is read without regard to case alone: any word may be written so,
     and ordinary tokens hold too few of them to tell."""
     capitals = either_case(s) != s and not {"l", "h"} & set(s)
-    return any(_fits(m["formats"], m["others"], m["view"](s), ODDS) for m in model if not capitals or m["view"] is either_case)
+    return any(_fits(m["formats"], m["others"], m["view"](s)) for m in model if not capitals or m["view"] is either_case)
 
 
 def is_credential(model: list[dict], token: str) -> bool:
@@ -127,30 +136,120 @@ def _line(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, ordinary: int = ORDINARY) -> DataFrame:
-    """One row for each document: id, n_assign, n_access, n_hex, n_learnt, base_sha256, spans.
-
-    Null texts are empty: no spans, and the digest of the empty line. Null ids and rows that repeat
-    an id or a text are rows of their own; texts of any length are read whole, once: spans and the
-    class strings of all candidates go to a table. The automata are inferred from at most ``sample``
-    distinct credentials of each kind and format, those with the smallest hashes, and from ``ordinary``
-    class strings of ordinary tokens (all candidates of all texts), drawn by their counts and weighted by them. Then every candidate is scored. Without credentials there is nothing to
-    learn from and no span is added.
-    """
-    spark = docs.sparkSession
-    ship(spark)
+def infer(strings: DataFrame, share: float = SHARE) -> dict[str, Automaton]:
+    """An automaton for each model in ``strings`` (model, s, n: each class string once, with its count).
+
+    All prefixes of all strings are counted. Those that at least ``share`` of a model's strings pass, and two at least,
+    come to the driver as its prefix tree, with the exact counts of all their next symbols, and their states are merged there. Then
+    every string goes through its automaton to the end, whatever left the tree, and these steps are its counts."""
+    schema = "model string, node long, symbol string, n long"
+
+    def steps_of(walk):
+        def count(batches):
+            for pdf in batches:
+                found: Counter[tuple] = Counter()
+                for model, s, n in zip(pdf["model"], pdf["s"], pdf["n"], strict=True):
+                    walk(found, model, s, int(n))
+                yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["model", "node", "symbol", "n"])
+
+        return strings.mapInPandas(count, schema).groupBy("model", "node", "symbol").agg(F.sum("n").alias("n"))
+
+    def in_tree(found, model, s, n):
+        node = 0
+        for c in s:
+            found[model, node, c] += n
+            node = follow(node, c)
+        found[model, node, END] += n
+
+    least = strings.groupBy("model").agg(F.greatest(F.sum("n") * F.lit(share), F.lit(2.0)).alias("least"))
+    nodes = steps_of(in_tree).groupBy("model", "node").agg(F.collect_list(F.struct("symbol", "n")).alias("steps"), F.sum("n").alias("passes"))
+    kept = nodes.join(F.broadcast(least), "model").filter(F.col("passes") >= F.col("least"))
+    trees: dict[str, dict] = {r["model"]: {} for r in least.select("model").collect()}
+    for r in kept.select("model", "node", "steps").collect():
+        trees[r["model"]][r["node"]] = {x["symbol"]: x["n"] for x in r["steps"]}
+    automata = {model: Automaton.of_tree(tree) for model, tree in trees.items()}
+    to = {model: a.to for model, a in automata.items()}
+
+    def in_automaton(found, model, s, n):
+        at = 0
+        for c in s:
+            found[model, at, c] += n
+            at = to[model][at].get(c, at)
+        found[model, at, END] += n
+
+    counts: dict[str, dict] = {model: {} for model in automata}
+    for r in steps_of(in_automaton).collect():
+        counts[r["model"]][r["node"], r["symbol"]] = r["n"]
+    return {model: a.weigh(counts[model]) for model, a in automata.items()}
+
+
+def fit(found: DataFrame) -> list[dict]:
+    """What ``learn`` gives, from all distinct credentials and all candidates of a table of spans.
+
+    The driver gets the automata, their prefix trees as ``infer`` bounds them, and how many credentials have each score, in
+    steps of STEP; a threshold is the lower end of the step that it falls into."""
+    name = F.concat_ws(":", F.col("kind"), F.col("format"))
+    labelled = found.select(F.explode("base").alias("b")).select("b.kind", "b.format", "b.value", "b.classes").distinct()
+    plain = found.select(F.explode("cand.classes").alias("classes"))
+    both = labelled.select(name.alias("of"), "classes").unionByName(plain.select(F.lit("").alias("of"), "classes"))
+    both = both.groupBy("of", "classes").agg(F.count("*").alias("n"))
+    seen = [F.col("classes"), F.translate("classes", "Hu", "hl")]  # as VIEWS
+    views = F.explode(F.array(*[F.struct(F.lit(f"{i}|").alias("view"), s.alias("s")) for i, s in enumerate(seen)]))
+    both = both.select("of", views.alias("v"), "n").select(F.concat("v.view", "of").alias("model"), "v.s", "n")
+    strings = stage(both.groupBy("model", "s").agg(F.sum("n").alias("n")), "class-strings")
+    first = infer(strings)
+    plain_names = [f"{i}|" for i in range(len(VIEWS))]
+    candidates_in_all = sum(first[plain_names[0]].ends) if plain_names[0] in first else 0
+
+    def scores(batches):
+        for pdf in batches:
+            step = [math.floor(first[m].score_classes(s) / STEP) for m, s in zip(pdf["model"], pdf["s"], strict=True)]
+            yield pd.DataFrame({"model": pdf["model"], "step": step, "n": pdf["n"]})
+
+    own = strings.filter(~F.col("model").isin(plain_names)).mapInPandas(scores, "model string, step long, n long")
+    steps: dict[str, list] = {}
+    for r in own.groupBy("model", "step").agg(F.sum("n").alias("n")).orderBy("step").collect():
+        steps.setdefault(r["model"], []).append((r["step"], r["n"]))
+    formats: list[dict] = [{} for _ in VIEWS]
+    for model, counted in sorted(steps.items()):
+        view, _, of = model.partition("|")
+        kind, _, form = of.partition(":")
+        total, at = sum(n for _, n in counted), 0
+        for step, n in counted:
+            at += n
+            if at > int(MISS * total):
+                formats[int(view)][int(kind), form] = (first[model], step * STEP, odds_of(candidates_in_all, total))
+                break
+    if not steps:
+        return []
+    ordinary = [first.get(m) for m in plain_names]
+
+    def ordinary_only(batches):
+        for pdf in batches:
+            fits = [_fits(formats[i], ordinary[i], s, 0.5) for i, s in zip(pdf["model"].str[0].astype(int), pdf["s"], strict=True)]
+            yield pdf[[not x for x in fits]]
+
+    # Some of the candidates are credentials themselves; what is clearly likelier as one is no ordinary token.
+    kept = strings.filter(F.col("model").isin(plain_names)).mapInPandas(ordinary_only, strings.schema)
+    others = infer(stage(kept, "ordinary"))
+    return [{"view": view, "formats": formats[i], "others": others.get(plain_names[i]) or Automaton({})} for i, view in enumerate(VIEWS)]
+
+
+def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, base spans and candidates of each document, written to a table."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind_of_id = dict(rows.dtypes)["id"]
 
     def read(batches):
         span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("classes", pa.string())])
-        labelled = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("format", pa.string())])
+        labelled = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("format", pa.string()), ("classes", pa.string())])
         for batch in batches:
             base, cand = [], []
             for text in batch.column("text"):
                 text = text.as_py()
                 spans = base_spans(text)
-                base.append([{"kind": k, "start": a, "end": b, "value": v, "format": format_of(v)} for a, k, b, v in spans])
+                base.append([{"kind": k, "start": a, "end": b, "value": v, "format": format_of(v), "classes": classes(v)} for a, k, b, v in spans])
                 cand.append([{"start": a, "end": b, "classes": classes(v)} for a, b, v in candidates(text, spans)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(base, pa.list_(labelled)), pa.array(cand, pa.list_(span))],
@@ -158,29 +257,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
             )
 
     schema = (
-        f"id {kind_of_id}, base array<struct<kind:int,start:int,end:int,value:string,format:string>>, "
+        f"id {kind_of_id}, base array<struct<kind:int,start:int,end:int,value:string,format:string,classes:string>>, "
         "cand array<struct<start:int,end:int,classes:string>>"
     )
-    found = stage(rows.mapInArrow(read, schema), "spans")
-
-    # Of each kind and format (at most 3 x 15) the first ``sample`` by hash: of each part of one first, so that
-    # a frequent format is not ranked in one task.
-    labelled = found.select(F.explode("base").alias("b")).select("b.kind", "b.format", "b.value").distinct()
-    labelled = labelled.withColumn("hash", F.xxhash64("value")).withColumn("part", F.pmod(F.xxhash64("value", F.lit(1)), F.lit(256)))
-    for group in (["kind", "format", "part"], ["kind", "format"]):
-        nth = F.row_number().over(Window.partitionBy(*group).orderBy("hash", "value"))
-        labelled = labelled.withColumn("nth", nth).filter(F.col("nth") <= sample)
-    credentials: dict[tuple[int, str], list[str]] = {}
-    for r in labelled.collect():
-        credentials.setdefault((r["kind"], r["format"]), []).append(r["value"])
-    counts = found.select(F.explode("cand.classes").alias("classes")).groupBy("classes").agg(F.count("*").alias("n"))
-    # the least -ln(u) / n, with u by hash: a draw without replacement in proportion to n
-    u = (F.pmod(F.xxhash64("classes"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = counts.orderBy(-F.log(u) / F.col("n"), "classes").limit(ordinary)
-    rows_drawn = drawn.collect()
-    # each counts as often as it would come in so many ordinary tokens
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    model = learn(credentials, {r["classes"]: max(1, round(ordinary * r["n"] / total)) for r in rows_drawn})
+    return stage(rows.mapInArrow(read, schema), "spans")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: id, n_assign, n_access, n_hex, n_learnt, base_sha256, spans.
+
+    Null texts are empty: no spans, and the digest of the empty line. Null ids and rows that repeat
+    an id or a text are rows of their own; texts of any length are read whole, once: spans and the
+    class strings of all candidates go to a table. The automata and their thresholds come from all distinct credentials
+    of each kind and format and from all candidates of all texts. Then every candidate is scored. Without credentials there is nothing to
+    learn from and no span is added.
+    """
+    found = spans_of(docs, id_col, text_col)
+    model = fit(found)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, n_learnt long, base_sha256 string, spans string")
     def finish(base: pd.Series, cand: pd.Series) -> pd.DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kursbuch.llm import bitslice_topk, bpe, exact_dedup, mixing, ngram_join, quality, queries, secrets, token_count, url_filter, warc
-from kursbuch.llm.automata import Automaton, classes
+from kursbuch.llm.automata import Automaton, classes, follow
 
 from .conftest import make_docs
 
@@ -199,6 +199,46 @@ def test_every_run_is_a_candidate(spark):
     assert sum(got[r[0]] for r in words) <= 60 * 21 // 50
 
 
+def test_automata_count_every_credential_and_token(spark):
+    """All of 900 credentials of one format and of 6,000 other tokens are in the counts, and in the thresholds."""
+    from .conftest import make_docs
+
+    rnd = random.Random(8)
+    key = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    keys = [key(20, "abcdefghij0123456789") for _ in range(900)]
+    tokens = [key(rnd.randint(12, 24), "aeinrstABC-") for _ in range(6000)]
+    found = secrets.spans_of(make_docs(spark, [(i, f'token = "{k}"', "s") for i, k in enumerate(keys)] + [(1000 + i, t, "s") for i, t in enumerate(tokens)]))
+    for m in secrets.fit(found):
+        a, least, odds = m["formats"][0, "dl"]
+        assert a.passes[0] >= a.ends[0] and sum(a.ends) == 900
+        own = sorted(a.score(k) for k in keys)
+        assert least <= own[int(secrets.MISS * 900)] < least + 2 * secrets.STEP
+        assert 0.9 * len(tokens) <= sum(m["others"].ends) <= len(tokens) and odds == secrets.odds_of(6000, 900) == secrets.ODDS
+    assert secrets.odds_of(10**6, 10) > 11
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab0Z-", min_size=1, max_size=12), min_size=1, max_size=60))
+def test_a_counted_tree_holds_every_string(strings):
+    """Prefixes that two strings pass make the states; the counts of the steps are those of all strings."""
+    tree, steps = {}, Counter()
+    for s in map(classes, strings):
+        node = 0
+        for c in [*s, ""]:
+            tree.setdefault(node, Counter())[c] += 1
+            node = follow(node, c) if c else node
+    a = Automaton.of_tree({node: by for node, by in tree.items() if by.total() >= 2})
+    for s in map(classes, strings):
+        at = 0
+        for c in s:
+            steps[at, c] += 1
+            at = a.to[at].get(c, at)
+        steps[at, ""] += 1
+    a.weigh(steps)
+    assert sum(a.ends) == len(strings) and all(None not in a.path(classes(s)) for s in strings)
+    assert all(sum(np.exp(p) for p, _ in table.values()) + np.exp(stop) <= 1 + 1e-9 for table, stop in zip(a.table, a.stop, strict=True))
+
+
 # 3 byte-level BPE
 @pytest.fixture(scope="module")
 def byte_bpe():
