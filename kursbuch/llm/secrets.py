@@ -29,6 +29,8 @@ LEARNT = "learnt"
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 #: A place of a prefix tree is a state of its own where this share of its automaton's strings, and two at least, pass it.
 SHARE = 1 / 1000
+#: Beyond so many symbols a place needs in proportion more, so one long token that is repeated is no chain of states.
+DEPTH = 64
 #: Steps of scores that are told apart where a threshold is looked for.
 STEP = 1e-4
 #: Natural logarithm by which a whole token has to be likelier as a credential than as an ordinary
@@ -142,7 +144,7 @@ def infer(strings: DataFrame, share: float = SHARE) -> dict[str, Automaton]:
     All prefixes of all strings are counted. Those that at least ``share`` of a model's strings pass, and two at least,
     come to the driver as its prefix tree, with the exact counts of all their next symbols, and their states are merged there. Then
     every string goes through its automaton to the end, whatever left the tree, and these steps are its counts."""
-    schema = "model string, node long, symbol string, n long"
+    schema = "model string, node long, depth long, symbol string, n long"
 
     def steps_of(walk):
         def count(batches):
@@ -150,20 +152,20 @@ def infer(strings: DataFrame, share: float = SHARE) -> dict[str, Automaton]:
                 found: Counter[tuple] = Counter()
                 for model, s, n in zip(pdf["model"], pdf["s"], pdf["n"], strict=True):
                     walk(found, model, s, int(n))
-                yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["model", "node", "symbol", "n"])
+                yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["model", "node", "depth", "symbol", "n"])
 
-        return strings.mapInPandas(count, schema).groupBy("model", "node", "symbol").agg(F.sum("n").alias("n"))
+        return strings.mapInPandas(count, schema).groupBy("model", "node", "depth", "symbol").agg(F.sum("n").alias("n"))
 
     def in_tree(found, model, s, n):
         node = 0
-        for c in s:
-            found[model, node, c] += n
+        for depth, c in enumerate(s):
+            found[model, node, depth, c] += n
             node = follow(node, c)
-        found[model, node, END] += n
+        found[model, node, len(s), END] += n
 
     least = strings.groupBy("model").agg(F.greatest(F.sum("n") * F.lit(share), F.lit(2.0)).alias("least"))
-    nodes = steps_of(in_tree).groupBy("model", "node").agg(F.collect_list(F.struct("symbol", "n")).alias("steps"), F.sum("n").alias("passes"))
-    kept = nodes.join(F.broadcast(least), "model").filter(F.col("passes") >= F.col("least"))
+    nodes = steps_of(in_tree).groupBy("model", "node", "depth").agg(F.collect_list(F.struct("symbol", "n")).alias("steps"), F.sum("n").alias("passes"))
+    kept = nodes.join(F.broadcast(least), "model").filter(F.col("passes") >= F.col("least") * F.greatest(F.lit(1.0), F.col("depth") / DEPTH))
     trees: dict[str, dict] = {r["model"]: {} for r in least.select("model").collect()}
     for r in kept.select("model", "node", "steps").collect():
         trees[r["model"]][r["node"]] = {x["symbol"]: x["n"] for x in r["steps"]}
@@ -173,9 +175,9 @@ def infer(strings: DataFrame, share: float = SHARE) -> dict[str, Automaton]:
     def in_automaton(found, model, s, n):
         at = 0
         for c in s:
-            found[model, at, c] += n
+            found[model, at, 0, c] += n
             at = to[model][at].get(c, at)
-        found[model, at, END] += n
+        found[model, at, 0, END] += n
 
     counts: dict[str, dict] = {model: {} for model in automata}
     for r in steps_of(in_automaton).collect():

@@ -217,6 +217,18 @@ def test_automata_count_every_credential_and_token(spark):
     assert secrets.odds_of(10**6, 10) > 11
 
 
+def test_long_tokens_make_no_chain_of_states(spark, monkeypatch):
+    """Copies of a long token are counted whole, but their places beyond DEPTH do not all come to the driver."""
+    rnd = random.Random(2)
+    long = "".join(rnd.choice("dhlHu") for _ in range(50_000))
+    strings = spark.createDataFrame([("0|", long, 3), ("0|", "d" * 40, 2), ("1|", "h" * 16, 300)], "model string, s string, n long")
+    sizes, of_tree = [], Automaton.of_tree
+    monkeypatch.setattr(Automaton, "of_tree", lambda tree: sizes.append(len(tree)) or of_tree(tree))
+    got = secrets.infer(strings)
+    assert max(sizes) <= 300 and sum(got["0|"].ends) == 5 and sum(map(sum, (by.values() for by in got["0|"].by))) == 3 * 50_000 + 80
+    assert got["1|"].likelihood("h" * 16) > got["1|"].likelihood("h" * 15) + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab0Z-", min_size=1, max_size=12), min_size=1, max_size=60))
 def test_a_counted_tree_holds_every_string(strings):
