@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ LIMITS = (-40, 40, -30, 50, 3000)
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is worked out once however often f names it: a column that is used in an array's function
+    is worked out again at each place and for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def chart(text: Column) -> Column:
     """The twelve months of a text's first climate chart, an array of (low, high, rain); null without one, with
     other units, with a part that is neither a number nor a setting, fewer than 36 numbers or months that cannot be.
@@ -23,18 +31,25 @@ def chart(text: Column) -> Column:
     Links stand for their words, empty parts for nothing, numbers beyond the 36th are ignored. A null text has none."""
     body = F.regexp_extract(text, r"(?is)\{\{\s*climate chart\s*\|(.*?)\}\}", 1)
     body = F.regexp_replace(body, r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1")
-    other_units = body.rlike(r"(?i)\|\s*(imperial|units)\s*=\s*(yes|imperial|F)")
-    parts = F.split(body, r"\|", -1)
-    parts = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: ~p.contains("="))
+    return _let(body, lambda b: F.when(~b.rlike(r"(?i)\|\s*(imperial|units)\s*=\s*(yes|imperial|F)"), _let(_numbers(b), _likely_months)))
+
+
+def _numbers(body: Column) -> Column:
+    """A chart's parts as numbers, null for what is none; without settings and empty parts."""
+    parts = _let(F.split(body, r"\|", -1), lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
+    parts = F.filter(parts, lambda p: ~p.contains("="))
     parts = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"(?U)^\s+|\s+$|,", ""), "−", "-"))
     parts = F.filter(parts, lambda p: p != "")
-    numbers = F.transform(parts, lambda p: F.when(p.rlike(_NUMBER), p.try_cast("double")))
+    return F.transform(parts, lambda p: F.when(p.rlike(_NUMBER), p.try_cast("double")))
+
+
+def _likely_months(numbers: Column) -> Column:
     sound = F.forall(numbers, lambda x: x.isNotNull()) & (F.size(numbers) >= 36)
     at = lambda i, k: F.get(numbers, 3 * i + k)
     months = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.struct(at(i, 0).alias("low"), at(i, 1).alias("high"), at(i, 2).alias("rain")))
     a, b, c, d, wet = LIMITS
-    likely = F.forall(months, lambda m: m["low"].between(a, b) & m["high"].between(c, d) & (m["low"] <= m["high"]) & m["rain"].between(0, wet))
-    return F.when(~other_units & sound & likely, months)
+    likely = lambda m: m["low"].between(a, b) & m["high"].between(c, d) & (m["low"] <= m["high"]) & m["rain"].between(0, wet)
+    return F.when(sound, _let(months, lambda all_: F.when(F.forall(all_, likely), all_)))
 
 
 def estimates(points: DataFrame, cells: DataFrame) -> DataFrame:

@@ -58,3 +58,9 @@ def test_estimates_by_loops(spark):
             assert r["source"] == "est" and [tuple(m) for m in r["months"]] == want and r["flat"] == [round(v) for m in want for v in m] and len(r["letters"]) == 12
     assert normals.normals(frame.limit(0), table).count() == 0
     assert {r["source"] for r in normals.normals(frame, table.limit(0)).collect()} == {"imd", ""}
+
+
+def test_a_text_is_read_once(spark):
+    df = spark.createDataFrame([("x",)], "text string").select(normals.chart(F.col("text")).alias("c"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(word) for word in ("regexp_extract(", "split(", "try_cast(")] == [1, 1, 1]
