@@ -83,3 +83,19 @@ def test_no_points_and_no_shapes(spark):
     assert regions.settle(spark.createDataFrame([], kind), spark.createDataFrame(rows, RINGS)).count() == 0
     got = regions.settle(spark.createDataFrame([(1, 10.0, 70.0, "A")], kind), spark.createDataFrame([], RINGS)).collect()
     assert [tuple(r) for r in got] == [(1, "A", "outside")]
+
+
+def test_repeated_edges_are_not_sent_to_all_tasks(spark):
+    """Slanted, level and upright edges: what small tables stand for may be large. Distances as by loops, far from the ends too."""
+    rnd = random.Random(9)
+    rings = {f"s{i}": [(rnd.uniform(70, 71), rnd.uniform(10, 11)) for _ in range(4)] for i in range(6)}
+    rings |= {"box": [(70.2, 10.2), (70.9, 10.2), (70.9, 10.8), (70.2, 10.8)], "sliver": [(70.0, 10.4), (71.0, 10.4 + 1e-12), (70.5, 10.4)]}
+    rows = [(s, n, 0, i, x, y) for s, (n, ring) in enumerate(rings.items()) for i, (x, y) in enumerate(ring)]
+    drawn = regions.edges(spark.createDataFrame(rows, "shape long, name string, ring int, pos int, x double, y double"))
+    points = [(i, rnd.uniform(9.9, 11.1), rnd.uniform(69.9, 71.1)) for i in range(300)]
+    df = spark.createDataFrame(points, "point long, lat double, lon double")
+    found = regions.edge_km(df, drawn)
+    got = {(r["point"], r["name"]): r["km"] for r in found.collect()}
+    want = {(i, n): d for i, y, x in points for n, ring in rings.items() if (d := far(x, y, [[*ring, ring[0]]])) <= 3}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 100
+    assert all("BroadcastHashJoin" not in x._jdf.queryExecution().executedPlan().toString() for x in (found, regions.containing(df, drawn)))
