@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import spatial
 
 #: Fame from which a sight may stand for the place beside it, and how far it must lead.
 STAR_FAME = 12
@@ -72,17 +73,36 @@ def nearest_start(points: DataFrame, starts: DataFrame) -> DataFrame:
     """point, station, km: of the stations within 25 km the busiest, else the closest within 150 km.
 
     points: point, lat, lon. starts: station, halts, lat, lon. Distances are measured on a plane at the
-    point's latitude. Points with none have no row."""
-    at = points.select("point", "lat", "lon", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    to = starts.select("station", "halts", "lat", "lon", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    pairs = geo.near(at, to, 160.0, ["point", "p_lat", "p_lon"], ["station", "halts", "s_lat", "s_lon"])
-    dy = (F.col("s_lat") - F.col("p_lat")) * 111
-    dx = (F.col("s_lon") - F.col("p_lon")) * 111 * F.cos(F.radians("p_lat"))
-    pairs = pairs.select("point", "station", "halts", F.sqrt(dx * dx + dy * dy).alias("d")).filter("d <= 150")
-    close = F.col("d") < 25
-    order = F.struct(F.when(close, 0).otherwise(1).alias("tier"), F.when(close, -F.col("halts")).otherwise(0).alias("busy"), "d", "station")
-    best = pairs.groupBy("point").agg(F.min(order).alias("best"))
-    return best.select("point", F.col("best.station").alias("station"), F.col("best.d").alias("km"))
+    point's latitude. Points with none have no row. Points of one position are asked once; unless all are few, they look close by
+    first and twice as far where that leaves them without."""
+    left, out = spatial.positions(points), None
+    # of the stations of a position the busiest counts where it is close, and else the lowest
+    least = lambda *keys: F.min(F.struct(*keys))
+    both = starts.groupBy("lat", "lon").agg(least((-F.col("halts")).alias("busy"), "station").alias("busiest"), F.min("station").alias("lowest"))
+    to = both.withColumn("s_lat", F.col("lat")).withColumn("s_lon", F.col("lon")).checkpoint()
+    reach = spatial.first_reach(left, to, 27.5, 160.0)
+    while True:
+        pairs = geo.near(left, to, reach, ["y", "x"], ["busiest", "lowest", "s_lat", "s_lon"])
+        dy = (F.col("s_lat") - F.col("y")) * 111
+        dx = (F.col("s_lon") - F.col("x")) * 111 * F.cos(F.radians("y"))
+        pairs = pairs.withColumn("d", F.sqrt(dx * dx + dy * dy)).filter("d <= 150")
+        close = F.struct(F.lit(0).alias("tier"), F.col("busiest.busy").alias("busy"), "d", F.col("busiest.station").alias("station"))
+        other = F.struct(F.lit(1).alias("tier"), F.lit(0).cast("long").alias("busy"), "d", F.col("lowest").alias("station"))
+        kind = "struct<tier:int,busy:bigint,d:double,station:bigint>"
+        best = pairs.groupBy("y", "x").agg(F.min(F.when(F.col("d") < 25, close.cast(kind)).otherwise(other.cast(kind))).alias("best"))
+        if reach < 160:
+            # the plane is true to a fifteenth up to 60 degrees: what is within reach/1.067 of it has been met
+            best = best.filter((F.abs("y") <= 60) & (F.col("best.d") <= reach / 1.067))
+        best = best.checkpoint()
+        out = best if out is None else out.union(best)
+        if reach >= 160:
+            break
+        left = left.join(best, ["y", "x"], "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+        reach = min(2 * reach, 160.0)
+    found = spatial.at_positions(points, out).groupBy("point").agg(F.min("best").alias("best"))
+    return found.select("point", F.col("best.station").alias("station"), F.col("best.d").alias("km"))
 
 
 def ways_by_road(spots: DataFrame, stations: DataFrame, rides: DataFrame, km: float = 350.0) -> DataFrame:
