@@ -110,17 +110,39 @@ def ways_by_road(spots: DataFrame, stations: DataFrame, rides: DataFrame, km: fl
     road: the three best, none of them far behind the best.
 
     spots: spot, lat, lon. stations: station, place, lat, lon. rides: place, fastest. Of the stations of one place
-    the one with the least total stands for it."""
-    hills = geo.is_hilly(F.col("s_lat"), F.col("s_lon"))
-    at = spots.withColumn("s_lat", F.col("lat")).withColumn("s_lon", F.col("lon"))
-    pairs = geo.near(at, stations.join(rides, "place"), km, ["spot", "s_lat", "s_lon"], ["station", "place", "fastest"])
-    ways = pairs.select("spot", "station", "place", F.col("fastest").alias("train"), geo.road_minutes(F.col("km"), hills).cast("long").alias("road"))
-    ways = ways.withColumn("total", F.col("train") + TRANSFER + F.col("road"))
-    one = ways.groupBy("spot", "place").agg(F.min(F.struct("total", "station", "train", "road")).alias("w")).select("spot", "w.*")
-    order = Window.partitionBy("spot").orderBy("total", "station")
-    one = one.withColumn("nth", F.row_number().over(order)).withColumn("best", F.min("total").over(Window.partitionBy("spot")))
-    kept = one.filter((F.col("nth") <= 3) & (F.col("total") <= F.col("best") * BEHIND + SLACK))
-    return kept.select("spot", "station", "train", "road", "total")
+    the one with the least total stands for it. Spots of one position are asked once; unless all are few, they look close by first,
+    and twice as far until what is farther away cannot be among the three."""
+    # stations of a place and a position have the same total: the lowest counts
+    to = stations.join(rides, "place").groupBy("place", "fastest", "lat", "lon").agg(F.min("station").alias("station")).checkpoint()
+    left, out, quickest = spatial.positions(spots), None, to.agg(F.min("fastest")).first()[0]
+    hills, reach = geo.is_hilly(F.col("y"), F.col("x")), spatial.first_reach(left, to, 45.0, km) if quickest is not None else km
+    way, at = F.min(F.struct("total", "station", "train", "road")).alias("w"), Window.partitionBy("y", "x")
+
+    def three(one: DataFrame, *key: str) -> DataFrame:
+        of = Window.partitionBy(*key)
+        one = one.withColumn("nth", F.row_number().over(of.orderBy("total", "station"))).withColumn("best", F.min("total").over(of))
+        return one.filter((F.col("nth") <= 3) & (F.col("total") <= F.col("best") * BEHIND + SLACK))
+
+    while True:
+        pairs = geo.near(left, to, reach, ["y", "x"], ["station", "place", "fastest"])
+        ways = pairs.select("y", "x", "station", "place", F.col("fastest").alias("train"), geo.road_minutes(F.col("km"), hills).cast("long").alias("road"))
+        ways = ways.withColumn("total", F.col("train") + TRANSFER + F.col("road"))
+        found = three(ways.groupBy("y", "x", "place").agg(way).select("y", "x", "place", "w.*"), "y", "x")
+        if reach < km:
+            # stations farther away have a total of this at least, and cannot come before the third or are too far behind
+            beyond = geo.road_minutes(F.lit(reach), F.lit(False)) + F.lit(quickest + TRANSFER)
+            third = F.max(F.when(F.col("nth") == 3, F.col("total"))).over(at)
+            found = found.withColumn("enough", F.least(third, F.col("best") * BEHIND + SLACK)).filter(beyond > F.col("enough")).drop("enough")
+        found = found.drop("nth", "best").checkpoint()
+        out = found if out is None else out.union(found)
+        if reach >= km:
+            break
+        left = left.join(found, ["y", "x"], "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+        reach = min(2 * reach, km)
+    each = spatial.at_positions(spots, out, "spot").repartition("spot").groupBy("spot", "place").agg(way).select("spot", "w.*")
+    return three(each, "spot").select("spot", "station", "train", "road", "total")
 
 
 def changes_shown(changes: DataFrame, direct: DataFrame) -> DataFrame:
